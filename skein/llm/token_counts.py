@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.words import Cache, hf_ids
+from skein.llm.words import Cache, hf_ids, id_cache
 
 TIER = 32_768
 LONGEST = 40
@@ -67,7 +67,8 @@ def _lengths(path: str, tier) -> Cache:
     key = (path, tier.id if hasattr(tier, "id") else id(tier))
     if key not in _tiers:
         _tiers.clear()
-        _tiers[key] = Cache(lambda w: len(hf_ids(path, w)) // 4, limit=400_000, fixed=dict(zip(*tier.value, strict=True)))
+        misses = id_cache(path, False, limit=300_000).make
+        _tiers[key] = Cache(lambda w: len(misses(w)) // 4, limit=1_000_000, fixed=dict(zip(*tier.value, strict=True)))
     return _tiers[key]
 
 

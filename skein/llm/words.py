@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: ASCII white space, as bytes.split() knows it: [\x20\x09-\x0D].
@@ -64,23 +64,55 @@ def hf_specials(path: str) -> tuple[bytes, ...]:
 
 def hf_ids(path: str, raw: bytes) -> bytes:
     """Ids of one text by the tokenizers library, as little-endian unsigned 32-bit integers."""
-    text = raw.decode("utf-8", "replace")
-    return np.asarray(hf_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    ids = array("I", hf_tokenizer(path).encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids)
+    if sys.byteorder != "little":
+        ids.byteswap()
+    return ids.tobytes()
+
+
+#: Punctuation that both vocabularies cut off a word of letters.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~'"
+
+
+def _letters(core: bytes) -> bool:
+    """Whether these are Latin letters only, whose lower case does not depend on what stands beside them."""
+    if core.isascii():
+        return core.isalpha()
+    text = core.decode("utf-8", "replace")
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
 
 
 @cache
-def id_cache(path: str) -> Cache:
-    """The worker's cache of unit -> ids, kept over tasks."""
-    return Cache(lambda unit: hf_ids(path, unit))
+def id_cache(path: str, spaced: bool, limit: int = 1_000_000) -> Cache:
+    """The worker's cache of unit -> ids, kept over tasks.
+
+    A word of letters with punctuation after it is the word and the punctuation, each encoded
+    once however they combine; ``spaced`` vocabularies keep case and the space before a word,
+    others put everything in lower case.
+    """
+    parts = Cache(lambda part: hf_ids(path, part), limit=limit)
+
+    def make(unit: bytes) -> bytes:
+        core = unit.rstrip(TAIL)
+        tail = unit[len(core) :]
+        if spaced:
+            if tail and core and _letters(core.removeprefix(b" ")):
+                return parts[core] + parts[tail]
+        elif core and _letters(core):
+            low = core.lower() if core.isascii() else core.decode().lower().encode()
+            return parts[low] + parts[tail] if tail else parts[low]
+        return parts[unit]
+
+    return Cache(make, limit=limit)
 
 
 def word_ids(path: str, raw: bytes) -> bytes:
     """Ids of a whole text under a vocabulary that drops white space between words."""
-    return b"".join(map(id_cache(path).__getitem__, raw.split()))
+    return b"".join(map(id_cache(path, False).__getitem__, raw.split()))
 
 
 def unit_ids(path: str, raw: bytes) -> bytes:
     """Ids of a whole text under a byte-level vocabulary."""
     if irregular(raw, hf_specials(path)):
         return hf_ids(path, raw)
-    return b"".join(map(id_cache(path).__getitem__, UNIT.findall(raw)))
+    return b"".join(map(id_cache(path, True).__getitem__, UNIT.findall(raw)))
