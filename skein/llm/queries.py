@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import exact_dedup, packing, token_counts, token_files, word_shuffle
+from skein.llm import exact_dedup, packing, simhash, token_counts, token_files, word_shuffle
 from skein.runtime import shared_folder, table
 
 REGISTRY: dict = {}
@@ -39,6 +39,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 2048, end_id=0)
 
 
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=3)
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/token-files-{uuid.uuid4().hex}"
