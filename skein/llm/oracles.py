@@ -10,3 +10,22 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
+
+SQL["op5_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(array_to_string(words[s:s + 19], ' ')) AS key
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM w)),
+later AS (
+  SELECT doc_id, s FROM (
+    SELECT doc_id, s, row_number() OVER (PARTITION BY key ORDER BY doc_id, s) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
+each AS (SELECT doc_id, len(words) AS n_words, words, unnest(range(1, len(words) + 1)) AS p FROM w),
+stay AS (
+  SELECT doc_id, p, words[p] AS word FROM each ANTI JOIN gone USING (doc_id, p)),
+joined AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM stay GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN joined ON w.doc_id = joined.doc_id
+"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import exact_dedup, packing, simhash, token_counts, token_files, word_shuffle
+from skein.llm import exact_dedup, packing, simhash, substring_dedup, token_counts, token_files, word_shuffle
 from skein.runtime import shared_folder, table
 
 REGISTRY: dict = {}
@@ -44,6 +44,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=3)
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), 20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/token-files-{uuid.uuid4().hex}"
