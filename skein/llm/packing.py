@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.llm.token_counts import texts
 from skein.llm.words import word_ids
@@ -134,7 +135,7 @@ def pack(
     """
     raw = texts(docs, doc_id, text)
     schema = T.StructType([raw.schema["doc_id"], *T._parse_datatype_string(PIECE).fields])
-    doc_type = pa.int64() if isinstance(raw.schema["doc_id"].dataType, T.LongType) else None
+    doc_type = to_arrow_type(raw.schema["doc_id"].dataType)
     pieces = raw.mapInArrow(partial(_pack_locally, tokenizer, capacity, end_id, keep_ids, doc_type), schema)
     pieces = materialize(pieces if keep_ids else pieces.drop("ids"), "pieces")
 

@@ -62,8 +62,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = tokenizer("byte_bpe_50k.tiktoken")
-    encoded = word_shuffle.bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return word_shuffle.bpe_decode(encoded, ranks).select(
+    both = word_shuffle.bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decode=True)
+    return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -7,10 +7,9 @@ block. A payload is
 
     magic "S8B1" | n_docs u4 | n_frames u4 | n_exceptions u4
     document ids i8[n_docs] | null marks u1[n_docs] | ids per document u8[n_docs]
-    word offset of each frame u8[n_frames + 1] | exceptions before each frame u8[n_frames + 1]
-    words u8[] | exceptions u8[]
+    word offset of each frame u4[n_frames + 1] | words u8[] | exceptions u8[]
 
-Frames of ``FRAME`` ids are coded on their own, so one can be decoded without the others.
+Frames are coded on their own, so a decoder places the words of all frames at once.
 """
 
 from __future__ import annotations
@@ -30,7 +29,6 @@ from skein.llm.token_counts import texts
 from skein.llm.words import unit_ids
 
 MAGIC = b"S8B1"
-FRAME = 1 << 16
 #: Ids after which a block is closed.
 BLOCK = 1 << 20
 FILE_SCHEMA = "file int, block int, first long, n_ids long, payload binary"
@@ -38,24 +36,17 @@ FILE_SCHEMA = "file int, block int, first long, n_ids long, payload binary"
 
 def encode_block(doc_ids: list, ids: list[bytes]) -> bytes:
     """One payload; ``ids`` are little-endian unsigned 32-bit integers per document."""
-    values = np.frombuffer(b"".join(ids), "<u4")
-    words, exceptions = [], []
-    for a in range(0, len(values), FRAME):
-        w, x = simple8b.encode(values[a : a + FRAME])
-        words.append(w)
-        exceptions.append(x)
-    offsets = [np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype("<u8") for part in (words, exceptions)]
+    words, frame_words, exceptions = simple8b.encode(np.frombuffer(b"".join(ids), "<u4"))
     return b"".join(
         [
             MAGIC,
-            struct.pack("<III", len(doc_ids), len(words), int(offsets[1][-1])),
+            struct.pack("<III", len(doc_ids), len(frame_words), len(exceptions)),
             np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
             np.array([d is None for d in doc_ids], "u1").tobytes(),
             np.array([len(x) // 4 for x in ids], "<u8").tobytes(),
-            offsets[0].tobytes(),
-            offsets[1].tobytes(),
-            *[w.astype("<u8").tobytes() for w in words],
-            *[x.astype("<u8").tobytes() for x in exceptions],
+            np.concatenate([[0], np.cumsum(frame_words)]).astype("<u4").tobytes(),
+            words.astype("<u8").tobytes(),
+            exceptions.astype("<u8").tobytes(),
         ]
     )
 
@@ -74,15 +65,9 @@ def decode_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         return out
 
     doc_ids, nulls, lengths = read("<i8", n_docs), read("u1", n_docs), read("<u8", n_docs).astype(np.int64)
-    word_at, exception_at = read("<u8", n_frames + 1).astype(int), read("<u8", n_frames + 1).astype(int)
-    words, exceptions = read("<u8", int(word_at[-1])), read("<u8", n_exceptions)
-    total = int(lengths.sum())
-    ids = np.zeros(total, "<u4")
-    for k in range(n_frames):
-        a = k * FRAME
-        n = min(FRAME, total - a)
-        own = exceptions[exception_at[k] : exception_at[k + 1]]
-        ids[a : a + n] = simple8b.decode(words[word_at[k] : word_at[k + 1]], own, n)
+    offsets = read("<u4", n_frames + 1).astype(np.int64)
+    words = read("<u8", int(offsets[-1]))
+    ids = simple8b.decode(words, np.diff(offsets), read("<u8", n_exceptions), int(lengths.sum()), np.uint32)
     return [None if z else int(d) for d, z in zip(doc_ids, nulls, strict=True)], lengths, ids
 
 

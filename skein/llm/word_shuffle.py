@@ -5,7 +5,9 @@ text, its number in the chunk's list of distinct words. That list is exploded ov
 hash(word)`` and shuffled, so that each distinct word meets all its requests in one bucket and
 is encoded there once; its ids go back to the chunk, where texts are put together by position.
 A word that a third of all texts hold is requested once per chunk, so no bucket grows with the
-copies of a word. Positions travel beside the words as compressed numbers, never as rows.
+copies of a word. Positions travel as compressed numbers, never as rows, and cross one shuffle
+only: texts are cut twice, once for the words and once for the positions. Both cuts name the
+list of words they number by a checksum, so an input that changes between them raises.
 """
 
 from __future__ import annotations
@@ -17,17 +19,18 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.llm.parts import pack_parts, planes, unpack_parts, unplanes
 from skein.llm.token_counts import texts
 from skein.llm.words import UNIT, Cache, irregular
+from skein.runtime import shuffle_partitions
 
 #: A chunk is closed after so many bytes of text or distinct words; texts of a chunk travel in rows of about ROW words.
-CHUNK_BYTES, CHUNK_WORDS, ROW = 24 << 20, 500_000, 1 << 20
+CHUNK_BYTES, CHUNK_WORDS, ROW = 48 << 20, 800_000, 1 << 20
 #: What leaves a task at a time.
 OUT_BYTES = 8 << 20
 WORDS, TEXTS = 0, 1
@@ -66,31 +69,47 @@ class _Numbers(dict):
         return n
 
 
-def _split(pattern: str, n_buckets: int, out_schema, batches):
-    find = regex.compile(pattern)
-    chunk = TaskContext.get().partitionId() << 24
-    numbers, size = _Numbers(), 0
-    ids: list = []
-    positions: list[np.ndarray] = []
-
-    def row(kind, bucket, ids, payload):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind], pa.int8()), pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([ids], out_schema), pa.array([payload], pa.binary())],
-            ["kind", "chunk", "bucket", "ids", "payload"],
-        )
-
-    def flush_texts():
-        nonlocal ids, positions
-        if ids:
-            lengths = np.array([len(p) for p in positions], "<u4")
-            payload = pack_parts(lengths.tobytes(), planes(np.concatenate(positions)))
-            yield row(TEXTS, zlib.crc32(payload) % n_buckets, ids, payload)
-        ids, positions = [], []
-
-    def flush_chunk():
-        nonlocal numbers, size, chunk
-        yield from flush_texts()
-        words = list(numbers)
+SCHEMA = "kind tinyint, chunk long, bucket int, ids array<{}>, payload binary"
+
+
+def _rows(kind, chunk, bucket, ids, payload, id_type):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kind, pa.int8()), pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), pa.array(ids, pa.list_(id_type)), pa.array(payload, pa.binary())],
+        ["kind", "chunk", "bucket", "ids", "payload"],
+    )
+
+
+def _chunks(batches, find, positions_too: bool):
+    """``(chunk, words, document ids, positions)`` of each chunk; positions on request."""
+    numbers, size, ids, positions, chunk = _Numbers(), 0, [], [], None
+    for batch in batches:
+        if chunk is None and batch.num_rows:
+            chunk = batch.column("part")[0].as_py() << 24
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            words = words_of(raw, find)
+            own = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
+            if positions_too:
+                ids.append(doc)
+                positions.append(own)
+            size += len(raw) + 1
+            if size >= CHUNK_BYTES or len(numbers) >= CHUNK_WORDS:
+                yield chunk, list(numbers), ids, positions
+                numbers, size, ids, positions, chunk = _Numbers(), 0, [], [], chunk + 1
+    if size:
+        yield chunk, list(numbers), ids, positions
+
+
+def _mark(words: list[bytes]) -> bytes:
+    mark = 0
+    for a in range(0, len(words), 10_000):
+        mark = zlib.crc32(b" ".join(words[a : a + 10_000]), mark)
+    return mark.to_bytes(4, "little") + len(words).to_bytes(4, "little")
+
+
+def _ask(pattern: str, n_buckets: int, id_type, batches):
+    """The words of each chunk, by bucket: their numbers in the chunk, lengths and bytes."""
+    for chunk, words, _, _ in _chunks(batches, regex.compile(pattern), False):
+        mark = _mark(words)
         bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % n_buckets
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -99,28 +118,25 @@ def _split(pattern: str, n_buckets: int, out_schema, batches):
             if len(own):
                 mine = [words[i] for i in own.tolist()]
                 lengths = np.array([len(w) for w in mine], "<u4")
-                yield row(WORDS, b, None, pack_parts(planes(own), planes(lengths), b"".join(mine)))
-        numbers, size, chunk = _Numbers(), 0, chunk + 1
+                payload = pack_parts(mark, planes(np.diff(own, prepend=0)), planes(lengths), b"".join(mine))
+                yield _rows([WORDS], [chunk], [b], [None], [payload], id_type)
 
-    held = 0
-    for batch in batches:
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-            words = words_of(raw, find)
-            ids.append(doc)
-            positions.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-            size += len(raw)
-            held += len(words)
-            if held >= ROW:
-                yield from flush_texts()
-                held = 0
-            if size >= CHUNK_BYTES or len(numbers) >= CHUNK_WORDS:
-                yield from flush_chunk()
-                held = 0
-    if size or ids or numbers:
-        yield from flush_chunk()
 
+def _place(pattern: str, id_type, batches):
+    """The texts of each chunk as positions in its words."""
+    for chunk, words, ids, positions in _chunks(batches, regex.compile(pattern), True):
+        mark = _mark(words)
+        a = held = 0
+        for b, own in enumerate(positions, 1):
+            held += len(own)
+            if held >= ROW or b == len(positions):
+                lengths = np.array([len(p) for p in positions[a:b]], "<u4")
+                payload = pack_parts(mark, lengths.tobytes(), planes(np.concatenate(positions[a:b])))
+                yield _rows([TEXTS], [chunk], [0], [ids[a:b]], [payload], id_type)
+                a, held = b, 0
 
-def _encode(ranks_path: str, pattern: str, out_schema, batches):
+
+def _encode(ranks_path: str, pattern: str, id_type, batches):
     encoding = bpe(ranks_path, pattern)
 
     def make(word: bytes) -> bytes:
@@ -128,54 +144,55 @@ def _encode(ranks_path: str, pattern: str, out_schema, batches):
 
     bucket_now, known = None, None
     for batch in batches:
-        replies = []
-        columns = [batch.column(c).to_pylist() for c in ("kind", "bucket", "payload")]
-        for kind, bucket, payload in zip(*columns, strict=True):
-            if kind == TEXTS:
-                replies.append(payload)
-                continue
+        columns = [batch.column(c).to_pylist() for c in ("chunk", "bucket", "payload")]
+        for chunk, bucket, payload in zip(*columns, strict=True):
             if bucket != bucket_now:  # rows come sorted by bucket: each distinct word is encoded in its bucket only
-                bucket_now, known = bucket, Cache(make, limit=2_000_000, longest=256)
-            own, lengths, joined = unpack_parts(payload)
+                bucket_now, known = bucket, Cache(make, limit=1_000_000, longest=256)
+            mark, own, lengths, joined = unpack_parts(payload)
             ends = np.cumsum(unplanes(lengths)).tolist()
             ids = [known[joined[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             counts = np.array([len(x) // 4 for x in ids], "<u4")
-            replies.append(pack_parts(own, planes(counts), planes(np.frombuffer(b"".join(ids), "<u4"))))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("kind"), batch.column("chunk"), batch.column("bucket"), batch.column("ids").cast(out_schema), pa.array(replies, pa.binary())],
-            ["kind", "chunk", "bucket", "ids", "payload"],
-        )
+            reply = pack_parts(mark, own, planes(counts), planes(np.frombuffer(b"".join(ids), "<u4")))
+            yield _rows([WORDS], [chunk], [bucket], [None], [reply], id_type)
 
 
-def _assemble(doc_type, batches):
-    chunk_now, table, docs, out, size = None, [], [], [], 0
+def _assemble(ranks_path: str | None, id_type, batches):
+    chunk_now, mark_now, table, missing = None, None, [], 0
+    docs, out, decoded, size = [], [], [], 0
+    names = ["doc_id", "ids", *(["decoded"] if ranks_path else [])]
+    token = token_bytes(ranks_path) if ranks_path else None
 
     def flush():
-        nonlocal docs, out, size
-        yield pa.RecordBatch.from_arrays([pa.array(docs, doc_type), pa.array(out, pa.binary())], ["doc_id", "ids"])
-        docs, out, size = [], [], 0
+        nonlocal docs, out, decoded, size
+        arrays = [pa.array(docs, id_type), pa.array(out, pa.binary()), *([pa.array(decoded, pa.binary())] if ranks_path else [])]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+        docs, out, decoded, size = [], [], [], 0
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("kind", "chunk", "ids", "payload")]
         for kind, chunk, ids, payload in zip(*columns, strict=True):
+            mark, *parts = unpack_parts(payload)
             if chunk != chunk_now:
-                chunk_now, table = chunk, []
+                chunk_now, mark_now, table = chunk, mark, [b""] * int.from_bytes(mark[4:], "little")
+                missing = len(table)
+            if mark != mark_now or kind == TEXTS and missing:
+                raise RuntimeError("the documents changed between two reads: materialize them first")
             if kind == WORDS:  # come before the texts of their chunk
-                own, counts, packed = unpack_parts(payload)
-                own, ends = unplanes(own), np.cumsum(unplanes(counts).astype(np.int64) * 4).tolist()
+                own, counts, packed = parts
+                ends = np.cumsum(unplanes(counts).astype(np.int64) * 4).tolist()
+                missing -= len(ends)
                 raw = unplanes(packed).tobytes()
-                table.extend([b""] * (int(own.max()) + 1 - len(table)))
-                for i, a, b in zip(own.tolist(), [0, *ends[:-1]], ends, strict=True):
+                for i, a, b in zip(np.cumsum(unplanes(own)).tolist(), [0, *ends[:-1]], ends, strict=True):
                     table[i] = raw[a:b]
                 continue
-            lengths, at = unpack_parts(payload)
-            at = unplanes(at).tolist()
-            a = 0
-            for doc, n in zip(ids, np.frombuffer(lengths, "<u4").tolist(), strict=True):
-                own = b"".join([table[i] for i in at[a : a + n]])
+            at, a = unplanes(parts[1]), 0
+            for doc, n in zip(ids, np.frombuffer(parts[0], "<u4").tolist(), strict=True):
+                own = b"".join(map(table.__getitem__, at[a : a + n].tolist()))
                 a += n
                 docs.append(doc)
                 out.append(own)
+                if ranks_path:
+                    decoded.append(_bytes_of(own, token))
                 size += len(own)
                 if size >= OUT_BYTES:
                     yield from flush()
@@ -183,37 +200,47 @@ def _assemble(doc_type, batches):
         yield from flush()
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _bytes_of(ids: bytes, token: list[bytes]) -> bytes:
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def bpe_encode(
+    docs: DataFrame, ranks_path: str, pattern: str, decode: bool = False, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """``(doc_id, ids)``: the ids of each whole text as little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded separately by the ranks file, and special strings are
     ordinary text. ``pattern`` must cut at ASCII white space the way GPT-2's does: a space joins
-    the word after it, other white space stands alone. Null and empty texts have no ids;
-    repeated rows and null ids are kept; other columns are ignored.
+    the word after it, other white space stands alone. With ``decode``, ``decoded`` holds the
+    bytes that the ids stand for. Null and empty texts have no ids; repeated rows and null ids
+    are kept; other columns are ignored. ``docs`` is read twice and must not change meanwhile.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = texts(docs, doc_id, text)
+    n = shuffle_partitions(docs.sparkSession)
+    # the number of the scan's own partition, which a task's number is not where a union stands above the scan
+    raw = texts(docs, doc_id, text).withColumn("part", F.spark_partition_id().cast("long"))
     id_type = raw.schema["doc_id"].dataType
-    arrow_id = pa.int64() if isinstance(id_type, T.LongType) else pa.int32() if isinstance(id_type, T.IntegerType) else pa.string()
-    schema = f"kind tinyint, chunk long, bucket int, ids array<{id_type.simpleString()}>, payload binary"
-    cut = raw.mapInArrow(partial(_split, pattern, n, pa.list_(arrow_id)), schema)
-    encoded = (
-        cut.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_encode, ranks_path, pattern, pa.list_(arrow_id)), schema)
-    )
-    whole = encoded.repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
-    return whole.mapInArrow(partial(_assemble, arrow_id), T.StructType([raw.schema["doc_id"], T.StructField("ids", T.BinaryType())]))
+    arrow_id = to_arrow_type(id_type)
+    schema = SCHEMA.format(id_type.simpleString())
+    asked = raw.mapInArrow(partial(_ask, pattern, n, arrow_id), schema)
+    answered = asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_encode, ranks_path, pattern, arrow_id), schema)
+    placed = raw.mapInArrow(partial(_place, pattern, arrow_id), schema)
+    whole = answered.unionByName(placed).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
+    out = [raw.schema["doc_id"], T.StructField("ids", T.BinaryType())]
+    if decode:
+        out.append(T.StructField("decoded", T.BinaryType()))
+    return whole.mapInArrow(partial(_assemble, ranks_path if decode else None, arrow_id), T.StructType(out))
 
 
 def _decode(ranks_path: str, batches):
-    table = token_bytes(ranks_path)
+    token = token_bytes(ranks_path)
     for batch in batches:
-        rows = batch.column("ids").to_pylist()
-        out = [None if r is None else b"".join([table[i] for i in np.frombuffer(r, "<u4").tolist()]) for r in rows]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            out = [None if r is None else _bytes_of(r, token) for r in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes that ``ids`` stand for; the table of token bytes is the vocabulary's."""
+    """``encoded`` with ``decoded``, the bytes that ``ids`` stand for by the token-byte table of the vocabulary."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
     return encoded.mapInArrow(partial(_decode, ranks_path), schema)

@@ -30,23 +30,29 @@ def irregular(raw: bytes, specials: tuple[bytes, ...] = ()) -> bool:
 
 
 class Cache(dict):
-    """unit -> ``make(unit)``, filled on demand and emptied beyond ``limit`` entries.
+    """unit -> ``make(unit)``, filled on demand up to ``limit`` entries.
 
-    Units longer than ``longest`` bytes are made anew each time, so memory stays bounded by
-    ``limit`` short entries. ``fixed`` entries (the broadcast tier) survive the emptying.
+    The units that come first hold most of the frequent ones, so a full cache keeps them and
+    makes others anew; after eight times ``limit`` such misses it starts over, for input whose
+    words have changed. Units longer than ``longest`` bytes are never held, so memory is bounded
+    by ``limit`` short entries. ``fixed`` entries (a broadcast tier) always stay.
     """
 
-    def __init__(self, make, limit: int = 600_000, longest: int = 64, fixed: dict | None = None):
+    def __init__(self, make, limit: int = 500_000, longest: int = 64, fixed: dict | None = None):
         super().__init__(fixed or {})
-        self.make, self.limit, self.longest, self.fixed = make, limit, longest, fixed or {}
+        self.make, self.limit, self.longest, self.fixed, self.missed = make, limit, longest, fixed or {}, 0
 
     def __missing__(self, unit):
         value = self.make(unit)
         if len(unit) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-                self.update(self.fixed)
-            self[unit] = value
+            if len(self) < self.limit:
+                self[unit] = value
+            else:
+                self.missed += 1
+                if self.missed > 8 * self.limit:
+                    self.clear()
+                    self.update(self.fixed)
+                    self.missed = 0
         return value
 
 
@@ -83,7 +89,7 @@ def _letters(core: bytes) -> bool:
 
 
 @cache
-def id_cache(path: str, spaced: bool, limit: int = 1_000_000) -> Cache:
+def id_cache(path: str, spaced: bool, limit: int = 500_000) -> Cache:
     """The worker's cache of unit -> ids, kept over tasks.
 
     A word of letters with punctuation after it is the word and the punctuation, each encoded
