@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, exact_dedup, ngram_quality, packing, simhash, substring_dedup, token_counts, token_files, word_shuffle
+from skein.llm import chat_format, exact_dedup, ngram_quality, packing, posting_lists, simhash, substring_dedup, token_counts, token_files, word_shuffle
 from skein.runtime import shared_folder, table
 
 REGISTRY: dict = {}
@@ -73,6 +73,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).drop("ids")
 
 
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return posting_lists.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
