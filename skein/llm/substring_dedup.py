@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from skein.llm.token_counts import texts
 from skein.runtime import shuffle_partitions
 
-#: Words of an anchor's run; words a task sorts at a time; rows a reducer solves at a time; bytes it emits at a time.
-RUN, CHUNK, SLAB, OUT_BYTES = 8, 1_500_000, 60_000, 8 << 20
+#: Words of an anchor's run; words a task sorts at a time; rows a reducer solves at a time.
+RUN, CHUNK, SLAB = 8, 1_500_000, 60_000
 ODD = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
 WIDTH = 6
 
@@ -219,61 +219,58 @@ def _removed(batches):
         yield from solve(True)
 
 
-MIXED = "doc_id long, kind tinyint, start int, n int, raw binary"
-
-
 def _packed(batches):
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        rows = batch.num_rows
-        packed = [pack(raw) for raw in batch.column("raw").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([1] * rows, pa.int8()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.array(packed, pa.binary())],
-            ["doc_id", "kind", "start", "n", "raw"],
-        )
+    for whole in batches:
+        for k in range(0, whole.num_rows, 512):
+            batch = whole.slice(k, 512)
+            rows = batch.num_rows
+            packed = [pack(raw) for raw in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([1] * rows, pa.int8()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.array(packed, pa.binary()), batch.column("others")],
+                ["doc_id", "kind", "start", "n", "raw", "others"],
+            )
 
 
 def _kept(n: int, batches):
     unpack = zstandard.ZstdDecompressor().decompress
     doc_now, starts, lengths = None, [], []
-    docs, counts, gone, kept, size = [], [], [], [], 0
-
-    def flush():
-        nonlocal docs, counts, gone, kept, size
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())],
-            ["doc_id", "n_words", "n_removed", "kept"],
-        )
-        docs, counts, gone, kept, size = [], [], [], [], 0
-
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("doc_id", "kind", "start", "n", "raw")]
-        for doc, kind, start, length, raw in zip(*columns, strict=True):
-            if doc != doc_now:
-                doc_now, starts, lengths = doc, [], []
-            if kind == 0:  # intervals come before the texts of their document
-                starts.append(start)
-                lengths.append(length)
-                continue
-            words = unpack(raw).split()
-            total = len(words)
-            if starts and doc is not None:
-                at, to = np.array(starts), np.array(starts) + np.array(lengths) + n - 1
-                cover = np.zeros(total + 1, np.int64)
-                np.add.at(cover, np.minimum(at, total), 1)
-                np.add.at(cover, np.minimum(to, total), -1)
-                stay = np.cumsum(cover[:-1]) == 0
-                words = [words[i] for i in np.flatnonzero(stay).tolist()]
-            own = b" ".join(words)
-            docs.append(doc)
-            counts.append(total)
-            gone.append(total - len(words))
-            kept.append(own)
-            size += len(own)
-            if size >= OUT_BYTES:
-                yield from flush()
-    if docs:
-        yield from flush()
+    for whole in batches:
+        for k in range(0, whole.num_rows, 512):
+            batch = whole.slice(k, 512)
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "kind", "start", "n", "raw")]
+            rows, counts, gone, kept = [], [], [], []
+            for row, (doc, kind, start, length, raw) in enumerate(zip(*columns, strict=True)):
+                if doc != doc_now:
+                    doc_now, starts, lengths = doc, [], []
+                if kind == 0:  # intervals come before the texts of their document
+                    starts.append(start)
+                    lengths.append(length)
+                    continue
+                own = unpack(raw)
+                words = own.split()
+                total = len(words)
+                if starts and doc is not None:
+                    at, to = np.array(starts), np.array(starts) + np.array(lengths) + n - 1
+                    cover = np.zeros(total + 1, np.int64)
+                    np.add.at(cover, np.minimum(at, total), 1)
+                    np.add.at(cover, np.minimum(to, total), -1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0).tolist()]
+                rows.append(row)
+                counts.append(total)
+                gone.append(total - len(words))
+                kept.append(b" ".join(words))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([columns[0][r] for r in rows], pa.int64()),
+                        pa.array(counts, pa.int64()),
+                        pa.array(gone, pa.int64()),
+                        pa.array(kept, pa.binary()),
+                        batch.column("others").take(pa.array(rows)),
+                    ],
+                    ["doc_id", "n_words", "n_removed", "kept", "others"],
+                )
 
 
 def removed_windows(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,19 +283,32 @@ def removed_windows(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text:
     return sent.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_removed, REMOVED)
 
 
-def substring_dedup(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for every row of ``docs``; ``kept`` is the words that stay, joined by one space.
 
     Earlier means a smaller document id, or an earlier start in the same document; windows are
     judged on the input. Null and empty texts have no words, texts of under ``n`` words keep
     all. Rows that repeat an id are one document: a position removed in one is removed in all.
-    Rows without an id have no order and keep all their words. Other columns are ignored.
+    Rows without an id have no order and keep all their words. ``carry`` names columns to pass
+    on in a struct ``others``; the rest are ignored.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    raw = texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    others = F.struct(*[F.col(c) for c in carry] or [F.lit(None).cast("int").alias("none")]).alias("others")
+    raw = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"), others
+    )
+    kind_of_others = raw.schema["others"].dataType
+    mixed = f"doc_id long, kind tinyint, start int, n int, raw binary, others {kind_of_others.simpleString()}"
     gone = removed_windows(docs, n, doc_id, text).select(
-        "doc_id", F.lit(0).cast("tinyint").alias("kind"), "start", "n", F.lit(None).cast("binary").alias("raw")
+        "doc_id",
+        F.lit(0).cast("tinyint").alias("kind"),
+        "start",
+        "n",
+        F.lit(None).cast("binary").alias("raw"),
+        F.lit(None).cast(kind_of_others).alias("others"),
     )
-    both = gone.unionByName(raw.mapInArrow(_packed, MIXED))
+    both = gone.unionByName(raw.mapInArrow(_packed, mixed))
     dealt = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind")
-    return dealt.mapInArrow(partial(_kept, n), "doc_id long, n_words long, n_removed long, kept binary")
+    out = f"doc_id long, n_words long, n_removed long, kept binary, others {kind_of_others.simpleString()}"
+    found = dealt.mapInArrow(partial(_kept, n), out)
+    return found if carry else found.drop("others")
