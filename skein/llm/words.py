@@ -117,8 +117,28 @@ def word_ids(path: str, raw: bytes) -> bytes:
     return b"".join(map(id_cache(path, False).__getitem__, raw.split()))
 
 
+#: What makes a text cut at single spaces and line ends differ from its units.
+ODD_SPACE = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
+@cache
+def joined_cache(path: str, limit: int = 800_000) -> Cache:
+    """word -> ids of the word with the space before it."""
+    units = id_cache(path, True)
+    return Cache(lambda word: units.make(b" " + word), limit=limit)
+
+
 def unit_ids(path: str, raw: bytes) -> bytes:
     """Ids of a whole text under a byte-level vocabulary."""
     if irregular(raw, hf_specials(path)):
         return hf_ids(path, raw)
-    return b"".join(map(id_cache(path, True).__getitem__, UNIT.findall(raw)))
+    units = id_cache(path, True)
+    if raw[:1] in (b" ", b"\n") or raw[-1:] in (b" ", b"\n") or any(odd in raw for odd in ODD_SPACE):
+        return b"".join(map(units.__getitem__, UNIT.findall(raw)))
+    joined, line_end, out = joined_cache(path).__getitem__, units[b"\n"], []
+    for line in raw.split(b"\n"):
+        words = line.split(b" ")
+        words[0] = units[words[0]]
+        words[1:] = map(joined, words[1:])
+        out.append(b"".join(words))
+    return line_end.join(out)
