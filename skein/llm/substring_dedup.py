@@ -1,17 +1,26 @@
 """Removal of passages that repeat across or within documents, over the whole corpus.
 
 A window is ``n`` consecutive words of one document; a word goes if a window that covers it
-also starts earlier in the corpus. Every window is dealt by its anchor, the least hash of the
-8-word runs inside it, so equal windows meet and neighbouring windows travel as one row: the
-anchor, where the run of windows starts, and six hash bytes per window. Windows compare by the
-anchor's 64 bits and 48 bits of their own.
-
-A task sorts the windows of some million words by itself first and sends only the first
-occurrence of each; the others are settled there. A passage that a third of all documents hold
-therefore costs one row per task, not one per document.
-
-(An automaton of each reference shard, broadcast to all documents, is `automaton.py`; against
-the corpus itself it would broadcast the whole corpus and read every document once per shard.)
+also starts earlier in the corpus. Repeats are found by suffix automata of reference shards.
+The corpus is its own reference, of no bounded size, so its shards are not broadcast: each
+shard, the passages around one anchor, meets its documents' passages by a shuffle, and they
+stream through the shard's automaton in corpus order, each adding itself after it is matched.
+What matches ``n`` words or more of what came before is removed. Against a reference of bounded
+size, ``reference_spans`` broadcasts the automata to all documents.
+
+A window's anchor is the least hash of the 8-word runs inside it, so equal windows share it and
+neighbouring windows mostly do. The steps:
+
+1. Anchors that occur twice set a bit of a map of ``MAP_BITS`` bits, which is broadcast; the
+   map has that size whatever the input, and a bit set by chance only costs work.
+2. Tasks cut windows with such anchors from documents, some million words at a time, settle
+   what repeats inside those themselves, and send the first occurrences: a passage that a third
+   of all documents hold costs one row per task, not one per document.
+3. Shards match what they get. A shard of over ``CROWD`` passages is matched by sorting window
+   hashes instead, which needs no state per word.
+4. Removed intervals and texts meet by document.
+
+Words compare by 40 bits of their hash next to 64 bits of the anchor.
 """
 
 from __future__ import annotations
@@ -25,13 +34,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.automaton import SuffixAutomaton, spans
 from skein.llm.token_counts import texts
 from skein.runtime import shuffle_partitions
 
-#: Words of an anchor's run; words a task sorts at a time; rows a reducer solves at a time.
-RUN, CHUNK, SLAB = 8, 1_500_000, 60_000
+#: Words of an anchor's run; words a task sorts at a time; rows a reducer solves at a time; passages an automaton takes.
+RUN, CHUNK, SLAB, CROWD = 8, 1_500_000, 40_000, 512
+#: Bits of the map of repeated anchors, and slices that it is made in.
+MAP_BITS, SLICES = 1 << 27, 256
 ODD = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
-WIDTH = 6
+#: Bytes of a word's hash that travel.
+WIDTH = 5
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -76,63 +89,42 @@ def _intervals(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, np.diff(np.append(first, len(at)))
 
 
-ROWS = "anchor long, doc_id long, start int, n int, windows binary"
+def _bit_of(anchors: np.ndarray) -> np.ndarray:
+    return (anchors >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)
 
 
-def _rows(anchor, doc, start, n, windows):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), windows],
-        ["anchor", "doc_id", "start", "n", "windows"],
-    )
+class _Chunk:
+    """The windows of some documents: hashes, anchors, and where each starts."""
 
+    def __init__(self, n: int, docs: list[tuple[int, np.ndarray]]):
+        docs.sort(key=lambda d: d[0])
+        self.words = np.concatenate([h for _, h in docs])
+        sizes = np.array([len(h) for _, h in docs])
+        ends = np.cumsum(sizes)
+        number = np.repeat(np.arange(len(docs)), sizes)
+        self.at = np.flatnonzero(np.arange(len(self.words)) + n <= ends[number])
+        self.number = number[self.at]
+        self.doc = np.array([d for d, _ in docs], np.int64)[self.number]
+        self.start = self.at - (ends - sizes)[self.number]
+        with np.errstate(over="ignore"):
+            self.runs = _mixed(_runs(self.words, RUN))
+        self.anchors = _least(self.runs, n - RUN + 1)[self.at]
 
-def _solve_chunk(n: int, docs: list[tuple[int, np.ndarray]]):
-    docs.sort(key=lambda d: d[0])
-    hashes = np.concatenate([h for _, h in docs])
-    if len(hashes) < n:
-        return
-    sizes = np.array([len(h) for _, h in docs])
-    ends = np.cumsum(sizes)
-    number = np.repeat(np.arange(len(docs)), sizes)
-    valid = np.flatnonzero(np.arange(len(hashes)) + n <= ends[number])
-    if not len(valid):
-        return
-    with np.errstate(over="ignore"):
-        anchors = _least(_mixed(_runs(hashes, RUN)), n - RUN + 1)[valid]
-        windows = _mixed(_runs(hashes, n)[valid])
-        key = windows ^ _mixed(anchors)
-    number = number[valid]
-    doc = np.array([d for d, _ in docs], np.int64)[number]
-    start = valid - (ends - sizes)[number]
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    later = np.zeros(len(key), bool)
-    # a window that ties with the first one, in a repeated row of one document, does not start later
-    later[order] = (doc[order] != doc[first]) | (start[order] != start[first])
-    sent = np.zeros(len(key), bool)
-    sent[order[new]] = True
+    def anchor_runs(self, n: int) -> np.ndarray:
+        """The runs that are the anchor of a window around them, each place of its own."""
+        inside = n - RUN + 1
+        largest = np.zeros(len(self.runs) + inside - 1, np.uint64)  # by place, of the anchors of windows that start there
+        largest[self.at + inside - 1] = self.anchors
+        around = ~_least(~largest, inside)
+        return self.runs[around == self.runs]
 
-    gone = np.flatnonzero(later)
-    if len(gone):
-        a, size = _intervals(valid[gone], number[gone])
-        at = gone[a]
-        yield _rows(windows[at].view(np.int64), doc[at], start[at], size, pa.nulls(len(at), pa.binary()))
-    stay = np.flatnonzero(sent)
-    group = np.cumsum(np.append(True, (anchors[stay][1:] != anchors[stay][:-1]) | (number[stay][1:] != number[stay][:-1])))
-    a, size = _intervals(valid[stay], group)
-    raw = np.ascontiguousarray(windows[stay].astype("<u8").view("u1").reshape(-1, 8)[:, :WIDTH])
-    offsets = np.append(a, len(stay)) * WIDTH
-    at = stay[a]
-    blob = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(raw)])
-    whole = _rows(anchors[at].view(np.int64), doc[at], start[at], size, blob)
-    for k in range(0, whole.num_rows, 50_000):
-        yield whole.slice(k, 50_000)
-
-
-def _windows(n: int, batches):
+    def keep(self, chosen: np.ndarray) -> None:
+        for name in ("at", "number", "doc", "start", "anchors"):
+            setattr(self, name, getattr(self, name)[chosen])
+
+
+def _documents(n: int, batches):
+    """Chunks of documents of at least ``n`` words, with their ids and word hashes."""
     docs, size = [], 0
     for batch in batches:
         for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
@@ -142,52 +134,196 @@ def _windows(n: int, batches):
             docs.append((doc, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))
             size += len(words)
             if size >= CHUNK:
-                yield from _solve_chunk(n, docs)
+                yield _Chunk(n, docs)
                 docs, size = [], 0
     if docs:
-        yield from _solve_chunk(n, docs)
+        yield _Chunk(n, docs)
+
+
+def _anchors(n: int, batches):
+    """Each chunk's distinct anchors, and whether one occurs in two places of it."""
+    for chunk in _documents(n, batches):
+        found, counts = np.unique(chunk.anchor_runs(n), return_counts=True)
+        # sorted by anchor, so rows of a slice follow each other
+        part = (_bit_of(found) // (MAP_BITS // SLICES)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(found.view(np.int64)), pa.array(counts > 1)], ["slice", "anchor", "twice"])
+
+
+def _slice(batches):
+    """The bits of each slice whose anchors repeat."""
+    size = MAP_BITS // SLICES
+
+    def out(part, anchors, twice):
+        order = np.argsort(anchors, kind="stable")
+        anchors, twice = anchors[order], twice[order]
+        again = twice.copy()
+        again[1:] |= anchors[1:] == anchors[:-1]
+        bits = np.zeros(size, bool)
+        bits[_bit_of(anchors[again]) - part * size] = True
+        packed = zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["slice", "bits"])
+
+    now, held, flags = None, [], []
+    for batch in batches:
+        parts = batch.column("slice").to_numpy()
+        anchors = batch.column("anchor").to_numpy().view(np.uint64)
+        twice = batch.column("twice").to_numpy(zero_copy_only=False)
+        heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])).tolist() if len(parts) else []
+        for a, b in zip(heads, [*heads[1:], len(parts)], strict=True):
+            if parts[a] != now:
+                if now is not None:
+                    yield out(now, np.concatenate(held), np.concatenate(flags))
+                now, held, flags = int(parts[a]), [], []
+            held.append(anchors[a:b])
+            flags.append(twice[a:b])
+    if now is not None:
+        yield out(now, np.concatenate(held), np.concatenate(flags))
+
+
+def _repeated_anchors(raw: DataFrame, n: int, parts: int) -> np.ndarray:
+    """The map of repeated anchors, ``MAP_BITS / 8`` bytes on the driver whatever the input."""
+    found = raw.mapInArrow(partial(_anchors, n), "slice int, anchor long, twice boolean")
+    slices = found.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_slice, "slice int, bits binary")
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    size = MAP_BITS // SLICES // 8
+    for part, bits in slices.toLocalIterator():
+        out[part * size : (part + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(bits)), np.uint8)
+    return out
+
+
+ROWS = "anchor long, doc_id long, start int, n int, words binary"
+
+
+def _rows(anchor, doc, start, n, words):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), words],
+        ["anchor", "doc_id", "start", "n", "words"],
+    )
+
+
+def _windows(n: int, repeated, batches):
+    """First occurrences in each chunk as passages; later ones, which are settled, as rows without words."""
+    for chunk in _documents(n, batches):
+        bit = _bit_of(chunk.anchors)
+        chunk.keep(np.flatnonzero(repeated.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1))
+        if not len(chunk.at):
+            continue
+        with np.errstate(over="ignore"):
+            key = _mixed(_runs(chunk.words, n)[chunk.at]) ^ _mixed(chunk.anchors)
+        doc, start = chunk.doc, chunk.start
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = np.zeros(len(key), bool)
+        # a window that ties with the first one, in a repeated row of one document, does not start later
+        later[order] = (doc[order] != doc[first]) | (start[order] != start[first])
+        gone = np.flatnonzero(later)
+        if len(gone):
+            a, size = _intervals(chunk.at[gone], chunk.number[gone])
+            at = gone[a]
+            yield _rows(key[at].view(np.int64), doc[at], start[at], size, pa.nulls(len(at), pa.binary()))
+        stay = np.sort(order[new])
+        anchors = chunk.anchors[stay]
+        group = np.cumsum(np.append(True, (anchors[1:] != anchors[:-1]) | (chunk.number[stay][1:] != chunk.number[stay][:-1])))
+        a, size = _intervals(chunk.at[stay], group)
+        head = stay[a]
+        for k in range(0, len(head), 20_000):
+            yield _passages(n, chunk, head[k : k + 20_000], size[k : k + 20_000])
+
+
+def _passages(n: int, chunk: _Chunk, head: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    long = size + n - 1
+    ends = np.cumsum(long)
+    place = np.repeat(chunk.at[head] - (ends - long), long) + np.arange(ends[-1])
+    raw = np.ascontiguousarray(chunk.words[place].astype("<u8").view("u1").reshape(-1, 8)[:, :WIDTH])
+    offsets = (np.append(0, ends) * WIDTH).astype("<i4")
+    blob = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    return _rows(chunk.anchors[head].view(np.int64), chunk.doc[head], chunk.start[head], size, blob)
 
 
 REMOVED = "doc_id long, start int, n int"
 
 
-def _later(anchor, doc, start, n, windows):
-    """Intervals of windows that another row with the same anchor has earlier."""
-    new = np.append(True, anchor[1:] != anchor[:-1])
-    group = np.cumsum(new) - 1
-    several = np.bincount(group)[group] > 1
-    if not several.any():
-        return None
-    rows = np.flatnonzero(several)
-    rows = rows[np.lexsort((start[rows], doc[rows], group[rows]))]
-    blob = windows.take(pa.array(rows))
-    raw = np.frombuffer(b"".join(blob.to_pylist()), "u1").reshape(-1, WIDTH)
-    own = np.zeros((len(raw), 8), "u1")
-    own[:, :WIDTH] = raw
-    size = n[rows]
-    row = np.repeat(np.arange(len(rows)), size)
-    at = start[rows][row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+def _word_hashes(passages: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(passages), "u1").reshape(-1, WIDTH)
+    wide = np.zeros((len(raw), 8), "u1")
+    wide[:, :WIDTH] = raw
+    return wide.view("<u8").ravel()
+
+
+def _match(n: int, docs: list, starts: list, passages: list[bytes], out: list) -> None:
+    """Windows of each passage of a shard that occur in the passages before it, by the shard's automaton."""
+    first = passages[0]
+    if passages.count(first) == len(passages):  # all alike: the first is whole in all others
+        for k in range(1, len(passages)):
+            if (docs[k], starts[k]) != (docs[0], starts[0]):
+                out.append((docs[k], starts[k], len(first) // WIDTH - n + 1))
+        return
+    automaton, added = SuffixAutomaton(), set()
+    for k, passage in enumerate(passages):
+        size = len(passage) // WIDTH - n + 1
+        tie = k and (docs[k], starts[k]) == (docs[k - 1], starts[k - 1])
+        if tie and passage == passages[k - 1]:
+            continue  # a repeated row of one document: no earlier than the row before it
+        if passage in added:
+            out.append((docs[k], starts[k], size))
+            continue
+        words = _word_hashes([passage]).tolist()
+        if added:
+            out.extend((docs[k], starts[k] + a, b - a - n + 1) for a, b in spans(automaton.statistics(words), n))
+        if k + 1 < len(passages):
+            automaton.add(words)
+            added.add(passage)
+
+
+def _match_crowd(n: int, docs: np.ndarray, starts: np.ndarray, passages: list[bytes], out: list) -> None:
+    """The same by sorting window hashes."""
+    sizes = np.array([len(p) // WIDTH for p in passages])
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(passages)), sizes)
+    words = _mixed(_word_hashes(passages))
+    at = np.flatnonzero(np.arange(len(words)) + n <= ends[row])
+    row = row[at]
+    place = starts[row] + at - (ends - sizes)[row]
     with np.errstate(over="ignore"):
-        key = own.view("<u8").ravel() ^ _mixed(anchor[rows].view(np.uint64))[row]
+        key = _mixed(_runs(words, n)[at])
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     fresh = np.append(True, ordered[1:] != ordered[:-1])
     first = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    documents = doc[rows][row]
     later = np.zeros(len(key), bool)
-    later[order] = (documents[order] != documents[first]) | (at[order] != at[first])
+    later[order] = (docs[row[order]] != docs[row[first]]) | (place[order] != place[first])
     gone = np.flatnonzero(later)
-    if not len(gone):
-        return None
-    a, length = _intervals(at[gone], row[gone])
-    return documents[gone[a]], at[gone[a]], length
+    if len(gone):
+        a, length = _intervals(place[gone], row[gone])
+        out.extend(zip(docs[row[gone[a]]].tolist(), place[gone[a]].tolist(), length.tolist(), strict=True))
+
+
+def _solve(n: int, table: pa.Table) -> list:
+    """Intervals of windows that another passage of the same shard has earlier."""
+    anchor, doc, start = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "start"))
+    new = np.append(True, anchor[1:] != anchor[:-1])
+    group = np.cumsum(new) - 1
+    rows = np.flatnonzero(np.bincount(group)[group] > 1)
+    out: list = []
+    if not len(rows):
+        return out
+    rows = rows[np.lexsort((start[rows], doc[rows], group[rows]))]
+    passages = table.column("words").take(pa.array(rows)).to_pylist()
+    group, doc, start = group[rows], doc[rows], start[rows]
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist()
+    for a, b in zip(heads, [*heads[1:], len(rows)], strict=True):
+        if b - a > CROWD:
+            _match_crowd(n, doc[a:b], start[a:b], passages[a:b], out)
+        else:
+            _match(n, doc[a:b].tolist(), start[a:b].tolist(), passages[a:b], out)
+    return out
 
 
-def _removed(batches):
-    def out(doc, start, n):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "start", "n"]
-        )
+def _removed(n: int, batches):
+    def out(doc, start, size):
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["doc_id", "start", "n"])
 
     held, n_held = [], 0
 
@@ -195,21 +331,18 @@ def _removed(batches):
         nonlocal held, n_held
         table = pa.Table.from_batches(held).combine_chunks()
         anchor = table.column("anchor").to_numpy()
-        cut = len(anchor) if final else int(np.searchsorted(anchor, anchor[-1]))
-        part = table.slice(0, cut)
+        cut = len(anchor) if final else int(np.searchsorted(anchor, anchor[-1]))  # the last shard may go on
+        found = _solve(n, table.slice(0, cut)) if cut else []
         rest = table.slice(cut)
         held, n_held = rest.to_batches(), rest.num_rows
-        if cut:
-            columns = [part.column(c).to_numpy() for c in ("anchor", "doc_id", "start", "n")]
-            found = _later(*columns, part.column("windows").combine_chunks() if cut else None)
-            if found:
-                yield out(*found)
+        if found:
+            yield out(*zip(*found, strict=True))
 
     for batch in batches:
-        settled = batch.filter(batch.column("windows").is_null())
+        settled = batch.filter(batch.column("words").is_null())
         if settled.num_rows:
             yield out(*[settled.column(c) for c in ("doc_id", "start", "n")])
-        batch = batch.filter(batch.column("windows").is_valid())
+        batch = batch.filter(batch.column("words").is_valid())
         if batch.num_rows:
             held.append(batch)
             n_held += batch.num_rows
@@ -277,10 +410,57 @@ def removed_windows(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text:
     """``(doc_id, start, n)``: runs of window starts whose windows start earlier in the corpus."""
     if n <= RUN:
         raise ValueError(f"windows have over {RUN} words")
-    parts = shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
+    raw = texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    repeated = spark.sparkContext.broadcast(_repeated_anchors(raw, n, parts))
+    sent = raw.mapInArrow(partial(_windows, n, repeated), ROWS)
+    return sent.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(partial(_removed, n), REMOVED)
+
+
+#: Words of a reference that one automaton holds, and of all its shards together.
+SHARD_WORDS, REFERENCE_WORDS = 100_000, 2_000_000
+
+
+def _statistics(n: int, automaton, batches):
+    for batch in batches:
+        out = []
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            out.extend((doc, a, b - a) for a, b in spans(automaton.value.statistics(raw.split()), n))
+        if out:
+            doc, start, size = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["doc_id", "start", "n"])
+
+
+def reference_spans(docs: DataFrame, reference: DataFrame, n: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, start, n)``: maximal spans of words of each document whose windows of ``n`` words occur in ``reference (text)``.
+
+    The reference is cut into shards of ``SHARD_WORDS`` words, each text with the ``n - 1``
+    words before the cut; their automata are broadcast and every document streams through each.
+    References of over ``REFERENCE_WORDS`` words raise: they are no bounded broadcast. Spans
+    of several shards may overlap.
+    """
+    spark = docs.sparkSession
+    words = F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"))
+    if (reference.agg(F.sum(words)).first()[0] or 0) > REFERENCE_WORDS:
+        raise ValueError(f"a reference of over {REFERENCE_WORDS} words")
+    shards, size = [[]], 0
+    for (body,) in reference.select(F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
+        own = body.encode().split()
+        for a in range(0, max(len(own), 1), SHARD_WORDS):
+            piece = own[max(0, a - n + 1) : a + SHARD_WORDS]
+            if size + len(piece) > SHARD_WORDS and shards[-1]:
+                shards.append([])
+                size = 0
+            shards[-1].append(piece)
+            size += len(piece)
     raw = texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sent = raw.mapInArrow(partial(_windows, n), ROWS)
-    return sent.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_removed, REMOVED)
+    out = None
+    for shard in shards:
+        automaton = spark.sparkContext.broadcast(SuffixAutomaton(shard))
+        found = raw.mapInArrow(partial(_statistics, n, automaton), REMOVED)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def substring_dedup(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
