@@ -89,7 +89,7 @@ def _format(id_type, batches):
     def out(table: pa.Table):
         conv = table.column("conv_id").combine_chunks()
         key = conv.to_pylist()
-        new = np.append(False, [a != b for a, b in zip(key[1:], key[:-1], strict=True)])
+        new = np.array([False, *(a != b for a, b in zip(key[1:], key[:-1], strict=True))], bool)
         number = np.cumsum(new)
         heads = np.flatnonzero(np.append(True, new[1:])) if len(key) else np.zeros(0, int)
         role, text = (table.column(c).combine_chunks() for c in ("role", "text"))
