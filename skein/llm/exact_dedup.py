@@ -23,8 +23,12 @@ LEAST_COPIES = 64
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, text_sha256)`` of each text with every run of white space as one space; null counts as empty."""
+    return docs.select(F.col(doc_id).alias("doc_id"), digest(text).alias("text_sha256"))
+
+
+def digest(text: str):
     normal = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.sha2(normal.cast("binary"), 256).alias("text_sha256"))
+    return F.sha2(normal.cast("binary"), 256)
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,8 +62,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns and whole texts.
 
-    Only ids cross a shuffle beside the text of the rows themselves.
+    Rows are found again by id and digest, so a row that repeats another document's id, or has
+    none, goes by its own text.
     """
-    mark = "__stays"
-    stays = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(stays, F.col(doc_id).eqNullSafe(F.col(mark)), "left_semi")
+    stays = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+    own = docs.withColumn("__own", digest(text))
+    return own.join(stays, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi").drop("__own")

@@ -62,8 +62,13 @@ def _sketches(k: int, batches):
     for batch in batches:
         found = [sketch(raw, k) for raw in batch.column("raw").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([f for f, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int64()))],
-            ["doc_id", "fp", "keys"],
+            [
+                batch.column("doc_id"),
+                batch.column("text_hash"),
+                pa.array([f for f, _ in found], pa.binary()),
+                pa.array([x for _, x in found], pa.list_(pa.int64())),
+            ],
+            ["doc_id", "text_hash", "fp", "keys"],
         )
 
 
@@ -156,15 +161,17 @@ LINKS = "a long, b long, key long, fp binary, keys array<long>"
 def similar_groups(
     docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``(doc_id, component_id)``: the smallest id that links between similar texts reach, for every row of ``docs``.
+    """``(doc_id, text_hash, component_id)``: the smallest id that links between similar texts reach, for every row of ``docs``.
+
+    ``text_hash`` is the XXH64 of the text, by which rows that share an id are told apart.
 
     A-Z is put in lower case, words are cut at ASCII white space; fewer than ``k`` words are one
     shingle. Null and empty texts equal each other. Rows without an id join groups and never
     name one; a group of such rows only has a null id. Other columns are ignored.
     """
     n = shuffle_partitions(docs.sparkSession)
-    raw = texts(docs, doc_id, text)
-    schema = T.StructType([raw.schema["doc_id"], T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    raw = texts(docs, doc_id, text).withColumn("text_hash", F.xxhash64("raw"))
+    schema = T.StructType([raw.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     found = materialize(raw.mapInArrow(partial(_sketches, k), schema), "sketches")
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")).where("node IS NOT NULL")
     nodes = materialize(nodes, "nodes")
@@ -182,12 +189,12 @@ def similar_groups(
         links = links.unionByName(solved(finer.dropDuplicates(["key", "node"]), 0).select("a", "b"))
     parts = connected_components(links, "a", "b")
     labelled = nodes.select("fp", "node").join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.select("doc_id", "fp").join(labelled, "fp", "left").select("doc_id", "component_id")
+    return found.select("doc_id", "text_hash", "fp").join(labelled, "fp", "left").select("doc_id", "text_hash", "component_id")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the smallest id. Rows without an id stay only beside none with one."""
-    mark = "__stays"
     stays = similar_groups(docs, k, similarity, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(stays, F.col(doc_id).eqNullSafe(F.col(mark)), "left_semi")
+    stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return own.join(stays, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi").drop("__own")
