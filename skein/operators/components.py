@@ -37,10 +37,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         seen = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # settled: each node has one edge to its smallest node, roots appear as a loop or a target only
+    # settled: each node has one edge to its smallest node, beside a loop that it may have had; roots are targets or loops
     members = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
-    return members.unionByName(roots).distinct()
+    return members.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def _large_star(e: DataFrame) -> DataFrame:
