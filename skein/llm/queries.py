@@ -70,7 +70,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), end_id=0)
-    return token_files.read_token_files(spark, path).drop("ids")
+    return token_files.read_token_files(spark, path, with_ids=False)
 
 
 @query

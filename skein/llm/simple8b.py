@@ -40,7 +40,7 @@ def _steps(grid: np.ndarray) -> np.ndarray:
             more = min(width, count - width)
             most = np.maximum(most[:, : most.shape[1] - more], most[:, more:])
             width += more
-        fits = most[:, :FRAME] < (1 << bits)
+        fits = most[:, :FRAME] < (1 << bits) if bits < 8 * grid.itemsize else np.ones((len(grid), FRAME), bool)
         if not fits.any():
             break  # nor do more values in fewer bits
         step[fits] = count
@@ -53,6 +53,8 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     frames = -(-n // FRAME)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if values.max() < 1 << 16:
+        values = values.astype(np.uint16)  # the narrowest columns that hold them
     grid = _grid(values, frames)
     step = _steps(grid).ravel()
     chosen = np.zeros(frames * FRAME, bool)

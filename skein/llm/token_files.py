@@ -115,31 +115,35 @@ def write_token_files(
     blocks.write.option("compression", "zstd").parquet(path)
 
 
-def _read(batches):
+def _read(with_ids: bool, batches):
     for batch in batches:
         for first, payload in zip(batch.column("at").to_pylist(), batch.column("payload").to_pylist(), strict=True):
             docs, lengths, ids = decode_block(payload)
             ends = np.cumsum(lengths)
-            raw, size = ids.tobytes(), 0
+            starts = ends - lengths
+            raw = memoryview(ids).cast("B")
             for a in range(0, len(docs), 1_000):
-                part = range(a, min(a + 1_000, len(docs)))
-                own = [raw[4 * (ends[k] - lengths[k]) : 4 * ends[k]] for k in part]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([docs[k] for k in part], pa.int64()),
-                        pa.array([first + int(ends[k] - lengths[k]) for k in part], pa.int64()),
-                        pa.array([int(lengths[k]) for k in part], pa.int64()),
-                        pa.array(own, pa.binary()),
-                        pa.array([zlib.crc32(x) for x in own], pa.int64()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids", "ids_crc32"],
-                )
-
-
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids, ids_crc32)`` of each document; ``start`` counts the ids of all documents before it.
-
-    Only one number per file comes to the driver.
+                part = slice(a, a + 1_000)
+                own = [raw[4 * s : 4 * e] for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+                arrays = [
+                    pa.array(docs[part], pa.int64()),
+                    pa.array(starts[part] + first),
+                    pa.array(lengths[part]),
+                    pa.array([zlib.crc32(x) for x in own], pa.int64()),
+                ]
+                if with_ids:
+                    arrays.append(pa.array([bytes(x) for x in own], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, READ_NAMES[: len(arrays)])
+
+
+READ_NAMES = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+
+
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32, ids)`` of each document; ``start`` counts the ids of all documents before it.
+
+    Every id is decoded; without ``with_ids`` they stay in the task. Only one number per file
+    comes to the driver.
     """
     blocks = spark.read.schema(FILE_SCHEMA).parquet(path)
     sizes = blocks.groupBy("file").agg(F.sum("n_ids").alias("n")).orderBy("file").collect()
@@ -149,4 +153,5 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         at += n
     starts = spark.createDataFrame(starts, "file int, before long")
     placed = blocks.join(F.broadcast(starts), "file").select((F.col("before") + F.col("first")).alias("at"), "payload")
-    return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    out = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return placed.mapInArrow(partial(_read, with_ids), out)

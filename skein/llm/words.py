@@ -76,6 +76,35 @@ def hf_ids(path: str, raw: bytes) -> bytes:
     return ids.tobytes()
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, others as letters from U+0100 on."""
+    out, spare = {}, 0x100
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte:
+            out[byte] = chr(byte)
+        else:
+            out[byte] = chr(spare)
+            spare += 1
+    return out
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+@cache
+def letter_coder(path: str):
+    """Ids of one pre-token of letters by the library's model alone, which is all that is left to do for it."""
+    tokenize = hf_tokenizer(path).model.tokenize
+
+    def ids(core: bytes) -> bytes:
+        out = array("I", [t.id for t in tokenize(core.decode("latin-1").translate(BYTE_LETTERS))])
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
+
+    return ids
+
+
 #: Punctuation that both vocabularies cut off a word of letters.
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~'"
 
@@ -96,18 +125,14 @@ def id_cache(path: str, spaced: bool, limit: int = 500_000) -> Cache:
     once however they combine; ``spaced`` vocabularies keep case and the space before a word,
     others put everything in lower case.
     """
-    parts = Cache(lambda part: hf_ids(path, part), limit=limit)
+    letters, others = Cache(letter_coder(path), limit=limit), Cache(lambda part: hf_ids(path, part), limit=limit // 4)
 
     def make(unit: bytes) -> bytes:
         core = unit.rstrip(TAIL)
-        tail = unit[len(core) :]
-        if spaced:
-            if tail and core and _letters(core.removeprefix(b" ")):
-                return parts[core] + parts[tail]
-        elif core and _letters(core):
-            low = core.lower() if core.isascii() else core.decode().lower().encode()
-            return parts[low] + parts[tail] if tail else parts[low]
-        return parts[unit]
+        if not core or not _letters(core.removeprefix(b" ") if spaced else core):
+            return others[unit]
+        own = letters[core if spaced else core.lower() if core.isascii() else core.decode().lower().encode()]
+        return own + others[unit[len(core) :]] if len(core) < len(unit) else own
 
     return Cache(make, limit=limit)
 
@@ -122,17 +147,31 @@ ODD_SPACE = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 @cache
-def joined_cache(path: str, limit: int = 800_000) -> Cache:
+def line_cache(path: str) -> Cache:
+    """The units that no single space precedes: the first words of lines, and white space."""
+    return id_cache(path, True, 60_000)
+
+
+@cache
+def joined_cache(path: str, limit: int = 550_000) -> Cache:
     """word -> ids of the word with the space before it."""
-    units = id_cache(path, True)
-    return Cache(lambda word: units.make(b" " + word), limit=limit)
+    code, others = letter_coder(path), line_cache(path)
+    cores = Cache(lambda core: code(b" " + core), limit=400_000)
+
+    def make(word: bytes) -> bytes:
+        core = word.rstrip(TAIL)
+        if not core or not (core.isalpha() or _letters(core)):
+            return others[b" " + word]
+        return cores[core] + others[word[len(core) :]] if len(core) < len(word) else cores[core]
+
+    return Cache(make, limit=limit)
 
 
 def unit_ids(path: str, raw: bytes) -> bytes:
     """Ids of a whole text under a byte-level vocabulary."""
     if irregular(raw, hf_specials(path)):
         return hf_ids(path, raw)
-    units = id_cache(path, True)
+    units = line_cache(path)
     if raw[:1] in (b" ", b"\n") or raw[-1:] in (b" ", b"\n") or any(odd in raw for odd in ODD_SPACE):
         return b"".join(map(units.__getitem__, UNIT.findall(raw)))
     joined, line_end, out = joined_cache(path).__getitem__, units[b"\n"], []

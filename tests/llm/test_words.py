@@ -32,3 +32,14 @@ def test_any_text(text):
     text = raw.decode()
     assert np.frombuffer(word_ids(WORD, raw), "<u4").tolist() == whole(WORD, text)
     assert np.frombuffer(unit_ids(BYTE, raw), "<u4").tolist() == whole(BYTE, text)
+
+
+LATIN = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.text(LATIN, min_size=1, max_size=9), st.sampled_from(["", ".", ",", "'s", "!!", "'", "...)", " ", "1"])), max_size=5))
+def test_latin_words(pairs):
+    text = " ".join(word + tail for word, tail in pairs)
+    assert np.frombuffer(word_ids(WORD, text.encode()), "<u4").tolist() == whole(WORD, text)
+    assert np.frombuffer(unit_ids(BYTE, text.encode()), "<u4").tolist() == whole(BYTE, text)
