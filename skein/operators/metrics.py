@@ -167,3 +167,9 @@ def reproduced(first: DataFrame, second: DataFrame, key: str, value: str) -> Dat
     """How many shared keys there are and on how many the two runs differ."""
     both = first.select(key, F.col(value).alias("a")).join(second.select(key, F.col(value).alias("b")), key)
     return both.agg(F.count("*").alias("n_shared"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_different"))
+
+
+def metric_rows(report: DataFrame) -> DataFrame:
+    """A one-row report as ``(metric, value)``."""
+    pairs = ", ".join(f"'{c}', cast(`{c}` AS double)" for c in report.columns)
+    return report.selectExpr(f"stack({len(report.columns)}, {pairs}) AS (metric, value)")

@@ -413,3 +413,44 @@ long AS (SELECT user_id, phase_id, 'rainfall_t' AS feature, rainfall_t AS value
          UNION ALL SELECT user_id, phase_id, 'cumulative_rainfall_t', cumulative_rainfall_t FROM users CROSS JOIN running)
 SELECT user_id, feature, max(value) FILTER (phase_id = 0) AS t0, max(value) FILTER (phase_id = 1) AS t1,
        max(value) FILTER (phase_id = 2) AS t2, max(value) FILTER (phase_id = 3) AS t3 FROM long GROUP BY 1, 2"""
+
+SQL["dashboard_star"] = f"""WITH {PREDICTED}
+SELECT u.user_id, round(CASE WHEN h.elevation > 49 THEN h.elevation ELSE 0 END, 1) AS elevation, f.flood_label AS truth, p.y_pred,
+       CAST(u.user_id IN (FROM sar) AS INT) AS seen,
+       CASE WHEN f.flood_label = 1 AND p.y_pred = 1 THEN 'hit' WHEN f.flood_label = 1 THEN 'miss' WHEN p.y_pred = 1 THEN 'alarm' ELSE 'dry' END AS colour
+FROM users u JOIN heights h ON h.node = u.user_id JOIN fused f ON f.user_id = u.user_id AND f.phase_id = 2
+JOIN predicted p ON p.node = u.user_id AND p.next_phase = 2"""
+SQL["source_overlap"] = f"""WITH {SETS}, seen AS (SELECT * FROM sar UNION SELECT * FROM model)
+SELECT (SELECT count(*) FROM news WHERE user_id NOT IN (FROM seen)) AS news_only, (SELECT count(*) FROM seen WHERE user_id NOT IN (FROM news)) AS others_only,
+       (SELECT count(*) FROM news WHERE user_id IN (FROM seen)) AS in_both"""
+SQL["graph_report"] = f"""WITH RECURSIVE {SEGMENTS},
+nodes AS (SELECT u AS node FROM segments UNION SELECT v FROM segments),
+d AS (SELECT node, (SELECT count(*) FROM segments WHERE v = node) AS i, (SELECT count(*) FROM segments WHERE u = node) AS o FROM nodes),
+both_ways AS (SELECT u AS a, v AS b FROM segments UNION SELECT v, u FROM segments),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT reach.a, e.b FROM reach JOIN both_ways e ON reach.b = e.a),
+part AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT 'n_nodes' AS metric, CAST(count(*) AS DOUBLE) AS value FROM d
+UNION ALL SELECT 'n_isolated', 0 UNION ALL SELECT 'n_dead_ends', count(*) FROM d WHERE i > 0 AND o = 0
+UNION ALL SELECT 'n_segments', count(*) FROM segments UNION ALL SELECT 'n_loops', count(*) FROM segments WHERE u = v
+UNION ALL SELECT 'n_line_edges', count(*) FROM line UNION ALL SELECT 'most_at_a_junction', max(i * o) FROM d
+UNION ALL SELECT 'n_components', count(DISTINCT c) FROM part"""
+SQL["fusion_report"] = f"""WITH {PHASES}, {FUSED}, p AS (SELECT * FROM fused WHERE phase_id = 2)
+SELECT 'in_sar' AS metric, CAST(sum(in_sar) AS DOUBLE) AS value FROM p UNION ALL SELECT 'in_model', sum(in_model) FROM p UNION ALL SELECT 'in_news', sum(in_news) FROM p
+UNION ALL SELECT 'two_or_more', count(*) FROM p WHERE n_sources >= 2
+UNION ALL SELECT 'n_rows', count(*) FROM fused UNION ALL SELECT 'n_entities', count(DISTINCT user_id) FROM fused"""
+SQL["first_scene"] = """
+SELECT event_id, ts, user_id FROM events WHERE event_type = 'view' AND value BETWEEN 40 AND 60 AND ts >= '2024-01-10' AND ts < '2024-01-12'
+ORDER BY ts, event_id LIMIT 1"""
+SQL["daily_peaks"] = """
+WITH h AS (SELECT date_trunc('hour', ts) AS time, round(sum(value), 3) AS value FROM events GROUP BY 1)
+SELECT CAST(time AS DATE) AS date, time, value FROM h QUALIFY row_number() OVER (PARTITION BY CAST(time AS DATE) ORDER BY value DESC, time) = 1"""
+SQL["utm_places"] = f"""WITH {PLACES},
+k AS (SELECT 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n),
+c AS (SELECT n, 0.9996::DOUBLE * 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS r, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1,
+             13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3, 2 * sqrt(n) / (1 + n) AS e FROM k),
+s AS (SELECT s_suppkey, radians(12 + y / 50) AS phi, radians(79 + x / 50 - 81) AS lam FROM sites),
+t AS (SELECT s.*, c.*, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM s, c),
+z AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT s_suppkey,
+  round(500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 2) AS easting,
+  round(r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 2) AS northing FROM z"""

@@ -740,3 +740,71 @@ def tensor_permuted(spark, d):
     per_phase = timeseries.running_total(totals(spark, d)).select("phase_id", "rainfall_t", "cumulative_rainfall_t")
     long = labels.spread(users(spark, d), per_phase).unpivot(["user_id", "phase_id"], ["rainfall_t", "cumulative_rainfall_t"], "feature", "value")
     return long.groupBy("user_id", "feature").pivot("phase_id", [0, 1, 2, 3]).agg(F.first("value")).withColumnsRenamed({str(k): f"t{k}" for k in range(4)})
+
+
+@query
+def dashboard_star(spark, d):
+    """The spine of entities with elevation, split, truth and prediction at the peak, gaps filled."""
+    peak = fused(spark, d).where("phase_id = 2").select("user_id", F.col("flood_label").alias("truth"))
+    guess = predicted(spark, d).where("next_phase = 2").select(F.col("node").alias("user_id"), "y_pred")
+    high = heights(spark, d).where("elevation > 49").select(F.col("node").alias("user_id"), "elevation")
+    sources = named_sets(spark, d)["sar"].withColumn("seen", F.lit(1))
+    rows = users(spark, d).join(high, "user_id", "left").join(peak, "user_id", "left").join(guess, "user_id", "left").join(sources, "user_id", "left")
+    filled = {"elevation": F.round(F.coalesce("elevation", F.lit(0.0)), 1), "seen": F.coalesce("seen", F.lit(0))}
+    colour = F.when(F.col("truth") == 1, F.when(F.col("y_pred") == 1, "hit").otherwise("miss")).otherwise(F.when(F.col("y_pred") == 1, "alarm").otherwise("dry"))
+    return rows.withColumns(filled).withColumn("colour", colour).select("user_id", "elevation", "truth", "y_pred", "seen", "colour")
+
+
+@query
+def source_overlap(spark, d):
+    """How the news source and the two others overlap, and who is in the news only."""
+    sets = named_sets(spark, d)
+    seen = labels.union_of([sets["sar"], sets["model"]], "user_id")
+    return graph.key_consistency(sets["news"], seen, "user_id").withColumnsRenamed({"only_first": "news_only", "only_second": "others_only"})
+
+
+@query
+def graph_report(spark, d):
+    """The line graph's report, a row per metric."""
+    rows = segments(spark, d)
+    profile = graph.graph_profile(rows, graph.nodes_of(rows))
+    line = graph.line_degree(rows).agg(F.sum("n_edges").alias("n_line_edges"), F.max("n_edges").alias("most_at_a_junction"))
+    parts = graph.weak_components(rows).agg(F.count_distinct("component").alias("n_components"))
+    return metrics.metric_rows(profile).unionByName(metrics.metric_rows(line)).unionByName(metrics.metric_rows(parts))
+
+
+@query
+def fusion_report(spark, d):
+    rows = fused(spark, d)
+    peak = rows.where("phase_id = 2")
+    counts = peak.agg(*[F.sum(c).cast("long").alias(c) for c in ("in_sar", "in_model", "in_news")], F.count_if(F.col("n_sources") >= 2).alias("two_or_more"))
+    return metrics.metric_rows(counts).unionByName(metrics.metric_rows(rows.agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_entities"))))
+
+
+@query
+def first_scene(spark, d):
+    """The first event of a type inside a window of time and a range of values."""
+    rows = table(spark, d, "events").where("event_type = 'view' AND value BETWEEN 40 AND 60 AND ts >= '2024-01-10' AND ts < '2024-01-12'")
+    return rows.orderBy("ts", "event_id").limit(1).select("event_id", "ts", "user_id")
+
+
+@query
+def daily_peaks(spark, d):
+    """The hour of the largest sum of each day, the earliest among equals."""
+    hours = timeseries.hourly(table(spark, d, "events"), "ts", "value").withColumn("value", F.round("value", 3))
+    best = hours.groupBy(F.to_date("time").alias("date")).agg(F.min(F.struct((-F.col("value")).alias("v"), "time")).alias("b"))
+    return best.select("date", F.col("b.time").alias("time"), (-F.col("b.v")).alias("value"))
+
+
+@query
+def penalty_grid(spark, d):
+    rows = table(spark, d, "embeddings").select("embedding", (F.col("label") < 5).cast("int").alias("y"), (F.col("vec_id") % 12).alias("ward"))
+    return splits.grid_search(rows, splits.group_folds(rows, "ward", 3), "ward", "embedding", "y", [0.01, 0.1])
+
+
+@query
+def utm_places(spark, d):
+    """Places between 79 and 81 degrees east in metres of zone 44."""
+    spots = places(spark, d, "supplier", "s_suppkey").select("s_suppkey", (79 + F.col("x") / 50).alias("lon"), (12 + F.col("y") / 50).alias("lat"))
+    x, y = spatial.utm(F.col("lon"), F.col("lat"), 44)
+    return spots.select("s_suppkey", F.round(x, 2).alias("easting"), F.round(y, 2).alias("northing"))

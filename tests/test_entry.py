@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 OWN = [n for n in QUERIES if not n.startswith("op") and n != "pipeline"]
 #: Python-side parsing, similarity search and fitted models have no SQL.
-WITHOUT_SQL = {"html_paragraphs", "ngram_windows", "fuzzy_mentions", "linear_probe", "leave_one_out"}
+WITHOUT_SQL = {"html_paragraphs", "ngram_windows", "fuzzy_mentions", "linear_probe", "leave_one_out", "penalty_grid"}
 
 
 @pytest.fixture(scope="module")
