@@ -16,13 +16,14 @@ def shared_folder(spark: SparkSession) -> str:
     machine) a folder under the local temporary directory is set for the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"skein-{os.getuid()}")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), f"skein-{os.getuid()}"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
