@@ -67,4 +67,5 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     stays = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
     own = docs.withColumn("__own", digest(text))
-    return own.join(stays, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi").drop("__own")
+    # ids are hashed within each part, so whole texts are dealt but not sorted
+    return own.join(stays.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi").drop("__own")

@@ -131,75 +131,52 @@ def _forest(table: PivotTable, rows: np.ndarray, radius: int):
             yield np.full(len(members), root[0]), members
 
 
-def _links(radius: int, crowd: int, batches):
-    """Links inside each run of equal keys; rows of crowded keys are passed on with their key's number."""
+def _links(radius: int, batches):
+    """Links inside each run of equal keys; a run is bounded, so the last one of a batch can wait for the next."""
 
-    def out(a, b, fp, key):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(fp, pa.int64()), pa.array(key, pa.int32())], ["a", "b", "fp", "choice"]
-        )
+    def out(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def solve(columns):
         choice, key, fp, node = columns
-        n = len(node)
-        new = np.ones(n, bool)
-        new[1:] = (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, n))
-        several = np.repeat(sizes, sizes) > 1
-        rows = np.flatnonzero(several)
+        new = np.append(True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]))
+        sizes = np.diff(np.append(np.flatnonzero(new), len(node)))
+        rows = np.flatnonzero(np.repeat(sizes, sizes) > 1)
         if not len(rows):
             return
-        fp, node, choice = fp[rows].view(np.uint64), node[rows], choice[rows]
-        group = np.repeat(np.arange(len(starts)), sizes)[rows]
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        sizes = np.diff(np.append(starts, len(rows)))
+        group = np.repeat(np.arange(len(sizes)), sizes)[rows]
+        fp, node, sizes = fp[rows].view(np.uint64), node[rows], sizes[sizes > 1]
+        starts = np.cumsum(sizes) - sizes
         table = PivotTable(fp)
-        size_of = np.repeat(sizes, sizes)
+        small = np.repeat(sizes, sizes) <= 8
         for step in range(1, 8):  # all pairs of keys with up to eight rows
-            i = np.flatnonzero((group[:-step] == group[step:]) & (size_of[:-step] <= 8)) if len(group) > step else np.zeros(0, int)
-            i = i[table.linked(i, i + step, radius)] if len(i) else i
+            i = np.flatnonzero((group[:-step] == group[step:]) & small[:-step])
+            i = i[table.linked(i, i + step, radius)]
             if len(i):
-                yield out(node[i], node[i + step], np.zeros(len(i), np.int64), np.full(len(i), -1))
-        for s, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            if size <= 8:
-                continue
-            if crowd and size > crowd:
-                own = slice(s, s + size)
-                yield out(node[own], node[own], fp[own].view(np.int64), choice[own])
-                continue
-            for a, b in _forest(table, np.arange(s, s + size), radius):
-                yield out(node[a], node[b], np.zeros(len(a), np.int64), np.full(len(a), -1))
+                yield out(node[i], node[i + step])
+        for s in np.flatnonzero(sizes > 8).tolist():
+            for a, b in _forest(table, np.arange(starts[s], starts[s] + sizes[s]), radius):
+                yield out(node[a], node[b])
 
     carry = None
-    passing = None  # the key of a crowded run that goes on
     for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "key", "fp", "node")]
         if not batch.num_rows:
             continue
-        if passing is not None:
-            own = (columns[0] == passing[0]) & (columns[1] == passing[1])
-            if own.any():
-                yield out(columns[3][own], columns[3][own], columns[2][own], columns[0][own])
-                columns = [c[~own] for c in columns]
-            if not len(columns[0]):
-                continue
-            passing = None
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "key", "fp", "node")]
         if carry is not None:
             columns = [np.concatenate(pair) for pair in zip(carry, columns, strict=True)]
         last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
         cut = len(last) - int(last.sum())
-        yield from solve([c[:cut] for c in columns])
+        if cut:
+            yield from solve([c[:cut] for c in columns])
         carry = [c[cut:] for c in columns]
-        if crowd and len(carry[0]) > crowd:
-            passing = (carry[0][0], carry[1][0])
-            yield out(carry[3], carry[3], carry[2], carry[0])
-            carry = None
     if carry is not None:
         yield from solve(carry)
 
 
-LINKS = "a long, b long, fp long, choice int"
+LINKS = "a long, b long"
+#: Crowded keys are broadcast up to this many, after they are counted; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def _keyed(rows: DataFrame, masks: list[int], base: int = 0) -> DataFrame:
@@ -218,27 +195,34 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, crowd: int = CROWD) ->
         raise ValueError("keys of three blocks in six hold a radius of at most three")
     n = shuffle_partitions(nodes.sparkSession)
 
-    def solved(keyed: DataFrame, crowd: int) -> DataFrame:
+    def solved(keyed: DataFrame) -> DataFrame:
         dealt = keyed.repartition(n, "choice", "key").sortWithinPartitions("choice", "key")
-        return dealt.mapInArrow(partial(_links, radius, crowd), LINKS)
+        return dealt.mapInArrow(partial(_links, radius), LINKS)
 
-    first = materialize(solved(_keyed(nodes, MASKS), crowd), "links")
-    crowded = first.where("choice >= 0").select("choice", "fp", F.col("a").alias("node"))
-    links = first.where("choice < 0").select("a", "b")
-    if crowded.isEmpty():
+    keyed = _keyed(nodes, MASKS)
+    calm, crowded = split_crowded(keyed, ["choice", "key"], crowd)
+    links = solved(calm)
+    if crowded is None:
         return links
     # a crowded key's rows meet again by their fixed bits and three of six blocks of the other bits
-    finer = F.array(
-        *[
-            F.when(F.col("choice") == k, F.array(*[F.lit(_signed(mask | m)) for m in OPEN_MASKS[k]]))
-            for k, mask in enumerate(MASKS)
-        ]
-    )
-    masks = F.filter(finer, lambda x: x.isNotNull())[0]
-    dealt = crowded.select("choice", "fp", "node", F.posexplode(masks).alias("m", "mask")).select(
+    finer = F.coalesce(*[F.when(F.col("choice") == k, F.array(*[F.lit(_signed(mask | m)) for m in OPEN_MASKS[k]])) for k, mask in enumerate(MASKS)])
+    dealt = crowded.select("choice", "fp", "node", F.posexplode(finer).alias("m", "mask")).select(
         (F.col("choice") * 20 + F.col("m")).alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node"
     )
-    return links.unionByName(solved(dealt, 0).select("a", "b"))
+    return links.unionByName(solved(dealt))
+
+
+def split_crowded(keyed: DataFrame, key: list[str], crowd: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with at most ``crowd`` rows, and those of other keys, if there are any.
+
+    Keys are counted by a partial aggregate, so no task sees all rows of a crowded one.
+    """
+    heavy = materialize(keyed.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(*key), "crowded")
+    found = heavy.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return keyed, None
+    side = F.broadcast(heavy) if found <= BROADCAST_KEYS else heavy
+    return keyed.join(side, key, "left_anti"), keyed.join(side, key, "left_semi")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

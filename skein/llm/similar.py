@@ -8,9 +8,9 @@ texts of similarity ``s`` share none of them with probability ``(1 - s) ** KEYS`
 100 000 at 0.8. Texts that share a key are linked if their distance is that of similarity
 ``s``, plus one standard deviation of the estimate.
 
-A key gives a forest of links, never all pairs. Rows of a key that over ``CROWD`` texts share
-are dealt again by that key and each of their others; what is then still crowded is compared
-with the leaders of its groups as it streams by.
+A key gives a forest of links, never all pairs. Keys that over ``CROWD`` texts share are found
+by a partial aggregate and their rows dealt by that key and each of their others instead; what
+is then still crowded is compared with the leaders of its groups as it streams by.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.simhash import SLAB, shingle_hashes
+from skein.llm.simhash import SLAB, shingle_hashes, split_crowded
 from skein.llm.token_counts import texts
 from skein.operators.components import connected_components
 from skein.runtime import materialize, shuffle_partitions
@@ -90,74 +90,57 @@ def forest(fps: np.ndarray, radius: int):
             left = left[~near]
 
 
-def _links(radius: int, crowd: int, batches):
-    """Links inside runs of equal keys. Rows of crowded runs go on with their key, or, if ``crowd`` is 0, are linked to leaders."""
-    now, nodes, fps, keys, going = None, [], [], [], False
-    a, b, onward = [], [], []
-    limit = crowd or CROWD
+LINKS = "a long, b long"
+
+
+def _links(radius: int, batches):
+    """Links inside runs of equal keys; after ``CROWD`` rows of a run, the others are linked to the leaders of its groups."""
+    now, nodes, fps, leaders = None, [], [], None
+    a, b = [], []
 
     def out(force=False):
-        nonlocal a, b, onward
+        nonlocal a, b
         if a and (force or len(a) >= 50_000):
-            n = len(a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], NAMES
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             a, b = [], []
-        if onward and (force or len(onward) >= 5_000):
-            node, key, fp, own = zip(*onward, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(key, pa.int64()), pa.array(fp, pa.binary()), pa.array(own, pa.list_(pa.int64()))], NAMES
-            )
-            onward = []
 
     def close():
-        if len(nodes) > 1 and not going:
-            table = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS)
-            for i, j in forest(table, radius):
-                a.append(nodes[i])
-                b.append(nodes[j])
+        """Link the rows held; return the rows that lead a group."""
+        table = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS)
+        joined = np.zeros(len(nodes), bool)
+        for i, j in forest(table, radius):
+            a.append(nodes[i])
+            b.append(nodes[j])
+            joined[j] = True
+        return np.flatnonzero(~joined)
 
-    leaders = np.zeros((0, WORDS), np.uint64)
     for batch in batches:
-        for key, node, fp, own in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "fp", "keys")], strict=True):
+        for key, node, fp in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "fp")], strict=True):
             if key != now:
-                close()
-                now, nodes, fps, keys, going = key, [], [], [], False
-            if not going:
+                if leaders is None and len(nodes) > 1:
+                    close()
+                now, nodes, fps, leaders = key, [], [], None
+            if leaders is None:
                 nodes.append(node)
                 fps.append(fp)
-                keys.append(own)
-                if len(nodes) <= limit:
-                    continue
-                going = True
-                if crowd:
-                    onward.extend((n, key, f, o) for n, f, o in zip(nodes, fps, keys, strict=True))
-                    nodes, fps, keys = [], [], []
-                else:  # the rows so far lead the groups that later rows join
+                if len(nodes) > CROWD:
+                    first = close().tolist()
+                    nodes, fps = [nodes[i] for i in first], [fps[i] for i in first]
                     leaders = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS)
-                    for i, j in forest(leaders, radius):
-                        a.append(nodes[i])
-                        b.append(nodes[j])
-            elif crowd:
-                onward.append((node, key, fp, own))
-            else:
-                near = np.flatnonzero(_distance(np.frombuffer(fp, np.uint64), leaders) <= radius)
-                if len(near):
-                    a.append(nodes[near[0]])
-                    b.append(node)
-                else:
-                    nodes.append(node)
-                    leaders = np.vstack([leaders, np.frombuffer(fp, np.uint64)])
+                continue
+            own = np.frombuffer(fp, np.uint64)
+            near = np.flatnonzero(_distance(own, leaders) <= radius)
+            a.extend(nodes[i] for i in near)  # a row near several leaders joins their groups
+            b.extend([node] * len(near))
+            if not len(near):
+                nodes.append(node)
+                leaders = np.vstack([leaders, own])
         yield from out()
-    close()
+    if leaders is None and len(nodes) > 1:
+        close()
     yield from out(force=True)
 
 
-NAMES = ["a", "b", "key", "fp", "keys"]
-LINKS = "a long, b long, key long, fp binary, keys array<long>"
-
-
 def similar_groups(
     docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -177,16 +160,15 @@ def similar_groups(
     nodes = materialize(nodes, "nodes")
     radius = radius_of(similarity)
 
-    def solved(keyed: DataFrame, crowd: int) -> DataFrame:
-        return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(partial(_links, radius, crowd), LINKS)
+    def solved(keyed: DataFrame) -> DataFrame:
+        return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(partial(_links, radius), LINKS)
 
-    first = materialize(solved(nodes.select(F.explode("keys").alias("key"), "node", "fp", "keys"), CROWD), "links")
-    links = first.where("key IS NULL").select("a", "b")
-    crowded = first.where("key IS NOT NULL")
-    if not crowded.isEmpty():
-        others = crowded.select(F.col("key").alias("one"), F.col("a").alias("node"), "fp", "keys", F.explode("keys").alias("two")).where("one <> two")
-        finer = others.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("key"), "node", "fp", "keys")
-        links = links.unionByName(solved(finer.dropDuplicates(["key", "node"]), 0).select("a", "b"))
+    calm, crowded = split_crowded(nodes.select(F.explode("keys").alias("key"), "node", "fp", "keys"), ["key"], CROWD)
+    links = solved(calm)
+    if crowded is not None:
+        others = crowded.select(F.col("key").alias("one"), "node", "fp", F.explode("keys").alias("two")).where("one <> two")
+        finer = others.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("key"), "node", "fp")
+        links = links.unionByName(solved(finer.dropDuplicates(["key", "node"])))
     parts = connected_components(links, "a", "b")
     labelled = nodes.select("fp", "node").join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return found.select("doc_id", "text_hash", "fp").join(labelled, "fp", "left").select("doc_id", "text_hash", "component_id")
@@ -197,4 +179,4 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str
     stays = similar_groups(docs, k, similarity, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    return own.join(stays, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi").drop("__own")
+    return own.join(stays.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi").drop("__own")

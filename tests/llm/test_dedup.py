@@ -167,15 +167,29 @@ def test_crowded_similar_keys_stream_past_leaders():
     rng = np.random.default_rng(4)
     one = rng.integers(0, 2**63, similar.WORDS).astype(np.uint64)
     far = rng.integers(0, 2**63, similar.WORDS).astype(np.uint64)
+    late = rng.integers(0, 2**63, similar.WORDS).astype(np.uint64)
     import pyarrow as pa
 
     n = similar.CROWD + 50
-    fps = [(one if i % 3 else far).tobytes() for i in range(n)]
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([1] * n), pa.array(range(n)), pa.array(fps, pa.binary()), pa.array([[1, 2]] * n)], ["key", "node", "fp", "keys"]
-    )
-    links = [(a, b) for out in similar._links(10, 0, iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    fps = [(late if i > n - 9 else one if i % 3 else far).tobytes() for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(range(n)), pa.array(fps, pa.binary())], ["key", "node", "fp"])
+    links = [(a, b) for out in similar._links(10, iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
     want = components(links, range(n))
-    assert set(want.values()) == {0, 1}
-    onward = [out for out in similar._links(10, similar.CROWD, iter([batch])) if out.column("key").null_count == 0]
-    assert sum(o.num_rows for o in onward) == n
+    assert set(want.values()) == {0, 1, n - 8}
+
+
+def test_crowded_similar_keys_are_dealt_anew(spark, monkeypatch):
+    rng = random.Random(11)
+    shared = [f"s{rng.random()}" for _ in range(30)]
+    rows = []
+    for i in range(40):
+        base = [f"w{i // 4}x{k}" for k in range(150)]
+        base[10:40] = shared
+        if i % 4:
+            base[rng.randrange(60, 150)] = "changed"
+        rows.append((i, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: i - i % 4 for i in range(40)}
+    for crowd in (4096, 6):
+        monkeypatch.setattr(similar, "CROWD", crowd)
+        assert {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()} == want
