@@ -35,7 +35,7 @@ from skein.runtime import materialize, shuffle_partitions
 
 ORDER = 5
 #: Bytes of text in a chunk and in a row of texts, about.
-CHUNK_BYTES, ROW_BYTES = 48 << 20, 4 << 20
+CHUNK_BYTES, ROW_BYTES = 48 << 20, 2 << 20
 #: One trusted document in this many is held out for the thresholds.
 FOLDS = 5
 QUANTILE = 0.99
