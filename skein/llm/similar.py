@@ -1,16 +1,16 @@
-"""Near-duplicates by word shingles at a given similarity, with wide SimHash fingerprints.
-
-A radius of three bits (`simhash.py`) finds texts that differ in a word or two. For a Jaccard
-similarity of 0.8 over five-word shingles, fingerprints differ in some 15 % of their bits, more
-than block keys can bridge. So this operator makes fingerprints of 256 bits, whose distance
-estimates the similarity, and finds candidates by the texts' ``KEYS`` least shingle hashes: two
-texts of similarity ``s`` share none of them with probability ``(1 - s) ** KEYS`` at most, 6 in
-100 000 at 0.8. Texts that share a key are linked if their distance is that of similarity
-``s``, plus one standard deviation of the estimate.
-
-A key gives a forest of links, never all pairs. Keys that over ``CROWD`` texts share are found
-by a partial aggregate and their rows dealt by that key and each of their others instead; what
-is then still crowded is compared with the leaders of its groups as it streams by.
+"""Near-duplicates by word shingles: links at an exact Jaccard similarity, and their components.
+
+Texts are told apart by their sets of distinct shingle hashes; equal sets are one node. Texts
+that may be similar are brought together by their ``KEYS`` least shingle hashes: two texts of
+similarity ``s`` share none of them with probability ``(1 - s) ** KEYS`` at most, 6 in 100 000
+at 0.8. Among texts that share a key, wide SimHash fingerprints of the distinct shingles leave
+out what is far from similar: the radius is six standard deviations of the estimate beyond the
+distance of similarity ``s``, so that what is lost is less than by the keys, also for sets of a
+few shingles, where ties of bits make distances larger.
+
+Fingerprints only choose candidates. What they leave of a key is a group whose texts are read
+again, and two texts are linked if the Jaccard similarity of their shingle sets is ``s`` or
+more. A group gives a forest of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.simhash import SLAB, shingle_hashes, split_crowded
+from skein.llm.simhash import SEED, SLAB, shingle_hashes, split_crowded
 from skein.llm.token_counts import texts
 from skein.operators.components import connected_components
 from skein.runtime import materialize, shuffle_partitions
@@ -36,14 +37,24 @@ SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 
 
 def radius_of(similarity: float) -> int:
-    """Bits that fingerprints of texts of this Jaccard similarity differ in, plus one standard deviation."""
+    """Bits that fingerprints of texts of this Jaccard similarity differ in, plus six standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(BITS * share + math.sqrt(BITS * share * (1 - share)))
+    return round(BITS * share + 6 * math.sqrt(BITS * share * (1 - share)))
 
 
-def sketch(raw: bytes, k: int) -> tuple[bytes, list[int]]:
-    """The wide fingerprint of a text's shingles and its least shingle hashes."""
-    hashes = np.array(shingle_hashes(raw, k), np.uint64)
+def shingle_set(raw: bytes, k: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in ascending order."""
+    return np.unique(np.array(shingle_hashes(raw, k), np.uint64))
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """The name of a shingle set, equal for equal sets."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def sketch(raw: bytes, k: int) -> tuple[int, int, bytes, list[int]]:
+    """The name and size of a text's shingle set, its wide fingerprint and its least hashes."""
+    hashes = shingle_set(raw, k)
     ones = np.zeros(BITS, np.int64)
     with np.errstate(over="ignore"):
         for a in range(0, len(hashes), SLAB // 4):
@@ -52,23 +63,29 @@ def sketch(raw: bytes, k: int) -> tuple[bytes, list[int]]:
             wide ^= wide >> np.uint64(33)
             bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1)
             ones += bits.sum(axis=0, dtype=np.uint32)
-    least = np.unique(np.partition(hashes, KEYS * 4)[: KEYS * 4] if len(hashes) > KEYS * 4 else hashes)[:KEYS]
-    if len(least) < KEYS and len(hashes) > KEYS * 4:
-        least = np.unique(hashes)[:KEYS]
-    return np.packbits(ones * 2 > len(hashes)).tobytes(), least.view(np.int64).tolist()
+    fp = np.packbits(ones * 2 > len(hashes)).tobytes()
+    return node_of(hashes), len(hashes), fp, hashes[:KEYS].view(np.int64).tolist()
+
+
+SKETCHES = "text_hash long, node long, size long, fp binary, keys array<long>"
 
 
 def _sketches(k: int, batches):
     for batch in batches:
         found = [sketch(raw, k) for raw in batch.column("raw").to_pylist()]
+        node, size, fp, keys = zip(*found, strict=True) if found else ((), (), (), ())
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_hash"), *[pa.array(c, t) for c, t in zip((node, size, fp, keys), kinds, strict=True)]],
+            ["doc_id", "text_hash", "node", "size", "fp", "keys"],
+        )
+
+
+def _sets(k: int, batches):
+    for batch in batches:
+        sets = [shingle_set(raw, k) for raw in batch.column("raw").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("text_hash"),
-                pa.array([f for f, _ in found], pa.binary()),
-                pa.array([x for _, x in found], pa.list_(pa.int64())),
-            ],
-            ["doc_id", "text_hash", "fp", "keys"],
+            [pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"]
         )
 
 
@@ -90,55 +107,86 @@ def forest(fps: np.ndarray, radius: int):
             left = left[~near]
 
 
-LINKS = "a long, b long"
+def exact_forest(sets: list[np.ndarray], similarity: float):
+    """Links of the components of these sorted shingle sets, by their Jaccard similarity; each is searched from once."""
+    sizes = np.array([len(x) for x in sets])
+    left = np.arange(len(sets))
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        front = [root]
+        while front and len(left):
+            at = front.pop()
+            one, n = sets[at], sizes[at]
+            # sets of very different sizes are not similar
+            may = np.flatnonzero(np.minimum(sizes[left], n) >= similarity * np.maximum(sizes[left], n) - 1e-9)
+            if not n or not len(may):
+                continue
+            many = np.concatenate([sets[i] for i in left[may]])
+            hits = one[np.minimum(np.searchsorted(one, many), n - 1)] == many
+            starts = np.cumsum(sizes[left[may]]) - sizes[left[may]]
+            both = np.add.reduceat(hits, starts, dtype=np.int64)
+            near = may[both >= similarity * (n + sizes[left[may]] - both) - 1e-9]
+            for member in left[near].tolist():
+                front.append(member)
+                yield root, member
+            left = np.delete(left, near)
 
 
-def _links(radius: int, batches):
-    """Links inside runs of equal keys; after ``CROWD`` rows of a run, the others are linked to the leaders of its groups."""
-    now, nodes, fps, leaders = None, [], [], None
-    a, b = [], []
-
-    def out(force=False):
-        nonlocal a, b
-        if a and (force or len(a) >= 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-
-    def close():
-        """Link the rows held; return the rows that lead a group."""
-        table = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS)
-        joined = np.zeros(len(nodes), bool)
-        for i, j in forest(table, radius):
-            a.append(nodes[i])
-            b.append(nodes[j])
-            joined[j] = True
-        return np.flatnonzero(~joined)
+LINKS = "a long, b long, g long"
 
+
+def _runs(batches, *columns):
+    """The rows of each run of equal values in the first column, as lists of the others."""
+    now, rows = None, [[] for _ in columns[1:]]
     for batch in batches:
-        for key, node, fp in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "fp")], strict=True):
+        for key, *values in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
             if key != now:
-                if leaders is None and len(nodes) > 1:
-                    close()
-                now, nodes, fps, leaders = key, [], [], None
-            if leaders is None:
-                nodes.append(node)
-                fps.append(fp)
-                if len(nodes) > CROWD:
-                    first = close().tolist()
-                    nodes, fps = [nodes[i] for i in first], [fps[i] for i in first]
-                    leaders = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS)
-                continue
-            own = np.frombuffer(fp, np.uint64)
-            near = np.flatnonzero(_distance(own, leaders) <= radius)
-            a.extend(nodes[i] for i in near)  # a row near several leaders joins their groups
-            b.extend([node] * len(near))
-            if not len(near):
-                nodes.append(node)
-                leaders = np.vstack([leaders, own])
-        yield from out()
-    if leaders is None and len(nodes) > 1:
-        close()
-    yield from out(force=True)
+                if rows[0]:
+                    yield rows
+                now, rows = key, [[] for _ in values]
+            for column, value in zip(rows, values, strict=True):
+                column.append(value)
+    if rows[0]:
+        yield rows
+
+
+def _batches(links):
+    """Record batches of links ``(a, b, g)``."""
+    held = []
+    for link in links:
+        held.append(link)
+        if len(held) >= 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], ["a", "b", "g"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], ["a", "b", "g"])
+
+
+def _links(radius: int, batches):
+    """Links between fingerprints inside runs of equal keys; ``g`` names a component by its members, whatever the key."""
+
+    def links():
+        for nodes, fps in _runs(batches, "key", "node", "fp"):
+            table = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS)
+            groups = {}
+            for i, j in forest(table, radius):
+                groups.setdefault(i, []).append(j)
+            for i, members in groups.items():
+                g = node_of(np.sort(np.array([nodes[i], *[nodes[j] for j in members]], np.int64)))
+                yield from ((nodes[i], nodes[j], g) for j in members)
+
+    yield from _batches(links())
+
+
+def _verified(similarity: float, batches):
+    """Links between shingle sets inside runs of equal groups."""
+
+    def links():
+        for nodes, raw in _runs(batches, "g", "node", "hashes"):
+            for i, j in exact_forest([np.frombuffer(x, np.uint64) for x in raw], similarity):
+                yield nodes[i], nodes[j], 0
+
+    yield from _batches(links())
 
 
 def similar_groups(
@@ -154,24 +202,33 @@ def similar_groups(
     """
     n = shuffle_partitions(docs.sparkSession)
     raw = texts(docs, doc_id, text).withColumn("text_hash", F.xxhash64("raw"))
-    schema = T.StructType([raw.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([raw.schema["doc_id"], *T.StructType.fromDDL(SKETCHES).fields])
     found = materialize(raw.mapInArrow(partial(_sketches, k), schema), "sketches")
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")).where("node IS NOT NULL")
-    nodes = materialize(nodes, "nodes")
+    first = {c: F.min(c).alias(c) for c in ("doc_id", "text_hash", "size", "fp", "keys")}
+    nodes = materialize(found.groupBy("node").agg(*first.values()), "nodes")
     radius = radius_of(similarity)
 
     def solved(keyed: DataFrame) -> DataFrame:
         return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(partial(_links, radius), LINKS)
 
     calm, crowded = split_crowded(nodes.select(F.explode("keys").alias("key"), "node", "fp", "keys"), ["key"], CROWD)
-    links = solved(calm)
+    near = solved(calm)
     if crowded is not None:
         others = crowded.select(F.col("key").alias("one"), "node", "fp", F.explode("keys").alias("two")).where("one <> two")
         finer = others.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("key"), "node", "fp")
-        links = links.unionByName(solved(finer.dropDuplicates(["key", "node"])))
-    parts = connected_components(links, "a", "b")
-    labelled = nodes.select("fp", "node").join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.select("doc_id", "text_hash", "fp").join(labelled, "fp", "left").select("doc_id", "text_hash", "component_id")
+        near = near.unionByName(solved(finer.dropDuplicates(["key", "node"])))
+    members = near.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = materialize(members.join(nodes.select("node", "size", "text_hash"), "node"), "candidates")
+    wanted = members.select("text_hash").distinct()
+    sets = raw.select("text_hash", "raw").join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    sets = materialize(sets.mapInArrow(partial(_sets, k), "node long, hashes binary"), "sets")
+    groups = members.select("g", "node").join(sets, "node").repartition(n, "g").sortWithinPartitions("g")
+    parts = connected_components(groups.mapInArrow(partial(_verified, similarity), LINKS), "a", "b")
+    linked = materialize(parts.join(nodes.select("node", "doc_id"), "node"), "linked")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = linked.select("node", "component").join(least, "component").select("node", "component_id")
+    labelled = nodes.select("node", "doc_id").join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.select("doc_id", "text_hash", "node").join(labelled, "node", "left").select("doc_id", "text_hash", "component_id")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

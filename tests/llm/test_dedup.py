@@ -193,3 +193,23 @@ def test_crowded_similar_keys_are_dealt_anew(spark, monkeypatch):
     for crowd in (4096, 6):
         monkeypatch.setattr(similar, "CROWD", crowd)
         assert {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()} == want
+
+
+def test_similar_groups_are_exact_at_the_threshold(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):  # one change in the middle of n words takes five shingles away on either side
+        for n in (44, 47, 48, 49, 52, 90, 95):
+            words = [f"w{rng.random()}" for _ in range(n)]
+            rows.append((len(rows), " ".join(words)))
+            for at in [20] if n < 60 else [20, 60]:
+                words[at] = "changed"
+            rows.append((len(rows), " ".join(words)))
+    rows.append((len(rows), "a b c d e f " * 30))  # repeats weigh nothing
+    rows.append((len(rows), "a b c d e f " * 90))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    links = [(d, d + 1) for d in range(0, len(rows), 2) if len(sets[d] & sets[d + 1]) >= 0.8 * len(sets[d] | sets[d + 1])]
+    assert 0 < len(links) < len(rows) // 2
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
+    assert got == components(links, sets)
