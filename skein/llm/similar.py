@@ -11,6 +11,12 @@ few shingles, where ties of bits make distances larger.
 Fingerprints only choose candidates. What they leave of a key is a group whose texts are read
 again, and two texts are linked if the Jaccard similarity of their shingle sets is ``s`` or
 more. A group gives a forest of links, never all pairs.
+
+Keys that over ``CROWD`` texts share are found by a partial aggregate and their rows dealt by
+that key and each of their others instead. What is then still crowded is dealt into blocks, so
+that any two of its rows meet in a part of some ``CROWD`` rows, and groups of over ``HELD``
+hashes likewise: no link depends on the size of a group, but the rows dealt grow with its
+square over the bound.
 """
 
 from __future__ import annotations
@@ -21,16 +27,18 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.simhash import SEED, SLAB, shingle_hashes, split_crowded
+from skein.llm.simhash import BROADCAST_KEYS, SEED, SLAB, shingle_hashes, split_crowded
 from skein.llm.token_counts import texts
 from skein.operators.components import connected_components
 from skein.runtime import materialize, shuffle_partitions
 
 KEYS, CROWD, WORDS = 6, 4096, 4
+#: Shingle hashes that a group's texts have together before the group is dealt in parts.
+HELD = 1 << 22
 BITS = 64 * WORDS
 #: Odd multipliers that spread one hash over the words of a fingerprint.
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -189,6 +197,24 @@ def _verified(similarity: float, batches):
     yield from _batches(links())
 
 
+def in_blocks(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
+    """``rows`` of ``(key, node)``, where those of keys that weigh over ``most`` are dealt into blocks.
+
+    The new key is a pair of blocks of half that weight each, so any two rows of a key meet.
+    """
+    heavy = rows.groupBy(key).agg(F.sum(weight).alias("w")).where(F.col("w") > most)
+    heavy = materialize(heavy.select(key, F.ceil(F.col("w") * 2 / most).cast("long").alias("blocks")), "heavy")
+    found = heavy.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return rows
+    side = F.broadcast(heavy) if found <= BROADCAST_KEYS else heavy
+    others = [c for c in rows.columns if c != key]
+    dealt = rows.join(side, key).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")).alias(key), *others)
+    return rows.join(side, key, "left_anti").select(key, *others).unionByName(dealt)
+
+
 def similar_groups(
     docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -216,13 +242,15 @@ def similar_groups(
     if crowded is not None:
         others = crowded.select(F.col("key").alias("one"), "node", "fp", F.explode("keys").alias("two")).where("one <> two")
         finer = others.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("key"), "node", "fp")
-        near = near.unionByName(solved(finer.dropDuplicates(["key", "node"])))
+        finer = materialize(finer.dropDuplicates(["key", "node"]), "finer")
+        near = near.unionByName(solved(in_blocks(finer, "key", F.lit(1), CROWD)))
     members = near.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
     members = materialize(members.join(nodes.select("node", "size", "text_hash"), "node"), "candidates")
     wanted = members.select("text_hash").distinct()
     sets = raw.select("text_hash", "raw").join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
     sets = materialize(sets.mapInArrow(partial(_sets, k), "node long, hashes binary"), "sets")
-    groups = members.select("g", "node").join(sets, "node").repartition(n, "g").sortWithinPartitions("g")
+    parts = in_blocks(members.select("g", "node", "size"), "g", F.col("size"), HELD).select("g", "node")
+    groups = parts.join(sets, "node").repartition(n, "g").sortWithinPartitions("g")
     parts = connected_components(groups.mapInArrow(partial(_verified, similarity), LINKS), "a", "b")
     linked = materialize(parts.join(nodes.select("node", "doc_id"), "node"), "linked")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))

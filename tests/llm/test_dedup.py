@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from skein.llm import exact_dedup, similar, simhash
 from skein.operators.components import connected_components
@@ -213,3 +214,38 @@ def test_similar_groups_are_exact_at_the_threshold(spark):
     assert 0 < len(links) < len(rows) // 2
     got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
     assert got == components(links, sets)
+
+
+def test_blocks_bring_all_pairs_together(spark):
+    rows = [(1, i) for i in range(200)] + [(2, i) for i in range(200, 230)]
+    dealt = similar.in_blocks(spark.createDataFrame(rows, "key long, node long"), "key", F.lit(1), 32).collect()
+    parts = {}
+    for r in dealt:
+        parts.setdefault(r.key, set()).add(r.node)
+    assert {(a, b) for p in parts.values() for a in p for b in p} == {(a, b) for k, a in rows for j, b in rows if k == j}
+    assert max(map(len, parts.values())) < 64
+    assert len(dealt) == 200 * 13 + 30
+
+
+def test_late_rows_of_a_crowded_run_meet_members():
+    import pyarrow as pa
+
+    def bits(n):
+        return np.packbits([1] * n + [0] * (similar.BITS - n)).tobytes()
+
+    n = similar.CROWD + 2  # leader, members 8 bits away, and a late row 8 bits from a member only
+    fps = [bits(0)] + [bits(8)] * (n - 2) + [bits(16)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(range(n)), pa.array(fps, pa.binary())], ["key", "node", "fp"])
+    links = [(a, b) for out in similar._links(10, iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    assert set(components(links, range(n)).values()) == {0}
+
+
+def test_long_chains_in_crowded_keys_hold(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{rng.random()}" for _ in range(400)]
+    # neighbours are similar, ends of the chain are not, and all share the least hashes of what stays
+    rows = [(i, " ".join(words[:300] + [f"c{j}" if j < i * 8 else w for j, w in enumerate(words[300:])])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(similar, "CROWD", 4)
+    monkeypatch.setattr(similar, "HELD", 1500)
+    assert {r.component_id for r in similar.similar_groups(docs).collect()} == {0}
