@@ -72,35 +72,92 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 25) -> np.
     return w
 
 
-def leave_one_out(df: DataFrame, key: str, features: str, label: str, l2: float = 1.0, most: int = 5_000) -> DataFrame:
+def _left_out(x: np.ndarray, y: np.ndarray, i: int, l2: float) -> float:
+    """The probability of one row by a model of all others, fitted from the start."""
+    rest = np.arange(len(x)) != i
+    mean, deviation = x[rest].mean(0), x[rest].std(0, ddof=1)
+    deviation = np.where(deviation > 0, deviation, 1.0)
+    w = fit_linear((x[rest] - mean) / deviation, y[rest], l2)
+    return 1 / (1 + np.exp(-np.clip(np.append((x[i] - mean) / deviation, 1.0) @ w, -30, 30)))
+
+
+def _shared_fit(x: np.ndarray, y: np.ndarray, l2: float) -> tuple:
+    """The model of all rows, from which those without a row start: standardised rows, weights, inverse Hessian."""
+    deviation = x.std(0, ddof=1) if len(x) > 1 else np.zeros(x.shape[1])
+    z = (x - x.mean(0)) / np.where(deviation > 0, deviation, 1.0)
+    w = fit_linear(z, y, l2)
+    a = np.hstack([z, np.ones((len(z), 1))])
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+    hessian = (a * (p * (1 - p))[:, None]).T @ a + np.diag(np.append(np.full(x.shape[1], l2), 0.0) + 1e-9)
+    return a, w, np.linalg.inv(hessian), deviation > 0
+
+
+def left_out_together(x: np.ndarray, y: np.ndarray, shared: tuple, at: np.ndarray, l2: float, rounds: int = 40) -> np.ndarray:
+    """What ``_left_out`` gives for the rows ``at``, by steps with the Hessian of all rows, many models at a time.
+
+    Standardising without a row scales the penalty of the shared coordinates and moves the
+    intercept, which has none. Rows whose steps do not settle are fitted from the start.
+    """
+    a, w, inverse, varies = shared
+    n, z, own = len(a), a[:, :-1], a[at]
+    out = np.full(len(at), np.nan)
+    settled = np.zeros(len(at), bool)
+    if n > 3:
+        mean = (z.sum(0) - own[:, :-1]) / (n - 1)
+        variance = ((z**2).sum(0) - own[:, :-1] ** 2 - (n - 1) * mean**2) / (n - 2)
+        plain = (~varies | (variance > 1e-6)).all(1)  # no column is constant without the row alone
+        penalty = np.hstack([l2 * np.where(varies, variance, 1.0), np.zeros((len(at), 1))])
+        u = np.tile(w, (len(at), 1))
+        with np.errstate(all="ignore"):
+            for _ in range(rounds):
+                p = a @ u.T
+                np.clip(p, -30, 30, out=p)
+                np.exp(np.negative(p, out=p), out=p)
+                np.reciprocal(np.add(p, 1, out=p), out=p)
+                error = p[at, np.arange(len(at))] - y[at]
+                p -= y[:, None]
+                step = (p.T @ a - error[:, None] * own + penalty * u) @ inverse
+                u -= step
+                settled = np.abs(step).max(1) < 1e-11
+                if settled[plain].all():
+                    break
+        settled &= plain
+        out = 1 / (1 + np.exp(-np.clip((own * u).sum(1), -30, 30)))
+    for i in np.flatnonzero(~settled).tolist():
+        out[i] = _left_out(x, y, int(at[i]), l2)
+    return out
+
+
+#: Probabilities that a task holds while it fits models together.
+HELD = 4_000_000
+
+
+def leave_one_out(df: DataFrame, key: str, features: str, label: str, l2: float = 1.0) -> DataFrame:
     """``(key, y_true, y_prob)``: each row predicted by a model of all others, standardised without it.
 
-    The whole table goes to each task once per task's share of rows, so it must be small;
-    larger ones raise.
+    The whole table goes to each executor, and each row's model reads it: the work grows with
+    the square of the rows and is spread over tasks, memory with the table.
     """
-    rows = df.select(key, features, label).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"leave-one-out over more than {most} rows")
+    rows = df.select(key, F.col(features).cast("array<double>").alias(features), F.col(label).cast("double").alias(label)).orderBy(key).toArrow()
     spark = df.sparkSession
-    x = np.array([r[features] for r in rows], float)
-    y = np.array([r[label] for r in rows], float)
-    data = spark.sparkContext.broadcast((x, y))
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, y_true int, y_prob double"
+    if not rows.num_rows:
+        return spark.createDataFrame([], schema)
+    y = rows[label].to_numpy()
+    x = rows[features].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+    data = spark.sparkContext.broadcast((x, y, _shared_fit(x, y, l2)))
 
     def predict(batches):
-        x, y = data.value
+        x, y, shared = data.value
+        many = max(1, min(256, HELD // len(y)))
         for batch in batches:
-            out = []
-            for i in batch["at"]:
-                rest = np.arange(len(x)) != i
-                mean, deviation = x[rest].mean(0), x[rest].std(0, ddof=1)
-                deviation = np.where(deviation > 0, deviation, 1.0)
-                w = fit_linear((x[rest] - mean) / deviation, y[rest], l2)
-                out.append(1 / (1 + np.exp(-np.clip(np.append((x[i] - mean) / deviation, 1.0) @ w, -30, 30))))
-            yield pd.DataFrame({key: batch[key], "y_true": batch["y_true"], "y_prob": out})
+            at = batch["at"].to_numpy()
+            out = [left_out_together(x, y, shared, at[i : i + many], l2) for i in range(0, len(at), many)]
+            yield pd.DataFrame({key: batch[key], "y_true": batch["y_true"], "y_prob": np.concatenate(out) if out else []})
 
-    kind = df.schema[key].dataType.simpleString()
-    index = spark.createDataFrame([(r[key], i, int(r[label])) for i, r in enumerate(rows)], f"{key} {kind}, at long, y_true int")
-    return index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(predict, f"{key} {kind}, y_true int, y_prob double")
+    index = spark.createDataFrame([(k, i, int(t)) for i, (k, t) in enumerate(zip(rows[key].to_pylist(), y.tolist(), strict=True))], f"{key} {kind}, at long, y_true int")
+    return index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(predict, schema)
 
 
 def fit_probe(df: DataFrame, features: str, label: str, weight: str | None = None, l2: float = 0.01):

@@ -720,9 +720,7 @@ def linear_probe(spark, d):
 
 @query
 def leave_one_out(spark, d):
-    few = table(spark, d, "embeddings").orderBy("vec_id").limit(200)
-    rows = few.select("vec_id", F.slice("embedding", 1, 8).alias("v"), (F.col("label") < 5).cast("int").alias("y"))
-    return splits.leave_one_out(rows, "vec_id", "v", "y").withColumn("y_prob", F.round("y_prob", 6))
+    return splits.leave_one_out(vectors(spark, d), "vec_id", "embedding", "y").withColumn("y_prob", F.round("y_prob", 6))
 
 
 @query

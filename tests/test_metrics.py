@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from skein.operators import metrics, splits
@@ -118,6 +119,29 @@ def test_leave_one_out_and_probe(spark):
     assert all((r.y_prob > 0.5) == (r.y == 1) for r in splits.predict_probe(model, table, "v").collect())
 
 
+def test_leave_one_out_of_all_rows(spark, sf):
+    from skein.plans import queries
+
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = {r.vec_id: r.y_prob for r in queries.leave_one_out(spark, sf).collect()}
+    assert len(got) == vectors.count()
+    table = vectors.orderBy("vec_id").collect()
+    x, y = np.array([r.embedding for r in table], float), np.array([float(r.label < 5) for r in table])
+    for i in (0, 7, len(y) - 1):
+        assert abs(got[table[i].vec_id] - splits._left_out(x, y, i, 1.0)) < 1e-6
+    many = rows(spark, [(i, [float(i % 7), float(i % 11)], int(i % 3 == 0)) for i in range(5_200)], "id long, v array<double>, y int")
+    assert splits.leave_one_out(many, "id", "v", "y").count() == 5_200
+
+
+def test_models_without_a_row_equal_own_fits():
+    rng = np.random.default_rng(8)
+    for n in (3, 4, 12, 80):
+        x = np.column_stack([rng.normal(size=n) * 3 + 5, np.ones(n), np.arange(n) == 2, rng.normal(size=n)])
+        y = (x[:, 0] + rng.normal(size=n) > 5).astype(float)
+        got = splits.left_out_together(x, y, splits._shared_fit(x, y, 1.0), np.arange(n), 1.0)
+        assert np.abs(got - [splits._left_out(x, y, i, 1.0) for i in range(n)]).max() < 1e-9
+
+
 def test_grid_search(spark):
     data = [(f"g{i % 4}", [float(i % 2) * 3 + i / 100], i % 2) for i in range(40)]
     table = rows(spark, data, "g string, v array<double>, y int")
