@@ -249,3 +249,27 @@ def test_long_chains_in_crowded_keys_hold(spark, monkeypatch):
     monkeypatch.setattr(similar, "CROWD", 4)
     monkeypatch.setattr(similar, "HELD", 1500)
     assert {r.component_id for r in similar.similar_groups(docs).collect()} == {0}
+
+
+def test_pairs_that_share_one_crowded_least_hash(spark, monkeypatch):
+    rng = random.Random(9)
+
+    def passage():
+        return [f"p{rng.random()}" for _ in range(5)]
+
+    hot = min((passage() for _ in range(5000)), key=lambda w: similar.shingle_set(" ".join(w).encode(), 5)[0])
+    for _ in range(60_000):  # a pair at 0.8 with nothing but the hot passage in both least six
+        one = [f"w{rng.random()}" for _ in range(125)] + hot
+        two = list(one)
+        two[3], two[20], two[50] = (f"c{rng.random()}" for _ in range(3))
+        a, b = (similar.shingle_set(" ".join(w).encode(), 5) for w in (one, two))
+        if len(set(a[:6].tolist()) & set(b[:6].tolist())) == 1 < len(set(a[:9].tolist()) & set(b[:9].tolist())):
+            break
+    else:
+        raise AssertionError("no such pair")
+    rows = [(0, " ".join(one)), (1, " ".join(two))]
+    rows += [(i, " ".join([f"f{rng.random()}" for _ in range(125)] + hot)) for i in range(2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(similar, "CROWD", 3)
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
+    assert got == {i: max(i, 0) if i != 1 else 0 for i in range(9)}
