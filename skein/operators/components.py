@@ -25,11 +25,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .unionByName(loops)
         .distinct()
     )
-    now = materialize(now, "edges")
+    now = materialize(now, "edges", compact=True)
+    n = now.count()
     seen = None
     for _ in range(max_rounds):
-        step = materialize(_small_star(_large_star(now)), "edges")
+        # no round has more edges than the one before, beside the loops
+        step = materialize(_small_star(_large_star(now)), "edges", rows=n)
         mark = step.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        n = mark[0]
         drop_materialized(now)
         now = step
         if mark == seen:

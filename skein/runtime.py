@@ -26,14 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+#: Rows of a few small columns that one file of a materialized table holds, about.
+FILE_ROWS = 2_000_000
+
+
+def materialize(df: DataFrame, label: str = "table", rows: int | None = None, compact: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage, keeps columnar pruning and statistics, and survives the loss of
     executors. The files of a session lie under one folder named by its application id;
     ``release`` removes them.
+
+    A table of small rows need not have a file per task: ``compact`` deals it to one file per
+    core, and ``rows``, a known bound of its size, to one file per ``FILE_ROWS`` of them where
+    that is far fewer than the tasks.
     """
     spark = df.sparkSession
+    if rows is not None and (files := -(-max(rows, 1) // FILE_ROWS)) <= shuffle_partitions(spark) // 4:
+        df = df.repartition(files)
+    elif compact:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
