@@ -4,8 +4,8 @@ Each task cuts and packs its own pieces by best fit, largest first, and closes t
 are nearly full. Underfull bins then go through tree rounds as items of their own: groups of
 at most ``GROUP`` bins are packed again by best fit, merged bins that became nearly full are
 closed, the rest enter the next round with fewer groups, until one group holds them all or a
-round no longer merges. Only ``(bin, used)`` pairs travel in the rounds; pieces are placed at
-the end by one join on the bin.
+round no longer merges. Only ``(bin, used)`` pairs travel in the rounds, each written to as few
+files as its size needs; pieces are placed at the end by joins on the bin.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.llm.token_counts import texts
-from skein.llm.words import word_ids
+from skein.llm.words import in_slabs, word_ids
 from skein.runtime import materialize
 
 #: Pieces a task packs at a time, and bins a group of a tree round holds at most (about).
@@ -69,19 +69,21 @@ PIECE = "piece int, start long, length long, ids_crc32 long, bin long, bin_offse
 
 
 def _pack_locally(tokenizer: str, capacity: int, end_id: int, keep_ids: bool, doc_type, batches):
-    end = np.asarray([end_id], "<u4").tobytes()
     first = TaskContext.get().partitionId() << 40
-    rows: list[tuple] = []
+    docs: list = []
+    columns: list[tuple] = []  # per slab: number of the document, piece, start, length, crc
+    ids: list[bytes | None] = []
+    n = 0
 
     def flush():
-        nonlocal rows, first
-        doc, piece, start, length, crc, ids = zip(*rows, strict=True)
-        where, offset, used = best_fit(np.asarray(length, np.int64), capacity)
-        for a in range(0, len(rows), 10_000):
+        nonlocal first, docs, columns, ids, n
+        doc, piece, start, length, crc = (np.concatenate(c) for c in zip(*columns, strict=True))
+        where, offset, used = best_fit(length, capacity)
+        for a in range(0, n, 10_000):
             part = slice(a, a + 10_000)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc[part], doc_type),
+                    pa.array([docs[d] for d in doc[part].tolist()], doc_type),
                     pa.array(piece[part], pa.int32()),
                     pa.array(start[part], pa.int64()),
                     pa.array(length[part], pa.int64()),
@@ -89,22 +91,32 @@ def _pack_locally(tokenizer: str, capacity: int, end_id: int, keep_ids: bool, do
                     pa.array(where[part] + first),
                     pa.array(offset[part]),
                     pa.array(used[where[part]]),
-                    pa.array(ids[part], pa.binary()),
+                    pa.array(ids[part] if keep_ids else [None] * len(doc[part]), pa.binary()),
                 ],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "bin_offset", "bin_used", "ids"],
             )
         first += len(used)
-        rows = []
-
-    for batch in batches:
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-            ids = word_ids(tokenizer, raw) + end
-            for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                own = ids[a : a + 4 * capacity]
-                rows.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own), own if keep_ids else None))
-        if len(rows) >= LOCAL:
+        docs, columns, ids, n = [], [], [], 0
+
+    for doc, raws in in_slabs(batches, "doc_id", "raw"):
+        flat, ends = word_ids(tokenizer, raws, end_id)
+        size = np.diff(ends, prepend=0)
+        pieces = -(-size // capacity)
+        own = np.repeat(np.arange(len(doc)), pieces)
+        piece = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(size[own] - start, capacity)
+        at = (ends - size)[own] + start
+        view = memoryview(flat).cast("B")
+        cut = [view[4 * a : 4 * (a + m)] for a, m in zip(at.tolist(), length.tolist(), strict=True)]
+        columns.append((own + len(docs), piece, start, length, np.fromiter(map(zlib.crc32, cut), np.int64, len(cut))))
+        if keep_ids:
+            ids += map(bytes, cut)
+        docs += doc
+        n += len(own)
+        if n >= LOCAL:
             yield from flush()
-    if rows:
+    if n:
         yield from flush()
 
 
@@ -137,7 +149,8 @@ def pack(
     schema = T.StructType([raw.schema["doc_id"], *T._parse_datatype_string(PIECE).fields])
     doc_type = to_arrow_type(raw.schema["doc_id"].dataType)
     pieces = raw.mapInArrow(partial(_pack_locally, tokenizer, capacity, end_id, keep_ids, doc_type), schema)
-    pieces = materialize(pieces if keep_ids else pieces.drop("ids"), "pieces")
+    # without ids a piece is a few numbers: they go to one file per core
+    pieces = materialize(pieces, "pieces") if keep_ids else materialize(pieces.drop("ids"), "pieces", compact=True)
 
     full = capacity - max(0, math.floor(capacity * NEARLY_FULL))
     open_bins = pieces.where((F.col("bin_offset") == 0) & (F.col("bin_used") < full)).select(
@@ -154,17 +167,13 @@ def pack(
             .groupBy("grp")
             .applyInPandas(lambda g: _merge(capacity, g[["bin", "used"]]), "bin long, into long, base long, into_used long")
         )
-        merged = materialize(merged, "merged")
+        merged = materialize(merged, "merged", rows=n)
         if placed is None:
-            placed = merged
+            placed = merged.select("bin", "into", "base")
         else:
             later = merged.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("base").alias("more"))
-            before = placed
-            placed = materialize(
-                before.join(later, "into", "left").select(
-                    "bin", F.coalesce("next", "into").alias("into"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base")
-                ),
-                "placed",
+            placed = placed.join(later, "into", "left").select(
+                "bin", F.coalesce("next", "into").alias("into"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base")
             )
         open_bins = merged.where((F.col("base") == 0) & (F.col("into_used") < full)).select(
             F.col("into").alias("bin"), F.col("into_used").alias("used")
@@ -174,7 +183,7 @@ def pack(
             break
         n = left
     if placed is not None:
-        pieces = pieces.join(placed.select("bin", "into", "base"), "bin", "left")
+        pieces = pieces.join(placed, "bin", "left")
     else:
         pieces = pieces.withColumns({"into": F.lit(None).cast("long"), "base": F.lit(0)})
     return pieces.select(

@@ -3,7 +3,7 @@
 Documents are dealt by ranges of their id, so file ``k`` holds ids before those of file
 ``k + 1``; inside a file they ascend. A file is a Parquet container whose rows are blocks:
 ``(file, block, first, n_ids, payload)``, ``first`` counting the ids of the file before the
-block. A payload is
+block. A block holds some 8 MiB of text, or one longer text. A payload is
 
     magic "S8B1" | n_docs u4 | n_frames u4 | n_exceptions u4
     document ids i8[n_docs] | null marks u1[n_docs] | ids per document u8[n_docs]
@@ -26,24 +26,22 @@ from pyspark.sql import functions as F
 
 from skein.llm import simple8b
 from skein.llm.token_counts import texts
-from skein.llm.words import unit_ids
+from skein.llm.words import in_slabs, unit_ids
 
 MAGIC = b"S8B1"
-#: Ids after which a block is closed.
-BLOCK = 1 << 20
 FILE_SCHEMA = "file int, block int, first long, n_ids long, payload binary"
 
 
-def encode_block(doc_ids: list, ids: list[bytes]) -> bytes:
-    """One payload; ``ids`` are little-endian unsigned 32-bit integers per document."""
-    words, frame_words, exceptions = simple8b.encode(np.frombuffer(b"".join(ids), "<u4"))
+def encode_block(doc_ids: list, ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    """One payload of all documents' ids, one after another, and how many each has."""
+    words, frame_words, exceptions = simple8b.encode(ids)
     return b"".join(
         [
             MAGIC,
             struct.pack("<III", len(doc_ids), len(frame_words), len(exceptions)),
             np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
             np.array([d is None for d in doc_ids], "u1").tobytes(),
-            np.array([len(x) // 4 for x in ids], "<u8").tobytes(),
+            lengths.astype("<u8").tobytes(),
             np.concatenate([[0], np.cumsum(frame_words)]).astype("<u4").tobytes(),
             words.astype("<u8").tobytes(),
             exceptions.astype("<u8").tobytes(),
@@ -72,31 +70,15 @@ def decode_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def _write(tokenizer: str, end_id: int, batches):
-    end = np.asarray([end_id], "<u4").tobytes()
-    file, block, first = TaskContext.get().partitionId(), 0, 0
-    docs: list = []
-    ids: list[bytes] = []
-    size = 0
-
-    def flush():
-        nonlocal block, first, docs, ids, size
-        payload = encode_block(docs, ids)
+    file, first = TaskContext.get().partitionId(), 0
+    for block, (docs, raws) in enumerate(in_slabs(batches, "doc_id", "raw")):
+        ids, ends = unit_ids(tokenizer, raws, end_id)
+        payload = encode_block(docs, ids, np.diff(ends, prepend=0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([first]), pa.array([size]), pa.array([payload], pa.binary())],
+            [pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([first]), pa.array([len(ids)]), pa.array([payload], pa.binary())],
             ["file", "block", "first", "n_ids", "payload"],
         )
-        block, first, docs, ids, size = block + 1, first + size, [], [], 0
-
-    for batch in batches:
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-            own = unit_ids(tokenizer, raw) + end
-            docs.append(doc)
-            ids.append(own)
-            size += len(own) // 4
-            if size >= BLOCK:
-                yield from flush()
-    if docs:
-        yield from flush()
+        first += len(ids)
 
 
 def write_token_files(
