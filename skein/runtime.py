@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,6 +55,17 @@ def materialize(df: DataFrame, label: str = "table", rows: int | None = None, co
     return out
 
 
+def rows_with(docs: DataFrame, keys: list[Column], found: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns whatever their names, whose keys equal a row of ``found``; null equals null.
+
+    Keys are hashed within each part of a shuffle, so whole rows are dealt but not sorted.
+    """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(f"own{i}") for i, k in enumerate(keys)])
+    there = found.select(*[F.col(c).alias(f"its{i}") for i, c in enumerate(found.columns)]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"own{i}").eqNullSafe(F.col(f"its{i}")) for i in range(len(keys))])
+    return own.join(there.hint("shuffle_hash"), same, "left_semi").select("row.*")
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Remove the files of one materialized table that no later plan reads."""
     path = getattr(df, "_skein_path", None)
