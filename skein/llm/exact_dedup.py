@@ -1,11 +1,11 @@
 """Exact dedup with a heavy-hitter split, in DataFrame operations only.
 
-The digests of all texts are written once. A Misra-Gries sketch (``approx_top_k``, the
-frequent-items sketch, which merges partial sketches of the map tasks) names at most
-``CANDIDATES`` digests; an exact partial aggregate verifies each one's size and winner. These
-winners, a table bounded by ``CANDIDATES`` rows, are broadcast, so copies of a frequent text
-are decided on the map side. All other digests have few copies each and are grouped by an
-ordinary shuffle.
+The digests of all texts are written once. Misra-Gries sketches (``approx_top_k_accumulate``,
+the frequent-items sketch) of the map tasks are combined in a tree of ``WIDTH`` branches, so no
+task reads more than that many of them, and name at most ``CANDIDATES`` digests; an exact partial
+aggregate verifies each one's size and winner. These winners, a table bounded by ``CANDIDATES``
+rows, are broadcast, so copies of a frequent text are decided on the map side. All other digests
+have few copies each and are grouped by an ordinary shuffle.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.runtime import materialize
+from skein.runtime import materialize, rows_with
 
 #: Digests the sketch reports, and the counters it holds.
 CANDIDATES, COUNTERS = 512, 8192
+#: Sketches that one task combines, and levels below the last: enough for 32**4 tasks.
+WIDTH, LEVELS = 32, 3
 #: Groups of fewer copies than this go through the ordinary shuffle.
 LEAST_COPIES = 64
 
@@ -31,6 +33,17 @@ def digest(text: str):
     return F.sha2(normal.cast("binary"), 256)
 
 
+def frequent_digests(rows: DataFrame) -> DataFrame:
+    """At most ``CANDIDATES`` hashes of digests that ``rows (text_sha256)`` hold often, by sketches of the tasks combined in a tree."""
+    branch = F.spark_partition_id().alias("branch")
+    sketches = rows.groupBy(branch).agg(F.expr(f"approx_top_k_accumulate(xxhash64(text_sha256), {COUNTERS})").alias("sketch"))
+    combined = F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch")
+    for _ in range(LEVELS):
+        sketches = sketches.groupBy(F.floor(F.col("branch") / WIDTH).alias("branch")).agg(combined)
+    # grouped, since a task without rows has no sketch to combine
+    return sketches.groupBy(F.lit(0).alias("all")).agg(combined).select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {CANDIDATES}).item")).alias("hash"))
+
+
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row of ``docs``.
 
@@ -38,12 +51,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     one; where a group has only null ids, ``keep_id`` is null and all its rows stay. Rows that
     repeat the winning id are the same document and share its verdict. Null text equals empty text.
     """
-    all_rows = materialize(digests(docs, doc_id, text), "digests")
-    sketch = all_rows.agg(F.expr(f"approx_top_k(text_sha256, {CANDIDATES}, {COUNTERS})").alias("top"))
-    candidates = sketch.select(F.explode("top.item").alias("text_sha256"))
+    all_rows = materialize(digests(docs, doc_id, text), "digests", compact=True)
+    candidates = frequent_digests(all_rows)
     grouped = [F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")]
     winners = (
-        all_rows.join(F.broadcast(candidates), "text_sha256", "left_semi")
+        all_rows.join(F.broadcast(candidates), F.xxhash64("text_sha256") == F.col("hash"), "left_semi")
         .groupBy("text_sha256")
         .agg(*grouped)
         .where(F.col("group_size") >= LEAST_COPIES)
@@ -65,7 +77,5 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows are found again by id and digest, so a row that repeats another document's id, or has
     none, goes by its own text.
     """
-    stays = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    own = docs.withColumn("__own", digest(text))
-    # ids are hashed within each part, so whole texts are dealt but not sorted
-    return own.join(stays.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi").drop("__own")
+    stays = exact_groups(docs, doc_id, text).where("kept").select("doc_id", "text_sha256")
+    return rows_with(docs, [F.col(doc_id), digest(text)], stays)

@@ -52,6 +52,24 @@ def test_exact_dedup_keeps_columns(spark):
     assert sorted((r.doc_id, r.text) for r in exact_dedup.exact_dedup(again).collect()) == [(0, "b"), (1, "a")]
 
 
+def test_frequent_digests_come_through_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "WIDTH", 2)
+    rows = spark.range(0, 3000, 1, 23).selectExpr("if(id % 3 = 0, 'hot', if(id % 10 = 1, 'warm', cast(id AS string))) AS text_sha256")
+    found = {r.hash for r in exact_dedup.frequent_digests(rows).collect()}
+    want = {r.h for r in spark.sql("SELECT xxhash64(x) AS h FROM VALUES ('hot'), ('warm') AS t(x)").collect()}
+    assert want <= found
+    assert len(found) <= exact_dedup.CANDIDATES
+    assert exact_dedup.frequent_digests(rows.limit(0)).collect() == []
+
+
+def test_rows_keep_columns_of_any_name(spark):
+    schema = "doc_id long, text string, row string, own0 int, its0 int, `a.b` string, text_sha256 string, hash int"
+    docs = spark.createDataFrame([(1, "a", "r", 1, 2, "d", "s", 3), (2, "a", "r", 1, 2, "d", "s", 3), (2, "b", None, None, None, None, None, None)], schema)
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a"), (2, "b")]
+
+
 def test_exact_dedup_uses_no_python(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().toString()
