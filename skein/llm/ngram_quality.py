@@ -5,19 +5,24 @@ text. Counts are sharded by the third and fourth byte of a run, so a shard alone
 continuations of its runs down to three bytes; the two lowest orders are tables of at most
 2**16 entries and travel to every task.
 
-Training counts every trusted document (less the fold held out for the thresholds): tasks
-count in chunks, shards add up. Scoring joins counts by shard: each chunk of documents asks
-once for every distinct run it holds, the shard answers with log-probabilities, and the chunk's
-documents, which went straight to the chunk's task, are summed up there. What travels grows
-with the distinct runs of a chunk, not with its length.
-
-A document is rejected if its perplexity is above its language's threshold: a quantile of the
-held-out trusted documents in that language, or of all held-out ones where the language has
-under ``LEAST_CALIBRATION``.
+There are two models, for cross-fitting: documents fall in two halves by a hash of their id,
+and a half is scored by the model that the trusted documents of the other half train. So no
+document is scored by a model that has seen it, and every trusted one calibrates.
+
+Training counts every trusted document: tasks count in chunks, shards add up. Scoring joins
+counts by shard: each chunk of documents asks once for every distinct run it holds, the shard
+answers with log-probabilities, and the chunk's documents, which went straight to the chunk's
+task, are summed up there. What travels grows with the distinct runs of a chunk, not with its
+length. A chunk holds documents of one half and ``CHUNK_BYTES`` of text, or one longer text.
+
+A document is rejected if its perplexity is above its language's threshold, a quantile of the
+trusted documents of that language: the lower end of a confidence interval around ``QUANTILE``,
+which few documents widen, so that a handful of mislabelled ones do not set it.
 """
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -31,15 +36,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.llm.parts import pack_parts, unpack_parts
 from skein.llm.token_counts import texts
-from skein.runtime import materialize, shuffle_partitions
+from skein.runtime import materialize, rows_with, shuffle_partitions
 
 ORDER = 5
 #: Bytes of text in a chunk and in a row of texts, about.
 CHUNK_BYTES, ROW_BYTES = 48 << 20, 2 << 20
-#: One trusted document in this many is held out for the thresholds.
-FOLDS = 5
-QUANTILE = 0.99
-LEAST_CALIBRATION = 50
+#: Models, each trained on what the others score.
+HALVES = 2
+#: Share of trusted documents to keep, and standard errors of that share by which a threshold is lower.
+QUANTILE, ERRORS = 0.99, 1.645
 #: Labels up to this many rows are broadcast (16 bytes a row); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 EDGE = b"\n"
@@ -102,40 +107,45 @@ class _Distinct:
                 yield s, self.grams[own], self.counts[own]
 
 
-def _slabs(batches, columns):
-    """Rows of a batch in lists of about ``ROW_BYTES`` of text."""
-    for batch in batches:
-        rows = [batch.column(c).to_pylist() for c in columns]
-        held, size = [], 0
-        for row in zip(*rows, strict=True):
-            held.append(row)
-            size += len(row[0])
-            if size >= ROW_BYTES:
-                yield held, size
-                held, size = [], 0
-        if held:
-            yield held, size
+def _slabs(batches, *columns: str):
+    """``(half, rows of columns, bytes)``: rows of one half in lists of about ``ROW_BYTES`` of text; the first column is the text."""
+    held: dict[int, list] = {h: [] for h in range(HALVES)}
+    sizes = dict.fromkeys(held, 0)
+    for whole in batches:
+        for a in range(0, whole.num_rows, 256):
+            batch = whole.slice(a, 256)
+            for half, *row in zip(*[batch.column(c).to_pylist() for c in ("half", *columns)], strict=True):
+                held[half].append(row)
+                sizes[half] += len(row[0])
+                if sizes[half] >= ROW_BYTES:
+                    yield half, held[half], sizes[half]
+                    held[half], sizes[half] = [], 0
+    for half, rows in held.items():
+        if rows:
+            yield half, rows, sizes[half]
 
 
 COUNTED = "shard int, payload binary"
 
 
 def _count(n_shards: int, batches):
-    found, size = _Distinct(), 0
+    """Runs of the documents of each half, as shards of the other half's model."""
+    found, sizes = [_Distinct() for _ in range(HALVES)], [0] * HALVES
 
-    def flush():
-        for s, grams, counts in found.by_shard(n_shards):
+    def flush(half):
+        for s, grams, counts in found[half].by_shard(n_shards):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s], pa.int32()), pa.array([_gram_parts(grams, counts.astype("<u8").tobytes())], pa.binary())], ["shard", "payload"]
+                [pa.array([(1 - half) * n_shards + s], pa.int32()), pa.array([_gram_parts(grams, counts.astype("<u8").tobytes())], pa.binary())], ["shard", "payload"]
             )
+        found[half], sizes[half] = _Distinct(), 0
 
-    for rows, n in _slabs(batches, ["raw"]):
-        found.add(runs_of([r[0] for r in rows])[0])
-        size += n
-        if size >= CHUNK_BYTES:
-            yield from flush()
-            found, size = _Distinct(), 0
-    yield from flush()
+    for half, rows, n in _slabs(batches, "raw"):
+        found[half].add(runs_of([r[0] for r in rows])[0])
+        sizes[half] += n
+        if sizes[half] >= CHUNK_BYTES:
+            yield from flush(half)
+    for half in range(HALVES):
+        yield from flush(half)
 
 
 def _suffixes(grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +197,10 @@ def _add(batches):
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more."""
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more; little text can make them zero, which would leave nothing to unseen runs."""
     y = n1 / max(n1 + 2 * n2, 1)
     d = [0.0, 1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1)]
-    return np.clip(d, 0.0, [0.0, 0.999, 1.999, 2.999])
+    return np.clip(d, [0.0, 0.01, 0.01, 0.01], [0.0, 0.999, 1.999, 2.999])
 
 
 def level(grams: np.ndarray, counts: np.ndarray, discount: np.ndarray):
@@ -254,50 +264,55 @@ JOINED = "shard int, kind tinyint, chunk long, payload binary"
 
 
 def _ask(n_shards: int, batches):
-    for chunk, _, found in _chunks(batches, False):
+    for half, chunk, _, found in _chunks(batches, False):
         for s, grams, _ in found.by_shard(n_shards):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s], pa.int32()), pa.array([1], pa.int8()), pa.array([chunk]), pa.array([_gram_parts(grams)], pa.binary())],
+                [pa.array([half * n_shards + s], pa.int32()), pa.array([1], pa.int8()), pa.array([chunk]), pa.array([_gram_parts(grams)], pa.binary())],
                 ["shard", "kind", "chunk", "payload"],
             )
 
 
 def _chunks(batches, with_texts: bool):
-    """``(chunk, rows of (raw, id), distinct runs)``: rows in slabs, or the distinct runs at the end of each chunk."""
-    chunk, size, found = None, 0, _Distinct()
+    """``(half, chunk, rows of (raw, row), distinct runs)``: rows in slabs, or the distinct runs at the end of each chunk."""
+    part, opened = None, 0
+    now: dict[int, list] = {}  # by half: number of the chunk, bytes, distinct runs
 
     def numbered(batches):
-        nonlocal chunk
+        nonlocal part
         for batch in batches:
-            if chunk is None and batch.num_rows:
-                chunk = batch.column("part")[0].as_py() << 24
+            if part is None and batch.num_rows:
+                part = batch.column("part")[0].as_py() << 24
             yield batch
 
-    for rows, n in _slabs(numbered(batches), ["raw", "doc_id"]):
+    for half, rows, n in _slabs(numbered(batches), "raw", *(["row"] if with_texts else [])):
+        if half not in now:
+            now[half] = [part + opened, 0, _Distinct()]
+            opened += 1
         if with_texts:
-            yield chunk, rows, None
+            yield half, now[half][0], rows, None
         else:
-            found.add(runs_of([r[0] for r in rows])[0])
-        size += n
-        if size >= CHUNK_BYTES:
+            now[half][2].add(runs_of([r[0] for r in rows])[0])
+        now[half][1] += n
+        if now[half][1] >= CHUNK_BYTES:
+            chunk, _, found = now.pop(half)
             if not with_texts:
-                yield chunk, None, found
-            chunk, size, found = chunk + 1, 0, _Distinct()
-    if not with_texts and len(found.grams):
-        yield chunk, None, found
+                yield half, chunk, None, found
+    for half, (chunk, _, found) in now.items():
+        if not with_texts:
+            yield half, chunk, None, found
 
 
-ANSWERED = "chunk long, kind tinyint, ids array<{}>, payload binary"
+ANSWERED = "chunk long, kind tinyint, rows array<{}>, payload binary"
 
 
-def _answers(chunk, kind, ids, payload, id_type):
+def _answers(chunk, kind, rows, payload, row_type):
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([kind], pa.int8()), pa.array([ids], pa.list_(id_type)), pa.array([payload], pa.binary())],
-        ["chunk", "kind", "ids", "payload"],
+        [pa.array([chunk], pa.int64()), pa.array([kind], pa.int8()), pa.array([rows], pa.list_(row_type)), pa.array([payload], pa.binary())],
+        ["chunk", "kind", "rows", "payload"],
     )
 
 
-def _answer(discount, low, id_type, batches):
+def _answer(n_shards, discount, low, row_type, batches):
     empty = np.zeros(0, U8), np.zeros(0, np.int64)
     now, model = None, None
     for batch in batches:
@@ -305,25 +320,26 @@ def _answer(discount, low, id_type, batches):
             parts = unpack_parts(payload)
             if shard != now:  # the counts of a shard come before the questions
                 counted = (_grams(parts[0]), np.frombuffer(parts[1], "<u8").astype(np.int64)) if kind == 0 else empty
-                now, model = shard, ShardModel(*counted, discount, low.value)
+                half = shard // n_shards
+                now, model = shard, ShardModel(*counted, discount[half], low.value[half])
             if kind == 1:
                 bits = model.bits(_grams(parts[0])).astype("<f4")
-                yield _answers(chunk, 0, None, pack_parts(parts[0], bits.tobytes()), id_type)
+                yield _answers(chunk, 0, None, pack_parts(parts[0], bits.tobytes()), row_type)
 
 
-def _send_texts(id_type, batches):
+def _send_texts(row_type, batches):
     pack = zstandard.ZstdCompressor(level=3).compress
-    for chunk, rows, _ in _chunks(batches, True):
+    for _, chunk, rows, _ in _chunks(batches, True):
         sizes = np.array([len(r[0]) for r in rows], "<u8").tobytes()
         payload = len(rows).to_bytes(8, "little") + sizes + pack(b"".join([r[0] for r in rows]))
-        yield _answers(chunk, 1, [r[1] for r in rows], payload, id_type)
+        yield _answers(chunk, 1, [r[1] for r in rows], payload, row_type)
 
 
-def _score(id_type, batches):
+def _score(row_type, batches):
     unpack = zstandard.ZstdDecompressor().decompress
     now, grams, bits, ready = None, [], [], False
     for batch in batches:
-        for chunk, kind, ids, payload in zip(*[batch.column(c).to_pylist() for c in ("chunk", "kind", "ids", "payload")], strict=True):
+        for chunk, kind, rows, payload in zip(*[batch.column(c).to_pylist() for c in ("chunk", "kind", "rows", "payload")], strict=True):
             if chunk != now:
                 now, grams, bits, ready = chunk, [], [], False
             if kind == 0:
@@ -348,73 +364,122 @@ def _score(id_type, batches):
             each = bits[at].astype(float)[codes]
             total = np.add.reduceat(each, np.cumsum(lengths) - lengths)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array(sizes), pa.array(total / lengths)], ["doc_id", "n_bytes", "bits"]
+                [pa.array(rows, row_type), pa.array(sizes), pa.array(total / lengths)], ["row", "n_bytes", "bits"]
             )
 
 
+def halved(docs: DataFrame) -> DataFrame:
+    """``docs`` with the half that each row's id falls in."""
+    return docs.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(HALVES)).cast("int"))
+
+
 def train(trusted: DataFrame, n_shards: int) -> DataFrame:
-    """``(shard, payload, stats)``: the counts of all texts of ``trusted (doc_id, raw)``, one row per shard, written."""
-    counted = trusted.select("raw").mapInArrow(partial(_count, n_shards), COUNTED)
-    return materialize(counted.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(_add, ADDED), "counts")
+    """``(shard, payload, stats)``: the counts of all texts of ``trusted (doc_id, raw)`` for both models, one row per shard of a model, written."""
+    counted = halved(trusted).select("raw", "half").mapInArrow(partial(_count, n_shards), COUNTED)
+    n = shuffle_partitions(trusted.sparkSession)
+    return materialize(counted.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_add, ADDED), "counts")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, perplexity)`` of each row of ``docs`` under the model of ``trusted (doc_id, raw)``.
+def perplexities(
+    docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(doc_id, *carry, text_hash, n_bytes, perplexity)`` of each row of ``docs`` under the model of ``trusted (doc_id, raw)``.
 
-    Perplexity is per byte. Null and empty texts have none. ``docs`` is read twice and must not
-    change meanwhile.
+    Perplexity is per byte. Null and empty texts have none; rows with repeated or null ids are
+    scored one by one, and all without an id fall in one half. ``carry`` names columns to pass
+    on, ``text_hash`` is the XXH64 of the text. ``docs`` is read twice and must not change meanwhile.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     counts = train(trusted, n)
-    # at most 2**16 rows of the lowest order and four per other order
-    stats = counts.select(F.explode("stats").alias("s")).groupBy("s.kind", "s.key").agg(F.sum("s.n").alias("n")).toPandas()
-    of = {k: dict(zip(g["key"], g["n"], strict=True)) for k, g in stats.groupby("kind")}
-    discount = {k: discounts(*[int(of.get(k, {}).get(i, 0)) for i in (1, 2, 3, 4)]) for k in range(3, ORDER + 1)}
-    pairs = of.get(2, {})
-    low = spark.sparkContext.broadcast(lowest(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)))
-
-    raw = texts(docs, doc_id, text).withColumn("part", F.spark_partition_id().cast("long"))
-    id_type = raw.schema["doc_id"].dataType
-    arrow_id, answered = to_arrow_type(id_type), ANSWERED.format(id_type.simpleString())
+    # at most 2**16 rows of the lowest order and four per other order, for each model
+    each = F.floor(F.col("shard") / n).cast("int").alias("half")
+    stats = counts.select(each, F.explode("stats").alias("s")).groupBy("half", "s.kind", "s.key").agg(F.sum("s.n").alias("n")).toPandas()
+    discount, low = [], []
+    for half in range(HALVES):
+        of = {k: dict(zip(g["key"], g["n"], strict=True)) for k, g in stats[stats["half"] == half].groupby("kind")}
+        discount.append({k: discounts(*[int(of.get(k, {}).get(i, 0)) for i in (1, 2, 3, 4)]) for k in range(3, ORDER + 1)})
+        pairs = of.get(2, {})
+        low.append(lowest(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)))
+    low = spark.sparkContext.broadcast(low)
+
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    row = F.struct(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in carry], F.xxhash64(body).alias("text_hash"))
+    raw = halved(docs.select(F.col(doc_id).alias("doc_id"), row.alias("row"), body.alias("raw"))).drop("doc_id")
+    raw = raw.withColumn("part", F.spark_partition_id().cast("long"))
+    row_type = raw.schema["row"].dataType
+    arrow_row, answered = to_arrow_type(row_type), ANSWERED.format(row_type.simpleString())
     model = counts.select("shard", F.lit(0).cast("tinyint").alias("kind"), F.lit(None).cast("long").alias("chunk"), "payload")
+    # both readings take the same columns, so that a shuffle below them deals rows alike
     asked = model.unionByName(raw.mapInArrow(partial(_ask, n), JOINED))
     answers = (
-        asked.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(partial(_answer, discount, low, arrow_id), answered)
+        asked.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(partial(_answer, n, discount, low, arrow_row), answered)
     )
-    sent = raw.mapInArrow(partial(_send_texts, arrow_id), answered)
-    schema = T.StructType([raw.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("bits", T.DoubleType())])
-    scored = answers.unionByName(sent).repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(partial(_score, arrow_id), schema)
-    return scored.select("doc_id", "n_bytes", F.when(F.col("n_bytes") > 0, F.round(F.pow(F.lit(2.0), "bits"), 6)).alias("perplexity"))
+    sent = raw.mapInArrow(partial(_send_texts, arrow_row), answered)
+    schema = T.StructType([raw.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("bits", T.DoubleType())])
+    scored = answers.unionByName(sent).repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(partial(_score, arrow_row), schema)
+    return scored.select("row.*", "n_bytes", F.when(F.col("n_bytes") > 0, F.round(F.pow(F.lit(2.0), "bits"), 6)).alias("perplexity"))
+
+
+#: Steps in which quantiles are told apart.
+STEPS = 1000
+
+
+def quantile_of(n: int, share: float) -> float:
+    """The quantile of ``n`` values that is the lower end of a confidence interval around ``share``, in ``STEPS``."""
+    return max(math.ceil((share - ERRORS * math.sqrt(share * (1 - share) / n)) * STEPS), 1) / STEPS
+
+
+def thresholds(calibrating: DataFrame, share: float = QUANTILE) -> DataFrame:
+    """``(lang, threshold)`` of ``calibrating (lang, perplexity)``: the value at ``quantile_of`` the language's rows.
+
+    One partial aggregate holds the values at all quantiles that a size can ask for.
+    """
+    least, most = round(quantile_of(1, share) * STEPS), round(share * STEPS)
+    at = F.ceil((share - ERRORS * F.sqrt(F.lit(share * (1 - share)) / F.count("*"))) * STEPS).cast("int")
+    own = F.percentile_approx("perplexity", [k / STEPS for k in range(least, most + 1)], 100_000)
+    place = F.greatest(F.least(at, F.lit(most)) - least + 1, F.lit(1))
+    return calibrating.groupBy("lang").agg(F.element_at(own, place).alias("threshold"))
 
 
 def quality(
-    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+    docs: DataFrame, labels: DataFrame, share: float = QUANTILE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
-    """``(doc_id, lang, n_bytes, perplexity, threshold, kept)`` for every row of ``docs``.
-
-    Trusted are the documents that ``labels (doc_id, quality, toxic)`` call good and not toxic.
-    Null and empty texts have no perplexity and are rejected; a text of white space only is
-    scored like any other. Null languages form one language. Without any trusted document
-    there is no threshold and every text stays. Rows that repeat an id are scored one by one.
+    """``(doc_id, lang, text_hash, n_bytes, perplexity, threshold, kept)`` for every row of ``docs``.
+
+    Trusted are the documents that ``labels (doc_id, quality, toxic)`` call good and not toxic;
+    rows that repeat such an id are all trusted. Null and empty texts have no perplexity and
+    are rejected; a text of white space only, or one of any length, is scored like any other.
+    Null languages form one language. A language without trusted documents has the threshold
+    of all of them; without any trusted document there is no threshold and every text stays.
+    Rows that repeat an id or have none are judged one by one, each by its own text and
+    language; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("labelled")).distinct()
-    trusted = materialize(trusted.withColumn("held_out", F.pmod(F.xxhash64("labelled"), F.lit(FOLDS)) == 0), "trusted")
-    small = trusted.count() <= BROADCAST_LABELS
-    fitting = trusted.where("NOT held_out")
-    raw = texts(docs, doc_id, text)
-    fitting = raw.join(F.broadcast(fitting) if small else fitting, F.col("doc_id") == F.col("labelled"), "left_semi")
-    scored = materialize(perplexities(docs, fitting, doc_id, text), "perplexities")
-
-    # a language per document; rows that repeat an id take the least one
-    languages = docs.groupBy(F.col(doc_id).alias("of_doc")).agg(F.min(lang).alias("lang"))
-    known = scored.join(languages, scored["doc_id"].eqNullSafe(languages["of_doc"]), "left").drop("of_doc")
-    held_out = trusted.where("held_out").join(known.where("perplexity IS NOT NULL"), F.col("labelled") == F.col("doc_id"))
-    cut = F.percentile_approx("perplexity", quantile, 100_000)
-    by_language = held_out.groupBy(F.col("lang").alias("of_lang")).agg(cut.alias("own"), F.count("*").alias("n"))
-    by_language = by_language.where(F.col("n") >= LEAST_CALIBRATION).drop("n")
-    pooled = held_out.agg(cut).first()[0]
-    known = known.join(by_language, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    known = known.withColumn("threshold", F.coalesce("own", F.lit(pooled).cast("double")))
+    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("labelled")).distinct()
+    good = materialize(good, "trusted", compact=True)
+    if good.count() <= BROADCAST_LABELS:
+        good = F.broadcast(good)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    fitting = texts(own).join(good, F.col("doc_id") == F.col("labelled"), "left_semi")
+    scored = materialize(perplexities(own, fitting, carry=("lang",)), "perplexities", compact=True)
+    calibrating = scored.where("perplexity IS NOT NULL").join(good, F.col("doc_id") == F.col("labelled"), "left_semi").select("lang", "perplexity")
+    by_language = materialize(thresholds(calibrating, share).select(F.col("lang").alias("of_lang"), F.col("threshold").alias("own")), "thresholds")
+    if by_language.count() <= BROADCAST_LABELS:  # one language may hold most rows
+        by_language = F.broadcast(by_language)
+    pooled = thresholds(calibrating.withColumn("lang", F.lit("")), share).select(F.col("threshold").alias("pooled"))
+    known = scored.join(by_language, F.col("lang").eqNullSafe(F.col("of_lang")), "left").join(F.broadcast(pooled), F.lit(True), "left")
+    known = known.withColumn("threshold", F.coalesce("own", "pooled"))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return known.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", kept.alias("kept"))
+    return known.select("doc_id", "lang", "text_hash", "n_bytes", "perplexity", "threshold", kept.alias("kept"))
+
+
+def kept_rows(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns.
+
+    The verdict is a function of a row's half, text and language, so rows are found again by
+    id, text and language: a row that repeats an id, or has none, goes by its own text.
+    """
+    stays = quality(docs, labels, doc_id=doc_id, text=text, lang=lang).where("kept").select("doc_id", "lang", "text_hash")
+    return rows_with(docs, [F.col(doc_id), F.col(lang), F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary"))], stays)

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -55,21 +56,80 @@ def brute_model(texts):
 TEXTS = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "über den Fluß", "the\ncat  ran", "on and on and on"] * 3
 
 
+def halves(spark, ids):
+    rows = q.halved(spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()
+    return {r.doc_id: r.half for r in rows}
+
+
+def brute_quality(spark, rows, labels):
+    """``(id, text, lang) -> (perplexity, threshold, kept)`` and whether there is any trusted document."""
+    good = {d for d, quality, toxic in labels if quality == 1 and not toxic and d is not None}
+    half = halves(spark, {d for d, *_ in rows})
+    models = [brute_model([(t or "").encode() for d, t, _ in rows if d in good and half[d] != h]) for h in range(2)]
+    found = {(d, t, lang): models[half[d]](t.encode()) if t else None for d, t, lang in rows}
+    by = defaultdict(list)
+    for d, t, lang in rows:
+        if d in good and t:
+            by[lang].append(found[d, t, lang])
+
+    def cut(values):
+        values = sorted(values)
+        return values[max(math.ceil(q.quantile_of(len(values), q.QUANTILE) * len(values)) - 1, 0)]
+
+    pooled = cut([x for own in by.values() for x in own]) if by else None
+    out = {}
+    for key, x in found.items():
+        at = cut(by[key[2]]) if by[key[2]] else pooled
+        out[key] = (x, at, x is not None and (at is None or x <= at + 1e-6))
+    return out
+
+
 def test_perplexity_against_brute_force(spark):
-    trusted = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(TEXTS)], "doc_id long, raw binary")
+    trusted = [(i, t.encode()) for i, t in enumerate(TEXTS)]
     rows = [(1, "the cat ran on"), (2, "ZZZ!! QQQ!!"), (3, None), (4, ""), (None, "a dog"), (2, " \n"), (9, "the cat sat on the mat " * 400), (10, "日本")]
     docs = spark.createDataFrame([(d, t, "en", 0.0) for d, t in rows], SCHEMA).repartition(3)
-    got = q.perplexities(docs, trusted).collect()
-    model = brute_model([t.encode() for t in TEXTS])
+    got = q.perplexities(docs, spark.createDataFrame(trusted, "doc_id long, raw binary"), carry=("lang",)).collect()
+    half = halves(spark, [d for d, _ in rows] + [d for d, _ in trusted])
+    models = [brute_model([t for d, t in trusted if half[d] != h]) for h in range(2)]
     assert len(got) == len(rows)
     by = {(r.doc_id, r.n_bytes): r.perplexity for r in got}
     for d, t in rows:
         raw = (t or "").encode()
-        want = model(raw) if raw else None
+        want = models[half[d]](raw) if raw else None
         found = by[(d, len(raw))]
         assert found is None if want is None else abs(found - want) < 1e-4 * want
 
 
+def test_thresholds_and_verdicts_against_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [["haus", "der", "wald", "und", "ein"], ["the", "cat", "and", "house", "a"]]
+    rows, labels = [], []
+    for i in range(160):
+        lang = ["de", "en", None][min(i % 7, 2)]
+        text = " ".join(rng.choice(words[lang == "en"]) for _ in range(rng.randrange(1, 30)))
+        rows.append((i, text if i % 11 else "".join(chr(rng.randrange(33, 90)) for _ in range(20)), lang))
+        labels.append((i, int(i % 11 != 0), int(i % 13 == 0)))
+    rows += [(500, "the cat", "fr"), (1, None, "de"), (1, "QX!" * 9, "de"), (3, "the house", "de"), (None, "a cat and a cat", "en"), (None, "#!§$" * 5, "en"), (None, "", "en"), (600, "the " * 40_000, "en")]
+    labels += [(None, 1, 0), (1, 1, 0), (999, 1, 0)]
+    want = brute_quality(spark, rows, labels)
+    docs = spark.createDataFrame([(*r, k, "own", "id") for k, r in enumerate(rows)], "doc_id long, text string, lang string, half int, __own string, part string").repartition(3)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for chunk, row in ((q.CHUNK_BYTES, q.ROW_BYTES), (600, 100)):
+        monkeypatch.setattr(q, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(q, "ROW_BYTES", row)
+        got = q.quality(docs, table).collect()
+        assert len(got) == len(rows)
+        sizes = defaultdict(list)
+        for (d, t, lang), w in want.items():
+            sizes[d, lang, len((t or "").encode())].append(w)
+        for r in got:
+            near = [w for w in sizes[r.doc_id, r.lang, r.n_bytes] if (w[0] is None) == (r.perplexity is None) and (w[0] is None or abs(w[0] - r.perplexity) < 1e-4 * w[0])]
+            assert near and abs(near[0][1] - r.threshold) < 1e-4 * r.threshold and near[0][2] == r.kept
+    stay = q.kept_rows(docs, table)
+    assert stay.columns == docs.columns
+    assert sorted(r.half for r in stay.collect()) == [k for k, r in enumerate(rows) if want[r][2]]
+
+
 def test_probabilities_sum_to_one():
     grams, _ = q.runs_of([t.encode() for t in TEXTS])
     u, c = np.unique(grams, return_counts=True)
@@ -82,13 +142,19 @@ def test_probabilities_sum_to_one():
         assert abs(np.exp2(-model.bits(every)).sum() - 1) < 1e-6
 
 
-def test_quality_rejects_junk_and_keeps_prose(spark, sf):
-    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
-    labels = spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
+def test_quality_rejects_junk_and_keeps_prose_in_each_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/../sf0.1/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/../sf0.1/labels.parquet")
     rows = q.quality(docs, labels).join(labels, "doc_id")
-    share = {r.quality: r.kept for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert share[1] > 0.95
-    assert share[0] < 0.1
+    found = rows.groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count_distinct("threshold").alias("n")).collect()
+    assert len({r.lang for r in found}) == 4
+    for r in found:
+        assert r.n == 1
+        assert r.kept > 0.97 if r.quality else r.kept < 0.1
+
+
+def test_quantile_of_few_and_many():
+    assert q.quantile_of(1, 0.99) < 0.9 < q.quantile_of(30, 0.99) < q.quantile_of(3000, 0.99) <= 0.99
 
 
 def test_without_labels_and_empty(spark):
