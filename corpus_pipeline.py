@@ -18,10 +18,8 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is above their language's threshold go, and those without text."""
-    judged = ngram_quality.quality(docs, table(spark, sf_dir, "labels"))
-    kept = judged.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """Documents whose perplexity is above their language's threshold go, and those without text; each row by its own text."""
+    return ngram_quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
