@@ -8,6 +8,12 @@ out what is far from similar: the radius is six standard deviations of the estim
 distance of similarity ``s``, so that what is lost is less than by the keys, also for sets of a
 few shingles, where ties of bits make distances larger.
 
+Pairs of a key are pruned by a pivot distance table, that of ``simhash``. At this radius random
+reference fingerprints discard nothing, since all distances to them are near half the bits; the
+references are ``PIVOTS`` fingerprints of the key itself, each the farthest from those before:
+a text is near the references of its own group of copies and far from those of others, so pairs
+of different groups differ by more than the radius in some coordinate and are not compared.
+
 Fingerprints only choose candidates. What they leave of a key is a group whose texts are read
 again, and two texts are linked if the Jaccard similarity of their shingle sets is ``s`` or
 more. A group gives a forest of links, never all pairs.
@@ -32,12 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.simhash import BROADCAST_KEYS, SEED, SLAB, shingle_hashes, split_crowded
+from skein.llm.simhash import BROADCAST_KEYS, SEED, SLAB, PivotTable, shingle_hashes, split_crowded
 from skein.llm.token_counts import texts
 from skein.operators.components import connected_components
-from skein.runtime import materialize, shuffle_partitions
+from skein.runtime import materialize, rows_with, shuffle_partitions
 
 KEYS, DEALT, CROWD, WORDS = 6, 9, 4096, 4
+#: Reference fingerprints of a key.
+PIVOTS = 8
 #: Shingle hashes that a group's texts have together before the group is dealt in parts.
 HELD = 1 << 22
 BITS = 64 * WORDS
@@ -102,14 +110,28 @@ def _distance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int32)
 
 
-def forest(fps: np.ndarray, radius: int):
+def references(fps: np.ndarray) -> np.ndarray:
+    """``PIVOTS`` of these fingerprints, each the farthest from those chosen before."""
+    chosen, far = [0], _distance(fps[0], fps)
+    while len(chosen) < PIVOTS and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _distance(fps[chosen[-1]], fps))
+    return fps[chosen]
+
+
+def forest(fps: np.ndarray, radius: int, table: PivotTable | None = None):
     """Links ``(first, member)`` of the components of these fingerprints; each row is searched from once."""
+    if len(fps) == 2:
+        if _distance(fps[0], fps[1:])[0] <= radius:
+            yield 0, 1
+        return
+    table = table or PivotTable(fps, references(fps))
     left = np.arange(len(fps))
     while len(left) > 1:
         root, left = left[0], left[1:]
         front = [root]
         while front and len(left):
-            near = _distance(fps[front.pop()], fps[left]) <= radius
+            near = table.linked(np.full(len(left), front.pop()), left, radius)
             for member in left[near].tolist():
                 front.append(member)
                 yield root, member
@@ -204,7 +226,7 @@ def in_blocks(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame
     The new key is a pair of blocks of half that weight each, so any two rows of a key meet.
     """
     heavy = rows.groupBy(key).agg(F.sum(weight).alias("w")).where(F.col("w") > most)
-    heavy = materialize(heavy.select(key, F.ceil(F.col("w") * 2 / most).cast("long").alias("blocks")), "heavy")
+    heavy = materialize(heavy.select(key, F.ceil(F.col("w") * 2 / most).cast("long").alias("blocks")), "heavy", compact=True)
     found = heavy.limit(BROADCAST_KEYS + 1).count()
     if not found:
         return rows
@@ -224,15 +246,17 @@ def similar_groups(
     ``text_hash`` is the XXH64 of the text, by which rows that share an id are told apart.
 
     A-Z is put in lower case, words are cut at ASCII white space; fewer than ``k`` words are one
-    shingle. Null and empty texts equal each other. Rows without an id join groups and never
-    name one; a group of such rows only has a null id. Other columns are ignored.
+    shingle. Null and empty texts equal each other, and texts of any length are read whole. Rows
+    without an id join groups and never name one; a group of such rows only has a null id. Rows
+    that repeat an id each go by their own text. Other columns are ignored; an empty table gives
+    no rows.
     """
     n = shuffle_partitions(docs.sparkSession)
     raw = texts(docs, doc_id, text).withColumn("text_hash", F.xxhash64("raw"))
     schema = T.StructType([raw.schema["doc_id"], *T.StructType.fromDDL(SKETCHES).fields])
-    found = materialize(raw.mapInArrow(partial(_sketches, k), schema), "sketches")
+    found = materialize(raw.mapInArrow(partial(_sketches, k), schema), "sketches", compact=True)
     first = {c: F.min(c).alias(c) for c in ("doc_id", "text_hash", "size", "fp", "keys")}
-    nodes = materialize(found.groupBy("node").agg(*first.values()), "nodes")
+    nodes = materialize(found.groupBy("node").agg(*first.values()), "nodes", compact=True)
     radius = radius_of(similarity)
 
     def solved(keyed: DataFrame) -> DataFrame:
@@ -246,14 +270,14 @@ def similar_groups(
         finer = materialize(finer.dropDuplicates(["key", "node"]), "finer")
         near = near.unionByName(solved(in_blocks(finer, "key", F.lit(1), CROWD)))
     members = near.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = materialize(members.join(nodes.select("node", "size", "text_hash"), "node"), "candidates")
+    members = materialize(members.join(nodes.select("node", "size", "text_hash"), "node"), "candidates", compact=True)
     wanted = members.select("text_hash").distinct()
     sets = raw.select("text_hash", "raw").join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
     sets = materialize(sets.mapInArrow(partial(_sets, k), "node long, hashes binary"), "sets")
     parts = in_blocks(members.select("g", "node", "size"), "g", F.col("size"), HELD).select("g", "node")
     groups = parts.join(sets, "node").repartition(n, "g").sortWithinPartitions("g")
     parts = connected_components(groups.mapInArrow(partial(_verified, similarity), LINKS), "a", "b")
-    linked = materialize(parts.join(nodes.select("node", "doc_id"), "node"), "linked")
+    linked = materialize(parts.join(nodes.select("node", "doc_id"), "node"), "linked", compact=True)
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = linked.select("node", "component").join(least, "component").select("node", "component_id")
     labelled = nodes.select("node", "doc_id").join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -261,8 +285,11 @@ def similar_groups(
 
 
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each group the smallest id. Rows without an id stay only beside none with one."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: of each group the smallest id.
+
+    Rows without an id stay only beside none with one. Rows are found again by id and text, so
+    one that repeats an id stays or goes with its own text, and repeats of a row that stays stay.
+    """
     stays = similar_groups(docs, k, similarity, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    return own.join(stays.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi").drop("__own")
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return rows_with(docs, [F.col(doc_id), own], stays.select("doc_id", "text_hash"))

@@ -145,6 +145,58 @@ def test_crowded_keys(spark):
         assert {n: found.get(n, n) for n in want} == want
 
 
+def test_rows_that_repeat_an_id_go_by_their_own_text(spark):
+    a = [f"a{i}" for i in range(60)]
+    b = [f"b{i}" for i in range(60)]
+    rows = [(3, " ".join(a)), (5, " ".join(a + ["x"])), (5, " ".join(b)), (9, "something else"), (None, " ".join(b + ["x"])), (None, "lost")]
+    docs = spark.createDataFrame([(*r, "y", 1, "z") for r in rows], "doc_id long, text string, node string, fp int, own0 string")
+    kept = similar.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(-1, "lost"), (3, rows[0][1]), (5, rows[2][1]), (9, "something else")])
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    fps = [f"{brute_fingerprint(t, 3):016x}" for _, t in rows]
+    assert len({fps[0], fps[2], fps[3], fps[5]}) == 4
+    assert got[5, fps[2]] == 5 and got[3, fps[0]] == 3 and got[None, fps[5]] is None
+
+
+def test_a_row_without_id_links_others(spark):
+    one, two, three = 0b0, 0b111, 0b111111
+    nodes = spark.createDataFrame([(one, one), (two, two), (three, three)], "fp long, node long")
+    assert {r.component for r in connected_components(simhash.fingerprint_links(nodes, 3), "a", "b").collect()} == {0}
+
+
+def unrelated(n, words, rng):
+    return rng.integers(0, 2**63, (n, words)).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, (n, words)).astype(np.uint64)
+
+
+def test_pivots_discard_most_unrelated_pairs_of_a_key():
+    rng = np.random.default_rng(5)
+    fps = unrelated(400, 1, rng)[:, 0] & ~np.uint64(simhash.MASKS[3])  # they share a key, hence half the bits
+    table = simhash.PivotTable(fps)
+    i, j = np.triu_indices(400, 1)
+    assert not table.linked(i, j, 3).any()
+    assert table.verified < 0.01 * table.asked
+
+
+def test_references_of_a_key_discard_pairs_of_other_groups():
+    rng = np.random.default_rng(6)
+    fps = np.repeat(unrelated(6, similar.WORDS, rng), 50, axis=0)
+    for row in fps:  # copies differ in some 16 of 256 bits
+        for bit in rng.integers(0, 256, 8).tolist():
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    radius = similar.radius_of(0.8)
+    table = simhash.PivotTable(fps, similar.references(fps))
+    i, j = np.triu_indices(300, 1)
+    near = table.linked(i, j, radius)
+    assert (near == (i // 50 == j // 50)).all()
+    assert table.verified == near.sum()  # no pair of two groups is compared
+    plain = simhash.PivotTable(fps, unrelated(8, similar.WORDS, rng))
+    plain.linked(i, j, radius)
+    assert plain.verified == plain.asked  # random references discard nothing at this radius
+    links = list(similar.forest(fps, radius))
+    assert len(links) == 294 and set(components(links, range(300)).values()) == {0, 50, 100, 150, 200, 250}
+
+
 def test_pivots_discard_no_linked_pair():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 500).astype(np.uint64)
