@@ -68,7 +68,7 @@ def test_neighbours_and_odd_rows(spark):
     x = rng.normal(size=(300, 8)).astype(np.float32) * rng.uniform(0.2, 3, 300)[:, None].astype(np.float32)
     x[50:90] = x[50]  # a vector that many rows repeat
     rows = [(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)]
-    odd = [(900, None, 0, 0.0), (901, [0.0] * 8, 0, 0.0), (902, [float("nan")] * 8, 0, 0.0), (903, [float("inf")] + [1.0] * 7, 0, 0.0), (904, [None] * 8, 0, 0.0), (905, [1.0], 0, 0.0), (None, [1.0] * 8, 0, 0.0), (0, x[0].tolist(), 0, 0.0), (920, [], 0, 0.0)]
+    odd = [(900, None, 0, 0.0), (901, [0.0] * 8, 0, 0.0), (902, [float("nan")] * 8, 0, 0.0), (903, [float("inf")] + [1.0] * 7, 0, 0.0), (904, [None] * 8, 0, 0.0), (None, [1.0] * 8, 0, 0.0), (0, x[0].tolist(), 0, 0.0), (920, [], 0, 0.0)]
     table = vectors(spark, rows + odd)
     got = {}
     for r in p.nearest_neighbours(table, table.where("vec_id % 20 = 0"), 20).collect():
@@ -83,6 +83,22 @@ def test_neighbours_and_odd_rows(spark):
         assert np.allclose([f[2] for f in found], [w[1] for w in want], atol=1e-12)
 
 
+def test_shorter_vectors_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [4.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 1.0]), (20, [2.0]), (5, [0.5, 0.0, 0.0]), (5, [9.0, 0.0, 0.0])] + [(3, [1.0, 1.0, 1.0])] * 30
+    table = vectors(spark, [(*r, 0, 0.0) for r in rows]).repartition(3)
+    got = sorted(tuple(r) for r in p.nearest_neighbours(table, table.where("vec_id % 20 = 0"), 4).collect())
+    assert got == [(0, 1, 5, 9.0), (0, 2, 3, 6.0), (0, 3, 1, 4.0), (0, 4, 2, 2.0), (20, 1, 5, 18.0), (20, 2, 1, 8.0), (20, 3, 0, 2.0), (20, 4, 3, 2.0)]
+
+
+def test_every_query_has_all_its_rows(spark, monkeypatch):
+    for name, value in (("TARGET", 3), ("PER_CENTROID", 1), ("LEAST_LISTS", 1), ("BREADTH", 1), ("BREADTH_SHARE", 1000), ("PRUNE", 1.0)):
+        monkeypatch.setattr(p, name, value)
+    rng = np.random.default_rng(2)
+    table = vectors(spark, [(i, v.tolist(), 0, 0.0) for i, v in enumerate(rng.normal(size=(120, 6)).astype(np.float32))])
+    counts = {r.query_id: r["count"] for r in p.nearest_neighbours(table, table.where("vec_id % 20 = 0"), 20).groupBy("query_id").count().collect()}
+    assert counts == dict.fromkeys(range(0, 120, 20), 20)
+
+
 def test_few_and_no_candidates(spark):
     table = vectors(spark, [(0, [1.0, 0.0], 0, 0.0), (20, [0.5, 0.5], 0, 0.0), (3, [0.0, 1.0], 0, 0.0)])
     got = sorted(tuple(r) for r in p.nearest_neighbours(table, table.where("vec_id % 20 = 0"), 20).collect())
