@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,9 +33,18 @@ def node_id(osm) -> Column:
     return F.concat(F.lit("osm_"), F.col(osm).cast("string"))
 
 
-def scalar_or_json(column: str) -> Column:
-    """An attribute as text; arrays and structs as JSON."""
-    return F.to_json(F.col(column))
+def scalar_or_json(df: DataFrame, column: str) -> Column:
+    """An attribute as text: arrays, maps and structs as JSON, anything else as it is written, a column that is absent as null."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    if column not in kinds:
+        return F.lit(None).cast("string").alias(column)
+    own = F.col(f"`{column}`")
+    return (F.to_json(own) if kinds[column] in ("array", "map", "struct") else own.cast("string")).alias(column)
+
+
+def attributes(df: DataFrame, keys: list[str], wanted: list[str]) -> DataFrame:
+    """``keys`` and the ``wanted`` attributes as text, whether ``df`` has them or not."""
+    return df.select(*keys, *[scalar_or_json(df, c) for c in wanted])
 
 
 def stripped(column) -> Column:
@@ -58,18 +67,21 @@ def specific_name(column, generic: list[str], least: int = 4) -> Column:
     return (F.length(c) >= least) & (c.contains(" ") | ~F.lower(c).isin(generic))
 
 
+#: An item of a list in brackets: in single or double quotes, a backslash before a quote of its own kind.
+QUOTED = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
+
+
 def multi_values(column) -> Column:
     """A field that holds nothing, one value or a list in brackets, as an array of values.
 
-    A bracketed list whose items are not quoted is taken as the literal text.
+    Items of a list stand in quotes of either kind, so one may hold the other. A bracketed list
+    whose items are not quoted is taken as the literal text.
     """
     c = F.col(column)
-    quoted = F.from_json(F.regexp_replace(c, "'", '"'), "array<string>")
-    return (
-        F.when(c.isNull() | (F.trim(c) == ""), F.array().cast("array<string>"))
-        .when(c.rlike(r"^\s*\[.*\]\s*$"), F.coalesce(quoted, F.array(c)))
-        .otherwise(F.array(c))
-    )
+    items = F.regexp_extract_all(c, F.lit(QUOTED), F.lit(1))
+    plain = F.transform(items, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
+    is_list = c.rlike(r"(?s)^\s*\[\s*(" + QUOTED + r"\s*(,\s*" + QUOTED + r"\s*)*,?)?\s*\]\s*$")
+    return F.when(c.isNull() | (F.trim(c) == ""), F.array().cast("array<string>")).when(is_list, plain).otherwise(F.array(c))
 
 
 def parsed_matches(column, schema: str) -> Column:

@@ -5,10 +5,12 @@ A segment table is ``(segment_id, u, v)``: directed edges of a multigraph.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected_components
+from skein.operators.ranks import numbered
 from skein.runtime import materialize
 
 
@@ -37,20 +39,8 @@ def line_degree(segments: DataFrame) -> DataFrame:
 
 
 def positions(ids: DataFrame, key: str) -> DataFrame:
-    """``(key, pos)``: the place of each id in their order, from 0.
-
-    Ids are range-partitioned and sorted; a partition's places start after the rows before it,
-    of which only one count per partition comes to the driver.
-    """
-    ordered = materialize(ids.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()), "ids")
-    starts, at = [], 0
-    for part, n in sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect()):
-        starts.append((part, at))
-        at += n
-    starts = ordered.sparkSession.createDataFrame(starts, "part int, start long")
-    own = Window.partitionBy("part").orderBy(key)
-    numbered = ordered.withColumn("k", F.row_number().over(own))
-    return numbered.join(F.broadcast(starts), "part").select(key, (F.col("start") + F.col("k") - 1).alias("pos"))
+    """``(key, pos)``: the place of each id in their order, from 0."""
+    return numbered(ids.select(key).distinct(), key)
 
 
 def edge_index(edges: DataFrame, order: DataFrame, key: str, src: str, dst: str) -> DataFrame:
@@ -126,9 +116,10 @@ def weak_components(segments: DataFrame) -> DataFrame:
 
 def component_sizes(components: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` largest components, their sizes and share of all nodes in per cent."""
-    total = components.count()
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("pct", F.round(F.col("size") * 100.0 / max(total, 1), 4)).orderBy(F.desc("size"), "component").limit(k)
+    total = F.broadcast(components.agg(F.count("*").alias("total")))
+    share = F.round(F.col("size") * 100.0 / F.col("total"), 4)
+    return sizes.join(total, F.lit(True)).select("component", "size", share.alias("pct")).orderBy(F.desc("size"), "component").limit(k)
 
 
 def strong_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 200) -> DataFrame:
@@ -189,9 +180,27 @@ def _reach(roots: DataFrame, inside: DataFrame, colours: DataFrame, max_rounds:
 
 
 def fingerprint(ids: DataFrame, key: str) -> DataFrame:
-    """Count and SHA-256 of the sorted distinct ids joined by ``|``: one value, so it holds some ten million ids."""
-    joined = F.array_join(F.array_sort(F.collect_set(F.col(key).cast("string"))), "|")
-    return ids.agg(F.count_distinct(key).alias("n"), F.sha2(joined.cast("binary"), 256).alias("sha256"))
+    """Count and SHA-256 of the sorted distinct ids joined by ``|``.
+
+    The digest is of one long text, so it is made in one place: parts of the range-partitioned
+    ids stream through the driver as blocks, one part at a time, and none is held.
+    """
+    import hashlib
+
+    def blocks(batches):
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            if own:
+                columns = [pa.array([own[0]]), pa.array([len(own)], pa.int64()), pa.array(["|".join(own).encode()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["first", "n", "joined"])
+
+    text = ids.select(F.col(key).cast("string").alias("id")).where("id IS NOT NULL").distinct()
+    ordered = materialize(text.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(blocks, "first string, n long, joined binary"), "blocks")
+    digest, n = hashlib.sha256(), 0
+    for row in ordered.orderBy("first").toLocalIterator():
+        digest.update((b"|" if n else b"") + bytes(row.joined))
+        n += row.n
+    return ids.sparkSession.createDataFrame([(n, digest.hexdigest())], "n long, sha256 string")
 
 
 def key_consistency(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -204,6 +213,17 @@ def key_consistency(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
+def key_differences(a: DataFrame, b: DataFrame, key: str, first: int = 10) -> DataFrame:
+    """``(side, n, examples)``: how many distinct keys only one side has, and the ``first`` of them in order."""
+    rows = None
+    for side, one, two in (("missing", a, b), ("extra", b, a)):
+        alone = one.select(key).distinct().join(two.select(key).distinct(), key, "left_anti")
+        top = alone.orderBy(key).limit(first).agg(F.array_sort(F.collect_list(F.col(key).cast("string"))).alias("examples"))
+        row = alone.agg(F.count("*").alias("n")).join(F.broadcast(top), F.lit(True)).select(F.lit(side).alias("side"), "n", "examples")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 def duplicates(df: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
     """For each named key, on its own: how many of its values repeat and how many rows hold one."""
     out = None

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scalar import percent
+from skein.operators.ranks import numbered, quantiles
 
 
 def fuse(spine: DataFrame, sources: dict[str, DataFrame], phases: DataFrame, recovered: DataFrame, key: str) -> DataFrame:
@@ -95,14 +96,13 @@ def staggered_reveal(changes: DataFrame, steps: int = 40) -> DataFrame:
     ``changes (key, y_t, y_next, elevation)``; a missing elevation counts as the median. Each
     step shows ``max(1, ceil(n / steps))`` entities.
     """
-    # the median of all entities, of which there is one value
-    middle = changes.agg(F.median("elevation")).first()[0]
-    height = F.coalesce("elevation", F.lit(middle).cast("double"))
-    moved = changes.where("y_t <> y_next").withColumn("on", F.col("y_next") == 1)
-    n = moved.count()
-    chunk = max(1, -(-n // steps))
-    ordered = moved.withColumn("k", F.row_number().over(Window.orderBy(F.desc("on"), F.when(F.col("on"), height).otherwise(-height), "key")))
-    return ordered.select("key", "on", F.floor((F.col("k") - 1) / chunk).cast("long").alias("step"))
+    middle = quantiles(changes.withColumn("__all", F.lit(0)), "__all", "elevation", [0.5]).select(F.col("value").alias("__middle"))
+    moved = changes.where("y_t <> y_next").withColumn("on", F.col("y_next") == 1).join(F.broadcast(middle), F.lit(True), "left")
+    height = F.coalesce("elevation", "__middle")
+    shown = moved.select("key", "on", F.when(F.col("on"), 0).otherwise(1).alias("first"), F.when(F.col("on"), height).otherwise(-height).alias("up"))
+    ordered = numbered(shown, "first", "up", "key", name="k")
+    chunk = F.broadcast(ordered.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / steps)).alias("chunk")))
+    return ordered.join(chunk, F.lit(True)).select("key", "on", F.floor(F.col("k") / F.col("chunk")).cast("long").alias("step"))
 
 
 def joined_reports(names: list[str], splits: list[str], **reports: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scalar import ratio_or_zero
+from skein.operators.ranks import quantiles
 
 
 def confusion(df: DataFrame, *groups: str, y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -110,26 +111,25 @@ def verdict(val_auc: Column, val_informative: Column, test_informative: Column,
 
 
 def column_stats(df: DataFrame, *columns: str) -> DataFrame:
-    """``(name, n, missing, missing_pct, min, max, mean, median)`` per column, in one pass over unpivoted columns."""
+    """``(name, n, missing, missing_pct, min, max, mean, median)`` per column: one pass over unpivoted columns, and ranks for the medians."""
     pairs = ", ".join(f"'{c}', cast(`{c}` AS double)" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (name, value)")
-    return long.groupBy("name").agg(
+    plain = long.groupBy("name").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("value").isNull()).alias("missing"),
         F.round(F.count_if(F.col("value").isNull()) * 100.0 / F.count("*"), 4).alias("missing_pct"),
         F.round(F.min("value"), 4).alias("min"),
         F.round(F.max("value"), 4).alias("max"),
         F.round(F.avg("value"), 4).alias("mean"),
-        F.round(F.median("value"), 4).alias("median"),
     )
+    medians = quantiles(long, "name", "value", [0.5]).select("name", F.round("value", 4).alias("median"))
+    return plain.join(medians, "name", "left")
 
 
 def percentiles(df: DataFrame, column: str, at: list[float]) -> DataFrame:
     """Exact percentiles with linear interpolation, one row each."""
-    values = df.agg(F.percentile(column, F.array(*[F.lit(a) for a in at])).alias("v"))
-    return values.select(F.posexplode("v").alias("i", "value")).select(
-        F.element_at(F.array(*[F.lit(a) for a in at]), F.col("i") + 1).alias("p"), F.round("value", 6).alias("value")
-    )
+    found = quantiles(df.select(F.lit(0).alias("all"), column), "all", column, at)
+    return found.select("p", F.round("value", 6).alias("value"))
 
 
 def standardizers(df: DataFrame, train: Column, *columns: str) -> DataFrame:
@@ -169,6 +169,11 @@ def reproduced(first: DataFrame, second: DataFrame, key: str, value: str) -> Dat
     return both.agg(F.count("*").alias("n_shared"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_different"))
 
 
+def added_metric(report: DataFrame, metric: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Rows of ``report`` whose keys ``metric (*keys, value)`` has, with the value as ``name``; the others are left out."""
+    return report.join(metric.select(*keys, F.col("value").alias(name)), list(keys))
+
+
 def metric_rows(report: DataFrame) -> DataFrame:
     """A one-row report as ``(metric, value)``."""
     pairs = ", ".join(f"'{c}', cast(`{c}` AS double)" for c in report.columns)

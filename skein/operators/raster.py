@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from skein.checks import ContractError
 from skein.operators.components import connected_components
+from skein.operators.ranks import quantiles
 
 
-def deviation_threshold(pixels: DataFrame, value: str, k: float) -> float | None:
-    """Mean less ``k`` population deviations of the valid values."""
-    mean, deviation = pixels.agg(F.avg(value), F.stddev_pop(value)).first()
-    return None if mean is None else mean - k * deviation
+def deviation_threshold(pixels: DataFrame, value: str, k: float) -> DataFrame:
+    """One row: mean less ``k`` population deviations of the valid values, as ``cut``."""
+    return pixels.agg((F.avg(value) - k * F.stddev_pop(value)).alias("cut"))
 
 
 def shape(pixels: DataFrame) -> tuple:
@@ -29,8 +29,8 @@ def change_mask(pre: DataFrame, post: DataFrame, occurrence: DataFrame, k: float
         raise ContractError("rasters differ in shape")
     cells = pre.select("row", "col", F.col("value").alias("a")).join(post.select("row", "col", F.col("value").alias("b")), ["row", "col"])
     cells = cells.join(occurrence.select("row", "col", F.col("value").alias("o")), ["row", "col"]).withColumn("diff", F.col("b") - F.col("a"))
-    cut = deviation_threshold(cells, "diff", k)
-    mask = (F.col("diff") < F.lit(cut)) & ~(F.col("o") > permanent_over)
+    cells = cells.join(F.broadcast(deviation_threshold(cells, "diff", k)), F.lit(True))
+    mask = (F.col("diff") < F.col("cut")) & ~(F.col("o") > permanent_over)
     return cells.select("row", "col", "diff", F.coalesce(mask, F.lit(False)).alias("mask"))
 
 
@@ -100,7 +100,49 @@ def overlap(a: DataFrame, b: DataFrame, cell_area: float) -> DataFrame:
 def region_areas(regions: DataFrame, cell_area: float) -> DataFrame:
     """Number, total, largest and median area of regions."""
     areas = regions.groupBy("region").agg((F.count("*") * cell_area).alias("area"))
-    return areas.agg(F.count("*").alias("n_regions"), F.round(F.sum("area"), 6).alias("total"), F.round(F.max("area"), 6).alias("largest"), F.round(F.median("area"), 6).alias("median"))
+    middle = quantiles(areas.withColumn("all", F.lit(0)), "all", "area", [0.5]).select(F.round("value", 6).alias("median"))
+    plain = areas.agg(F.count("*").alias("n_regions"), F.round(F.sum("area"), 6).alias("total"), F.round(F.max("area"), 6).alias("largest"))
+    return plain.join(F.broadcast(middle), F.lit(True), "left")
+
+
+def region_edges(regions: DataFrame) -> DataFrame:
+    """``(region, x0, y0, x1, y1)``: the sides of pixels that bound each region, clockwise around it in columns and rows."""
+    steps = [(-1, 0, (0, 0, 1, 0)), (0, 1, (1, 0, 1, 1)), (1, 0, (1, 1, 0, 1)), (0, -1, (0, 1, 0, 0))]
+    sides = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((r, c, *e), ("r", "c", "a", "b", "p", "q"), strict=True)]) for r, c, e in steps]))
+    asked = regions.select("row", "col", "region", sides.alias("s"))
+    asked = asked.select("region", "s", F.col("row").alias("y"), F.col("col").alias("x"), (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    outer = asked.join(regions.select("row", "col", "region"), ["row", "col", "region"], "left_anti")
+    return outer.select("region", (F.col("x") + F.col("s.a")).alias("x0"), (F.col("y") + F.col("s.b")).alias("y0"), (F.col("x") + F.col("s.p")).alias("x1"), (F.col("y") + F.col("s.q")).alias("y1"))
+
+
+def _rings(edges):
+    import pandas as pd
+
+    after: dict[tuple, list] = {}
+    for x0, y0, x1, y1 in edges[["x0", "y0", "x1", "y1"]].sort_values(["y0", "x0", "y1", "x1"]).itertuples(index=False):
+        after.setdefault((x0, y0), []).append((x1, y1))
+    out = []
+    for start in list(after):
+        while after.get(start):
+            ring, at = [], start
+            while after.get(at):
+                # where two pixels touch at a corner, turn so that the ring does not cross itself
+                if len(after[at]) > 1 and ring:
+                    dx, dy = at[0] - ring[-1][0], at[1] - ring[-1][1]
+                    after[at].sort(key=lambda to: dx * (to[1] - at[1]) - dy * (to[0] - at[0]))  # noqa: B023
+                ring.append(at)
+                at = after[at].pop()
+            straight = [(ring[k - 1][0] - p[0]) * (ring[(k + 1) % len(ring)][1] - p[1]) == (ring[k - 1][1] - p[1]) * (ring[(k + 1) % len(ring)][0] - p[0]) for k, p in enumerate(ring)]
+            out.append([{"x": float(x), "y": float(y)} for (x, y), s in zip(ring, straight, strict=True) if not s])
+    return pd.DataFrame({"region": [edges["region"].iloc[0]] * len(out), "ring": out})
+
+
+def region_outlines(regions: DataFrame) -> DataFrame:
+    """``(region, ring)``: the outlines of each region ``(row, col, region)`` in columns and rows, holes as rings of their own.
+
+    Only the sides that bound a region travel, not its pixels; a region's sides meet in one task.
+    """
+    return region_edges(regions).groupBy("region").applyInPandas(_rings, "region long, ring array<struct<x:double,y:double>>")
 
 
 def sampled_means(pixels: DataFrame, control: DataFrame, target: DataFrame, fraction: float, seed: int) -> DataFrame:

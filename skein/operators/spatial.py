@@ -12,7 +12,7 @@ from skein.runtime import materialize
 POINTS = "array<struct<x:double,y:double>>"
 
 
-def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+def utm(lon: Column, lat: Column, zone: int | Column, south: bool = False) -> tuple[Column, Column]:
     """Easting and northing in metres on WGS84 by the Krüger series to the third order, as column expressions."""
     a, f = 6378137.0, 1 / 298.257223563  # semi-major axis and flattening of WGS84
     n = f / (2 - f)
@@ -34,6 +34,24 @@ def zone_of(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("int")
 
 
+def metric_lengths(lines: DataFrame, line_id: str) -> DataFrame:
+    """``(line_id, length_m)`` of lines in degrees, measured in the UTM zone at the middle of all of them, rounded to 3.
+
+    The middle is one row that joins every line. An empty table gives no rows, a missing line null.
+    """
+    xs, ys = F.transform("geom", lambda p: p["x"]), F.transform("geom", lambda p: p["y"])
+    ends = {"x0": F.min(F.array_min(xs)), "x1": F.max(F.array_max(xs)), "y0": F.min(F.array_min(ys)), "y1": F.max(F.array_max(ys))}
+    middle = lines.agg(*[c.alias(f"__{n}") for n, c in ends.items()])
+    middle = middle.select(zone_of((F.col("__x0") + F.col("__x1")) / 2).alias("__zone"), (F.col("__y0") + F.col("__y1") < 0).alias("__south"))
+
+    def metres(p):
+        x, y = utm(p["x"], p["y"], F.col("__zone"))
+        return F.struct(x.alias("x"), (y + F.when(F.col("__south"), 10000000.0).otherwise(0.0)).alias("y"))
+
+    flat = lines.join(F.broadcast(middle), F.lit(True)).select(line_id, F.transform("geom", metres).alias("geom"))
+    return flat.select(line_id, F.when(F.col("geom").isNotNull(), F.round(line_length(F.col("geom")), 3)).alias("length_m"))
+
+
 def coalesced_geometry(geom: Column, start: Column, end: Column) -> Column:
     """The line itself, else the straight line between its ends."""
     return F.coalesce(geom, F.array(start, end))
@@ -51,14 +69,71 @@ def line_length(points: Column) -> Column:
     return F.when(F.size(points) > 1, F.aggregate(steps, F.lit(0.0), lambda s, d: s + F.coalesce(d, F.lit(0.0)))).otherwise(0.0)
 
 
-def spaced_points(points: Column, length: Column, step: float = 15.0, most: int = 50) -> Column:
-    """Points at even spacing on a line of two points: ``max(2, min(most, floor(length / step) + 2))`` of them, both ends included."""
-    n = F.greatest(F.lit(2), F.least(F.lit(most), (F.floor(length / step) + 2).cast("int")))
-    a, b = F.element_at(points, 1), F.element_at(points, -1)
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct((a["x"] + (b["x"] - a["x"]) * i / (n - 1)).alias("x"), (a["y"] + (b["y"] - a["y"]) * i / (n - 1)).alias("y")),
+def spaced_points(lines: DataFrame, line_id: str, step: float = 15.0, most: int = 50) -> DataFrame:
+    """``(line_id, k, x, y)``: points at even spacing along each line ``geom``, whatever its bends, both ends included.
+
+    There are ``max(2, min(most, floor(length / step) + 2))`` of them; a line of one place gives it twice.
+    """
+    g = F.col("geom")
+    gap = lambda i: F.hypot(F.element_at(g, i)["x"] - F.element_at(g, i - 1)["x"], F.element_at(g, i)["y"] - F.element_at(g, i - 1)["y"])
+    # how far along the line each of its points is
+    far = F.aggregate(F.sequence(F.lit(2), F.size(g)), F.array(F.lit(0.0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + gap(i))))
+    far = F.when(F.size(g) > 1, far).otherwise(F.array(F.lit(0.0)))
+    rows = lines.where("size(geom) > 0").select(line_id, "geom", far.alias("far")).withColumn("total", F.element_at("far", -1))
+    n = F.greatest(F.lit(2), F.least(F.lit(most), (F.floor(F.col("total") / step) + 2).cast("int")))
+    rows = rows.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.withColumn("at", F.col("total") * F.col("k") / (F.col("n") - 1))
+    before = F.greatest(F.lit(1), F.least(F.size("geom") - 1, F.size(F.expr("filter(far, f -> f <= at)"))))
+    rows = rows.withColumn("i", before).withColumn("j", F.least(F.col("i") + 1, F.size("geom")))
+    part = F.coalesce(F.try_divide(F.col("at") - F.expr("far[i - 1]"), F.expr("far[j - 1] - far[i - 1]")), F.lit(0.0))
+    rows = rows.withColumns({"part": part, "a": F.expr("geom[i - 1]"), "b": F.expr("geom[j - 1]")})
+    place = [(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * F.col("part")).alias(c) for c in ("x", "y")]
+    return rows.select(line_id, "k", *place)
+
+
+def segments_of(lines: DataFrame, line_id: str) -> DataFrame:
+    """``(line_id, ax, ay, bx, by)``: the straight parts of each line ``geom``; a line of one place is one part without length."""
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("geom") - 1, F.lit(1))),
+        lambda i: F.struct(F.element_at("geom", i).alias("a"), F.element_at("geom", F.least(i + 1, F.size("geom"))).alias("b")),
     )
+    parts = lines.where("size(geom) > 0").select(line_id, F.explode(pairs).alias("__part"))
+    return parts.select(line_id, *[F.col(f"__part.{p}.{c}").alias(p + c) for p in "ab" for c in "xy"])
+
+
+def _turn(ax, ay, bx, by, px, py) -> Column:
+    """Positive if ``p`` is to the left of the way from ``a`` to ``b``, zero on it."""
+    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+
+
+def segments_meet(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Whether two straight parts have a place in common; touching counts."""
+    apart = (
+        (F.greatest(ax, bx) < F.least(cx, dx)) | (F.greatest(cx, dx) < F.least(ax, bx))
+        | (F.greatest(ay, by) < F.least(cy, dy)) | (F.greatest(cy, dy) < F.least(ay, by))
+    )
+    one = F.signum(_turn(ax, ay, bx, by, cx, cy)) * F.signum(_turn(ax, ay, bx, by, dx, dy)) <= 0
+    two = F.signum(_turn(cx, cy, dx, dy, ax, ay)) * F.signum(_turn(cx, cy, dx, dy, bx, by)) <= 0
+    return ~apart & one & two
+
+
+def _to_segment(px, py, ax, ay, bx, by) -> Column:
+    """Distance of a place to a straight part."""
+    along = F.coalesce(F.try_divide((px - ax) * (bx - ax) + (py - ay) * (by - ay), (bx - ax) * (bx - ax) + (by - ay) * (by - ay)), F.lit(0.0))
+    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+    return F.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+
+def segment_distance(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Distance of two straight parts, zero where they meet."""
+    apart = F.least(_to_segment(ax, ay, cx, cy, dx, dy), _to_segment(bx, by, cx, cy, dx, dy), _to_segment(cx, cy, ax, ay, bx, by), _to_segment(dx, dy, ax, ay, bx, by))
+    return F.when(segments_meet(ax, ay, bx, by, cx, cy, dx, dy), F.lit(0.0)).otherwise(apart)
+
+
+def _cells_of(df: DataFrame, cell: float, x0, x1, y0, y1, more: int = 0) -> DataFrame:
+    """A row for each grid cell of the rows' bounds, ``more`` cells wider."""
+    df = df.withColumn("cx", F.explode(F.sequence(_cell(F.least(x0, x1), cell) - more, _cell(F.greatest(x0, x1), cell) + more)))
+    return df.withColumn("cy", F.explode(F.sequence(_cell(F.least(y0, y1), cell) - more, _cell(F.greatest(y0, y1), cell) + more)))
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
@@ -116,16 +191,10 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, po
 
 
 def lines_meeting_boxes(lines: DataFrame, boxes: DataFrame, line_id: str, cell: float) -> DataFrame:
-    """Ids of lines (of two points) that meet at least one box ``(x0, y0, x1, y1)``; no boxes, no ids."""
-    a, b = F.element_at("geom", 1), F.element_at("geom", -1)
-    ends = lines.select(line_id, a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
-
-    def dealt(df, x0, y0, x1, y1):
-        df = df.withColumn("cx", F.explode(F.sequence(_cell(F.least(x0, x1), cell), _cell(F.greatest(x0, x1), cell))))
-        return df.withColumn("cy", F.explode(F.sequence(_cell(F.least(y0, y1), cell), _cell(F.greatest(y0, y1), cell))))
-
-    near = dealt(ends, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).join(
-        dealt(boxes.select("x0", "y0", "x1", "y1"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), ["cx", "cy"]
+    """Ids of lines, of any number of bends, that meet at least one box ``(x0, y0, x1, y1)``; no boxes, no ids."""
+    ends = [F.col(c) for c in ("ax", "bx", "ay", "by")]
+    near = _cells_of(segments_of(lines, line_id), cell, *ends).join(
+        _cells_of(boxes.select("x0", "y0", "x1", "y1"), cell, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")), ["cx", "cy"]
     )
     # the part of the line inside the box's slab in x, and in y, must overlap
     def span(p, q, low, high):
@@ -142,6 +211,48 @@ def lines_meeting_boxes(lines: DataFrame, boxes: DataFrame, line_id: str, cell:
     return near.where(meets).select(line_id).distinct()
 
 
+def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, line_id: str, cell: float) -> DataFrame:
+    """Ids of lines that meet at least one simple polygon ``ring``: a part begins inside or crosses an edge. No polygons, no ids."""
+    a, b, c, d = (F.col(x) for x in ("ax", "bx", "ay", "by"))
+    near = _cells_of(segments_of(lines, line_id), cell, a, b, c, d).join(_ring_cells(polygons.select("ring"), "ring", cell), ["cx", "cy"])
+    n = F.size("ring")
+
+    def crosses(i):
+        p, q = F.element_at("ring", i), F.element_at("ring", F.when(i == n, F.lit(1)).otherwise(i + 1))
+        return segments_meet(a, c, b, d, p["x"], p["y"], q["x"], q["y"])
+
+    meets = contains(F.col("ring"), a, c) | F.exists(F.sequence(F.lit(1), n), crosses)
+    return near.where(meets).select(line_id).distinct()
+
+
+def nearest_lines(lines: DataFrame, sites: DataFrame, line_id: str, site_id: str, cell: float, max_rounds: int = 60) -> DataFrame:
+    """``(line_id, site_id, distance)``: the site line nearest to each line, the smallest id among equals; both are ``geom`` with any bends.
+
+    A round joins the parts of lines not yet settled to the parts of sites in their cells and
+    the cells around; a line is settled once its best distance is within one cell, and the
+    cells of the next round are twice as large. Without sites no row.
+    """
+    theirs = segments_of(sites, site_id).toDF(site_id, "sax", "say", "sbx", "sby")
+    theirs = materialize(theirs, "site_parts")
+    own = [F.col(c) for c in ("ax", "bx", "ay", "by")]
+    left = materialize(segments_of(lines, line_id), "line_parts")
+    out = left.select(line_id).limit(0).join(theirs.select(site_id).limit(0), F.lit(True)).withColumn("distance", F.lit(None).cast("double"))
+    if theirs.isEmpty():
+        return out
+    for _ in range(max_rounds):
+        asked = _cells_of(left, cell, *own, more=1)
+        there = _cells_of(theirs, cell, F.col("sax"), F.col("sbx"), F.col("say"), F.col("sby"))
+        far = segment_distance(*[F.col(c) for c in ("ax", "ay", "bx", "by", "sax", "say", "sbx", "sby")])
+        best = asked.join(there, ["cx", "cy"]).groupBy(line_id).agg(F.min(F.struct(far.alias("distance"), F.col(site_id))).alias("b"))
+        best = materialize(best.where(F.col("b.distance") <= cell), "nearest")
+        out = out.unionByName(best.select(line_id, f"b.{site_id}", "b.distance"))
+        left = materialize(left.join(best, line_id, "left_anti"), "line_parts")
+        if left.isEmpty():
+            return out
+        cell *= 2
+    raise RuntimeError("some lines found no site")
+
+
 def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, cell: float, max_rounds: int = 40) -> DataFrame:
     """``(point_id, site_id, distance)``: the nearest site of each point, the smallest id among equals.
 
@@ -208,6 +319,30 @@ def clipped_boxes(boxes: DataFrame, x0: float, y0: float, x1: float, y1: float)
     return cut.where("x1 > x0 AND y1 > y0")
 
 
+def clipped_polygons(polygons: DataFrame, area: list[tuple[float, float]]) -> DataFrame:
+    """``polygons`` with the part of each ``ring`` inside a convex area of interest, given counterclockwise; those outside are dropped.
+
+    One edge of the area cuts at a time. A ring that the area cuts in several pieces stays one, joined along its edge.
+    """
+    edges = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip((*p, *q), ("px", "py", "qx", "qy"), strict=True)]) for p, q in zip(area, area[1:] + area[:1], strict=True)])
+    none = F.array().cast(POINTS)
+
+    def cut(ring, e):
+        side = lambda p: (e["qx"] - e["px"]) * (p["y"] - e["py"]) - (e["qy"] - e["py"]) * (p["x"] - e["px"])
+
+        def kept(b, i):
+            a = F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i))
+            t = F.coalesce(F.try_divide(side(a), side(a) - side(b)), F.lit(0.0))
+            at = F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
+            inside, crossed = side(b) >= 0, (side(a) >= 0) != (side(b) >= 0)
+            return F.when(inside & crossed, F.array(at, b)).when(inside, F.array(b)).when(crossed, F.array(at)).otherwise(none)
+
+        return F.flatten(F.transform(ring, kept))
+
+    inside = polygons.withColumn("ring", F.aggregate(edges, F.col("ring").cast(POINTS), cut))
+    return inside.where("size(ring) > 2").where(ring_area(F.col("ring")) > 0)
+
+
 def area_by_label(areas: DataFrame, *labels: str, area: str) -> DataFrame:
     """Areas summed by a composite label, positive ones, largest first."""
     sums = areas.groupBy(*labels).agg(F.round(F.sum(area), 4).alias("area"))
@@ -241,6 +376,15 @@ def fit_homography(pairs: list[tuple[float, float, float, float]]) -> list[float
     return np.linalg.lstsq(np.array(rows, float), np.array(right, float), rcond=None)[0].tolist()
 
 
+def homography_errors(h: list[float], pairs: DataFrame) -> DataFrame:
+    """One row with the root mean square, largest and mean distance of projected control points ``(x, y)`` from their ``(u, v)``."""
+    u, v = apply_homography(h, F.col("x"), F.col("y"))
+    far = pairs.select(F.hypot(u - F.col("u"), v - F.col("v")).alias("e"))
+    return far.agg(
+        F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 6).alias("rmse"), F.round(F.max("e"), 6).alias("max_error"), F.round(F.avg("e"), 6).alias("mean_error")
+    )
+
+
 def apply_homography(h: list[float], x: Column, y: Column) -> tuple[Column, Column]:
     w = h[6] * x + h[7] * y + 1
     return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.metrics import best_threshold, confusion, threshold_sweep
+from skein.runtime import materialize
+
 #: Groups that one driver-side assignment takes; more groups must be merged first.
 MOST_GROUPS = 100_000
 
@@ -179,17 +182,49 @@ def predict_probe(model, df: DataFrame, features: str) -> DataFrame:
     return out.select(*df.columns, "y_prob")
 
 
+#: Fold tables up to this many rows are broadcast, after they are counted; others are joined by a shuffle.
+BROADCAST_FOLDS = 100_000
+
+
+def held_out(df: DataFrame, folds: DataFrame, group: str, features: str, label: str, l2: float) -> DataFrame:
+    """``(fold, y_true, score)``: each row predicted by the model of the other folds."""
+    side = F.broadcast(folds) if folds.count() <= BROADCAST_FOLDS else folds
+    rows = materialize(df.join(side, group).select(features, F.col(label).cast("double").alias(label), "fold"), "folds")
+    out = None
+    for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():  # a handful
+        model = fit_probe(rows.where(F.col("fold") != fold), features, label, l2=l2)
+        scored = predict_probe(model, rows.where(F.col("fold") == fold), features)
+        scored = scored.select("fold", F.col(label).cast("int").alias("y_true"), F.col("y_prob").alias("score"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def grid_search(df: DataFrame, folds: DataFrame, group: str, features: str, label: str, penalties: list[float]) -> DataFrame:
     """``(l2, fold, tp, fp, fn, tn, f1, ...)`` of a model per penalty and held-out fold, cut at 0.5."""
-    from skein.operators.metrics import confusion
-
-    rows = df.join(F.broadcast(folds), group).select(features, F.col(label).cast("double").alias(label), "fold").persist()
     out = None
     for l2 in penalties:
-        for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():
-            model = fit_probe(rows.where(F.col("fold") != fold), features, label, l2=l2)
-            scored = predict_probe(model, rows.where(F.col("fold") == fold), features)
-            scored = scored.select(F.lit(l2).alias("l2"), "fold", F.col(label).cast("int").alias("y_true"), (F.col("y_prob") > 0.5).cast("int").alias("y_pred"))
-            one = confusion(scored, "l2", "fold")
-            out = one if out is None else out.unionByName(one)
+        scored = held_out(df, folds, group, features, label, l2)
+        one = confusion(scored.select(F.lit(l2).alias("l2"), "fold", "y_true", (F.col("score") > 0.5).cast("int").alias("y_pred")), "l2", "fold")
+        out = one if out is None else out.unionByName(one)
     return out
+
+
+def select_and_test(
+    train: DataFrame, test: DataFrame, folds: DataFrame, group: str, features: str, label: str, penalties: list[float], thresholds: list[float]
+) -> DataFrame:
+    """``(l2, threshold, tp, ..., accuracy)``: one row, the single look at ``test`` of the model that the folds choose.
+
+    The penalty with the best mean F1 over the folds (the first on ties) is run over them
+    again, its held-out scores are pooled, and the threshold with the best pooled F1 (the lowest
+    on ties) is kept. The model is then fitted on all of ``train`` and judged on ``test`` once.
+    """
+    searched = grid_search(train, folds, group, features, label, penalties)
+    means = searched.groupBy("l2").agg(F.round(F.avg("f1"), 4).alias("mean"))
+    order = F.array_position(F.array(*[F.lit(float(p)) for p in penalties]), F.col("l2"))
+    l2 = means.orderBy(F.desc("mean"), order).first()["l2"]
+    pooled = held_out(train, folds, group, features, label, l2)
+    threshold = best_threshold(threshold_sweep(pooled, thresholds)).first()["threshold"]
+    model = fit_probe(train.withColumn(label, F.col(label).cast("double")), features, label, l2=l2)
+    scored = predict_probe(model, test, features)
+    judged = confusion(scored.select(F.col(label).cast("int").alias("y_true"), (F.col("y_prob") > threshold).cast("int").alias("y_pred")))
+    return judged.select(F.lit(l2).alias("l2"), F.lit(threshold).alias("threshold"), "*")

@@ -180,17 +180,18 @@ d AS (SELECT node, (SELECT count(*) FROM segments WHERE v = node) AS i, (SELECT
 SELECT count(*) AS n_nodes, count(*) FILTER (i + o = 0) AS n_isolated, count(*) FILTER (i > 0 AND o = 0) AS n_dead_ends,
        (SELECT count(*) FROM segments) AS n_segments, (SELECT count(*) FROM segments WHERE u = v) AS n_loops FROM d"""
 SPARSE = """
-links AS (SELECT DISTINCT o_custkey AS u, -l_partkey - 1 AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-          WHERE l_quantity >= 48 AND l_discount >= 0.095),
-both_ways AS (SELECT u AS a, v AS b FROM links UNION SELECT v, u FROM links),
-reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, e.b FROM reach JOIN both_ways e ON reach.b = e.a),
-parts AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)"""
+both_ways AS (SELECT o_custkey AS a, -o_orderkey - 1 AS b FROM orders UNION SELECT -o_orderkey - 1, o_custkey FROM orders),
+parts(node, component) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM both_ways
+  UNION
+  SELECT e.b, min(parts.component) FROM parts JOIN both_ways e ON e.a = parts.node JOIN recurring.parts old ON old.node = e.b
+  WHERE parts.component < old.component GROUP BY 1)"""
 SQL["weak_components"] = f"WITH RECURSIVE {SPARSE} SELECT * FROM parts"
 SQL["component_sizes"] = f"""WITH RECURSIVE {SPARSE}
 SELECT component, count(*) AS size, round(count(*) * 100.0 / (SELECT count(*) FROM parts), 4) AS pct
 FROM parts GROUP BY 1 ORDER BY size DESC, component LIMIT 10"""
 SQL["strong_components"] = """
-WITH RECURSIVE rows AS (SELECT user_id, date_trunc('hour', ts) AS h FROM events WHERE event_type = 'purchase' AND value > 130),
+WITH RECURSIVE rows AS (SELECT user_id, date_trunc('hour', ts) AS h FROM events WHERE event_type = 'purchase'),
 e AS (SELECT DISTINCT a.user_id AS u, b.user_id AS v FROM rows a JOIN rows b ON b.h = a.h + INTERVAL 1 HOUR),
 n AS (SELECT u AS x FROM e UNION SELECT v FROM e),
 reach(a, b) AS (SELECT x, x FROM n UNION SELECT reach.a, e.v FROM reach JOIN e ON reach.b = e.u)
@@ -454,3 +455,122 @@ z AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS e
 SELECT s_suppkey,
   round(500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 2) AS easting,
   round(r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 2) AS northing FROM z"""
+
+SQL["csv_hourly"] = "SELECT date_trunc('hour', ts) AS time, round(sum(value), 3) AS precipitation_mm FROM events GROUP BY 1"
+SQL["csv_parts"] = """
+SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, 'say "' || p_name || '",' || chr(10) || p_type AS said FROM part"""
+BENT = f"""{PLACES},
+bent AS (SELECT c_custkey, x AS x0, y AS y0, x + c_custkey % 7 - 3 AS x1, y + c_custkey % 5 - 2 AS y1, x + c_custkey % 3 AS x2, y + c_custkey % 11 - 5 AS y2 FROM spots),
+parts AS (SELECT c_custkey, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS by_ FROM bent UNION ALL SELECT c_custkey, x1, y1, x2, y2 FROM bent),
+long AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS p, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS q FROM bent)"""
+SQL["geojson_streets"] = f"WITH {BENT} SELECT c_custkey, 0 AS part, 3 AS n_points, round(p + q, 3) AS length_m FROM long"
+SQL["geojson_wards"] = f"""WITH {PLACES}
+SELECT ward_no, 'Polygon' AS kind, round(abs(sum(ax * by_ - bx * ay)) / 2, 6) AS area, count(*) AS n_corners, CAST(0 AS BIGINT) AS n_holes FROM edges GROUP BY 1"""
+SQL["graphml_segments"] = f"""WITH {SEGMENTS}
+SELECT u, v, '0' AS key, u * 0.5::DOUBLE + v AS length, u * 0.25::DOUBLE AS x,
+       CAST((SELECT count(*) FROM segments b WHERE b.v = a.u) - (SELECT count(*) FROM segments b WHERE b.u = a.u) AS DOUBLE) AS y FROM segments a"""
+SQL["json_nations"] = "SELECT n_name AS key, CAST(n_nationkey AS DOUBLE) AS a, n_regionkey + 0.5::DOUBLE AS b FROM nation"
+SQL["npy_nations"] = """
+WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS "row", n_nationkey, n_regionkey FROM nation)
+SELECT "row", CAST(0 AS BIGINT) AS col, CAST(n_nationkey AS DOUBLE) AS value FROM n UNION ALL SELECT "row", 1, n_regionkey FROM n"""
+SQL["geotiff_pixels"] = f'WITH {GRID} SELECT "row", col, CASE WHEN col <> 5 THEN round(value, 6) END AS value FROM grid'
+SQL["json_report"] = SQL["kpi_scalars"]
+SQL["tensor_sink"] = SQL["tensor_permuted"]
+SQL["wkt_streets"] = f"""WITH {PLACES}
+SELECT s_suppkey, 'LINESTRING (' || floor(x)::DOUBLE || ' ' || floor(y)::DOUBLE || ', ' || (floor(x) + 1)::DOUBLE || ' ' || floor(y)::DOUBLE || ')' AS geom,
+       '[' || s_suppkey || ']' AS parts FROM sites"""
+SQL["saved_probe"] = "SELECT count(*) AS n_shared, CAST(0 AS BIGINT) AS n_different FROM embeddings"
+SQL["layer_probes"] = """
+WITH p AS (SELECT page_id AS layer, CASE WHEN page_id % 7 = 0 THEN 404 WHEN page_id % 11 = 0 THEN NULL ELSE 200 END AS status, CAST(length(html) AS INT) AS n_bytes FROM pages)
+SELECT *, CASE WHEN status IS NULL OR status <> 200 THEN 'dead' WHEN n_bytes < 1500 THEN 'suspect_blank' ELSE 'ok' END AS verdict FROM p"""
+SQL["optional_input"] = "SELECT r_regionkey, r_name FROM region"
+SQL["looked_up_names"] = """
+SELECT n_name AS name, CASE WHEN n_name[1] IN ('A', 'M') THEN 'unverified' WHEN length(n_name) > 5 THEN 'resolved' ELSE 'no_match' END AS status,
+       CASE WHEN n_name[1] NOT IN ('A', 'M') AND length(n_name) > 5 THEN lower(n_name) END AS value FROM nation"""
+SQL["drawn_geometry"] = f"""WITH {BENT}
+SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 'missing' WHEN 2 THEN 'empty' WHEN 3 THEN 'short' ELSE 'ok' END AS status,
+       round(CASE WHEN c_custkey % 4 = 0 THEN p + q ELSE sqrt((x2 - x0) ** 2 + (y2 - y0) ** 2) END, 3) AS length_m FROM long"""
+SQL["complete_regions"] = "SELECT * FROM region WHERE r_name IN ('ASIA', 'EUROPE', 'AFRICA')"
+SQL["mapped_labels"] = "SELECT event_id, CAST(event_type IN ('error', 'purchase') AS INT) AS label FROM events WHERE event_type <> 'view'"
+SQL["flooded_neighbours"] = f"""WITH {CONTACTS}, {HEIGHTS}
+SELECT DISTINCT node FROM near WHERE neighbour IN (SELECT node FROM heights WHERE elevation > 55)"""
+SQL["control_and_target"] = f"""WITH {GRID}
+SELECT CASE WHEN value > 0.1 THEN 'target' ELSE 'control' END AS "group", count(value) AS n, round(avg(value), 6) AS mean FROM grid GROUP BY 1"""
+SQL["homography_report"] = "SELECT count(*) AS n, 0.0::DOUBLE AS rmse, 0.0::DOUBLE AS max_error, 0.0::DOUBLE AS mean_error FROM supplier"
+SQL["pooled_vectors"] = """
+WITH e AS (SELECT vec_id, label, embedding, len(embedding) AS n, unnest(range(len(embedding))) AS col FROM embeddings)
+SELECT vec_id, CAST(col AS INT) AS col, round((embedding[col + 1]::DOUBLE + embedding[n - col]::DOUBLE * label) / (1.0::DOUBLE + label), 6) AS value FROM e"""
+SQL["first_events"] = """
+SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"""
+SQL["ngram_windows"] = r"""
+WITH w AS (SELECT item_id AS text_id, regexp_extract_all(text, '[A-Za-z'']+') AS w, regexp_split_to_array(text, '[A-Za-z'']+') AS gaps FROM benchmark),
+s AS (SELECT text_id, w, gaps, n, unnest(range(1, len(w) - n + 2)) AS i FROM w CROSS JOIN range(1, 5) r(n)),
+t AS (SELECT text_id, n, array_to_string(list_transform(range(i, i + n), lambda k: w[k] || CASE WHEN k < i + n - 1 THEN gaps[k + 1] ELSE '' END), '') AS span FROM s)
+SELECT text_id, CAST(n AS INT) AS n_words, count(*) AS n, count(DISTINCT lower(span)) AS n_distinct FROM t GROUP BY 1, 2"""
+CHAIN = f"""{GAZETTEER}, {MENTIONS},
+m AS (SELECT doc_id, contains(text, 'the') AS p, doc_id IN (SELECT text_id FROM found) AS l, (SELECT count(*) FROM found WHERE text_id = doc_id) AS n FROM documents)"""
+SQL["end_to_end"] = f"""WITH {CHAIN},
+judged AS (SELECT toxic AS y_true, CAST(p AND l AS INT) AS y_pred FROM m JOIN labels USING (doc_id)), c AS (SELECT {COUNTS} FROM judged)
+SELECT *, {METRICS} FROM c"""
+SQL["run_report"] = f"""WITH {CHAIN}
+SELECT 'n_texts' AS metric, CAST(count(*) AS DOUBLE) AS value FROM m UNION ALL SELECT 'n_positive', count(*) FROM m WHERE p UNION ALL SELECT 'n_located', count(*) FROM m WHERE l
+UNION ALL SELECT 'n_deliverable', count(*) FROM m WHERE p AND l UNION ALL SELECT 'n_matches', sum(n) FROM m"""
+SQL["labelled_passages"] = r"""
+WITH p AS (SELECT doc_id, substr(sha1(regexp_replace(text, '^\s+|\s+$', '', 'g')), 1, 10) AS passage_id FROM documents),
+k AS (SELECT DISTINCT passage_id, quality AS label FROM p JOIN labels USING (doc_id))
+SELECT doc_id, passage_id, label FROM p JOIN k USING (passage_id)"""
+SQL["tensor_report"] = f"""WITH {SETS}, {CONTACTS}
+SELECT 'missing_rainfall_t' AS metric, CAST(4 * count(*) AS DOUBLE) AS value FROM users WHERE user_id % 5 = 0 UNION ALL SELECT 'missing_cumulative_rainfall_t', 0
+UNION ALL SELECT 'rows_beyond_shape', 4 * count(*) - 4000 FROM users UNION ALL SELECT 'n_places', 4 * count(*) FROM users UNION ALL SELECT 'n_transitions', 3
+UNION ALL SELECT 'n_edges', count(*) FROM contacts UNION ALL SELECT 'edges_out_of_bounds', count(*) FROM contacts WHERE a >= 1000 OR b >= 1000"""
+SQL["accepted_labels"] = f"""WITH {PHASES}, {FUSED} SELECT phase_id, CAST(sum(flood_label) AS BIGINT) AS n_flooded, count(*) AS n FROM fused GROUP BY 1"""
+SQL["added_metric"] = f"""WITH {WARD}
+SELECT split, count(*) FILTER (y = 0) AS n_neg, count(*) FILTER (y = 1) AS n_pos,
+       round(CASE WHEN count(*) FILTER (y = 1) > 0 THEN count(*) FILTER (y = 0) / CAST(count(*) FILTER (y = 1) AS DOUBLE) ELSE 1 END, 4) AS pos_weight,
+       count(*) AS n_rows FROM w WHERE split <> 'train' GROUP BY 1"""
+SQL["key_differences"] = """
+WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 5), b AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 50 <> 7),
+m AS (SELECT k FROM a EXCEPT SELECT k FROM b), e AS (SELECT k FROM b EXCEPT SELECT k FROM a)
+SELECT 'missing' AS side, (SELECT count(*) FROM m) AS n, array_to_string(list_sort((SELECT list(k::VARCHAR) FROM (FROM m ORDER BY k LIMIT 10))), ',') AS examples
+UNION ALL SELECT 'extra', (SELECT count(*) FROM e), array_to_string(list_sort((SELECT list(k::VARCHAR) FROM (FROM e ORDER BY k LIMIT 10))), ',')"""
+SQL["attribute_text"] = """
+SELECT p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size, to_json([p_brand, p_type])::VARCHAR AS tags, NULL::VARCHAR AS absent FROM part"""
+SQL["spaced_points"] = f"""WITH {BENT},
+n AS (SELECT *, greatest(2, least(9, CAST(floor((p + q) / 1.5) AS INT) + 2)) AS n FROM long),
+k AS (SELECT *, unnest(range(n)) AS k FROM n), t AS (SELECT *, (p + q) * k / (n - 1) AS far FROM k)
+SELECT c_custkey, CAST(k AS INT) AS k,
+       round(CASE WHEN p > 0 AND (far < p OR q = 0) THEN x0 + (x1 - x0) * far / p ELSE x1 + (x2 - x1) * CASE WHEN q > 0 THEN (far - p) / q ELSE 0 END END, 6) AS x,
+       round(CASE WHEN p > 0 AND (far < p OR q = 0) THEN y0 + (y1 - y0) * far / p ELSE y1 + (y2 - y1) * CASE WHEN q > 0 THEN (far - p) / q ELSE 0 END END, 6) AS y FROM t"""
+SQL["bent_in_extent"] = SQL["lines_in_extent"].replace(STREETS, BENT).replace("FROM streets CROSS", "FROM parts CROSS")
+MEET = """(greatest(ax, bx) >= least(cx, dx) AND greatest(cx, dx) >= least(ax, bx) AND greatest(ay, by_) >= least(cy, dy) AND greatest(cy, dy) >= least(ay, by_)
+  AND sign((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) <= 0
+  AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) <= 0)"""
+SQL["bent_in_wards"] = f"""WITH {BENT},
+sides AS (SELECT ward_no, ax AS cx, ay AS cy, bx AS dx, by_ AS dy FROM edges WHERE ward_no >= 3),
+cross_ AS (SELECT DISTINCT c_custkey FROM parts CROSS JOIN sides WHERE {MEET}),
+within AS (SELECT DISTINCT c_custkey FROM (SELECT c_custkey, ax, ay, ward_no FROM (SELECT DISTINCT c_custkey, ax, ay FROM parts) JOIN sides ON (cy > ay) <> (dy > ay) AND ax < cx + (ay - cy) * (dx - cx) / (dy - cy)
+           GROUP BY ALL HAVING count(*) % 2 = 1))
+SELECT * FROM cross_ UNION SELECT * FROM within"""
+
+
+def _far(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    along = f"greatest(least((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / (({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2), 1), 0)"
+    along = f"CASE WHEN {ax} = {bx} AND {ay} = {by} THEN 0 ELSE {along} END"
+    return f"sqrt(({px} - {ax} - ({along}) * ({bx} - {ax})) ** 2 + ({py} - {ay} - ({along}) * ({by} - {ay})) ** 2)"
+
+
+SQL["nearest_drain"] = f"""WITH {BENT},
+drains AS (SELECT x AS cx, y AS cy, x + 2 AS dx, y + 1 AS dy FROM sites UNION ALL SELECT x + 2, y + 1, x + 3, y - 2 FROM sites)
+SELECT c_custkey, round(min(CASE WHEN {MEET} THEN 0 ELSE least({_far('ax', 'ay', 'cx', 'cy', 'dx', 'dy')}, {_far('bx', 'by_', 'cx', 'cy', 'dx', 'dy')},
+  {_far('cx', 'cy', 'ax', 'ay', 'bx', 'by_')}, {_far('dx', 'dy', 'ax', 'ay', 'bx', 'by_')}) END), 6) AS distance FROM parts CROSS JOIN drains GROUP BY 1"""
+#: Areas of the wards inside the box from (20, 10) to (80, 60), by hand: exact integrals over their edges.
+SQL["clipped_wards"] = "SELECT * FROM (VALUES (1, 400.0::DOUBLE), (2, 662.777778::DOUBLE), (3, 900.0::DOUBLE), (4, 100.0::DOUBLE)) t(ward_no, area)"
+SQL["metric_lengths"] = SQL["utm_places"].rsplit("SELECT s_suppkey,", 1)[0].replace(
+    "s AS (SELECT s_suppkey, radians(12 + y / 50) AS phi, radians(79 + x / 50 - 81) AS lam FROM sites)",
+    "s AS (SELECT s_suppkey, e AS at_end, radians(12 + y / 50 + 0.02 * e) AS phi, radians(79 + x / 50 + 0.01 * e - 81) AS lam FROM sites CROSS JOIN range(2) g(e))",
+).replace("SELECT s.*, c.*,", "SELECT s_suppkey, at_end, phi, lam, n, r, a1, a2, a3, c.e AS ecc,").replace("e * atanh(e * sin(phi))", "c.e * atanh(c.e * sin(phi))") + """,
+m AS (SELECT s_suppkey, at_end,
+  500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS x,
+  r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS y FROM z)
+SELECT a.s_suppkey, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 2) AS length_m FROM m a JOIN m b ON a.s_suppkey = b.s_suppkey AND a.at_end = 0 AND b.at_end = 1"""
+SQL["region_outlines"] = f"WITH RECURSIVE {REGIONS} SELECT region, CAST(count(*) AS DOUBLE) AS area FROM region GROUP BY 1"

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import checks
 from skein.functions import scalar
 from skein.operators import graph, labels, metrics, raster, spatial, splits, text, timeseries
-from skein.runtime import table
-from skein.sources import readers
+from skein.runtime import shared_folder, table
+from skein.sources import readers, writers
 
 REGISTRY: dict = {}
 
@@ -195,9 +199,9 @@ def predicted(spark, d) -> DataFrame:
     steps = timeseries.intensity(totals(spark, d)).select("phase_id", "intensity")
     # the rule reads the intensity of the phase that a transition starts from
     pairs = steps.where("phase_id < 3").select("phase_id", (F.col("phase_id") + 1).alias("next_phase"), "intensity")
-    mean = steps.agg(F.avg("intensity")).first()[0]
+    pairs = pairs.join(F.broadcast(steps.agg((1.05 * F.avg("intensity")).alias("wet"))), F.lit(True))
     near = graph.adjacency(contacts(spark, d), "a", "b")
-    return graph.propagate(state, near, heights(spark, d), pairs, rain_over=1.05 * mean, low_up_to=52.0)
+    return graph.propagate(state, near, heights(spark, d), pairs, rain_over=F.col("wet"), low_up_to=52.0)
 
 
 def judged(spark, d) -> DataFrame:
@@ -327,9 +331,8 @@ def graph_profile(spark, d):
 
 
 def sparse_links(spark, d) -> DataFrame:
-    """Customers and parts that meet in full orders at the largest discount; parts are numbered below zero."""
-    rows = table(spark, d, "lineitem").where("l_quantity >= 48 AND l_discount >= 0.095").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(F.col("o_custkey").alias("u"), (-F.col("l_partkey") - 1).alias("v")).distinct()
+    """Customers and their orders, which are numbered below zero."""
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("u"), (-F.col("o_orderkey") - 1).alias("v"))
 
 
 @query
@@ -343,8 +346,8 @@ def component_sizes(spark, d):
 
 
 def hour_links(spark, d) -> DataFrame:
-    """From the users of one hour to those of the next, among large purchases."""
-    rows = events(spark, d, "purchase").where("value > 130").select("user_id", F.date_trunc("hour", "ts").alias("h"))
+    """From the users of one hour to those of the next, among purchases."""
+    rows = events(spark, d, "purchase").select("user_id", F.date_trunc("hour", "ts").alias("h"))
     after = rows.select(F.col("user_id").alias("v"), (F.col("h") - F.expr("INTERVAL 1 HOUR")).alias("h"))
     return rows.withColumnRenamed("user_id", "u").join(after, "h").select("u", "v").distinct()
 
@@ -615,7 +618,7 @@ def line_lengths(spark, d):
 @query
 def sampled_elevation(spark, d):
     lines = streets(spark, d)
-    points = lines.select("c_custkey", F.explode(spatial.spaced_points(F.col("geom"), spatial.line_length(F.col("geom")), step=1.0, most=50)).alias("p")).select("c_custkey", "p.x", "p.y")
+    points = spatial.spaced_points(lines, "c_custkey", step=1.0, most=50).drop("k")
     sampled = spatial.sample_raster(points, grid(spark, d), 0.0, 100.0, 1.5, 0.5)
     return sampled.groupBy("c_custkey").agg(F.count("value").alias("n_valid"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
@@ -806,3 +809,323 @@ def utm_places(spark, d):
     spots = places(spark, d, "supplier", "s_suppkey").select("s_suppkey", (79 + F.col("x") / 50).alias("lon"), (12 + F.col("y") / 50).alias("lat"))
     x, y = spatial.utm(F.col("lon"), F.col("lat"), 44)
     return spots.select("s_suppkey", F.round(x, 2).alias("easting"), F.round(y, 2).alias("northing"))
+
+
+def scratch(spark, name: str) -> str:
+    """A new place in the shared folder, for queries that write and read back."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_hourly(spark, d):
+    hours = timeseries.hourly(table(spark, d, "events"), "ts", "value")
+    path = scratch(spark, "csv")
+    writers.csv(hours.select(F.col("time").cast("timestamp_ntz").alias("time"), F.round("value", 3).alias("precipitation_mm")), path)
+    return readers.csv(spark, path, readers.HOURLY)
+
+
+@query
+def csv_parts(spark, d):
+    """Ids with leading zeros, quotes, commas and line ends come back as they were."""
+    path = scratch(spark, "csv")
+    said = F.concat(F.lit('say "'), "p_name", F.lit('",\n'), "p_type")
+    writers.csv(table(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), said.alias("said")), path)
+    return readers.csv(spark, path, "id string, said string")
+
+
+def bent_streets(spark, d) -> DataFrame:
+    """Streets of two straight parts."""
+    a = places(spark, d, "customer", "c_custkey")
+    k = F.col("c_custkey")
+    middle = F.struct((F.col("x") + k % 7 - 3).cast("double").alias("x"), (F.col("y") + k % 5 - 2).cast("double").alias("y"))
+    end = F.struct((F.col("x") + k % 3).cast("double").alias("x"), (F.col("y") + k % 11 - 5).cast("double").alias("y"))
+    return a.select("c_custkey", F.array(F.struct("x", "y"), middle, end).alias("geom"))
+
+
+@query
+def geojson_streets(spark, d):
+    path = scratch(spark, "geojson")
+    writers.geojson_collection(bent_streets(spark, d), path)
+    lines = readers.geojson_lines(spark, path, "c_custkey:bigint")
+    return lines.select("c_custkey", "part", F.size("geom").alias("n_points"), F.round(spatial.line_length(F.col("geom")), 3).alias("length_m"))
+
+
+@query
+def geojson_wards(spark, d):
+    path = scratch(spark, "geojson")
+    writers.geojson_collection(wards(spark), path, geom="ring", kind="Polygon")
+    rows = readers.geojson(spark, path, "ward_no:int")
+    return rows.select("ward_no", "kind", F.round(spatial.ring_area(F.col("geom")), 6).alias("area"), F.size("geom").cast("long").alias("n_corners"), F.size("holes").cast("long").alias("n_holes"))
+
+
+@query
+def graphml_segments(spark, d):
+    edges = segments(spark, d).select("u", "v", F.lit("0").alias("key"), (F.col("u") * 0.5 + F.col("v")).alias("length"))
+    nodes = graph.nodes_of(edges).select("node", (F.col("node") * 0.25).alias("x"), (F.col("n_in") - F.col("n_out")).cast("double").alias("y"))
+    path = scratch(spark, "graphml")
+    writers.graphml(nodes, edges, path)
+    back, lines = readers.graphml(spark, path)
+    ends = lines.join(back, lines["u"] == back["node"]).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "key", "length", "x", "y")
+    return ends
+
+
+@query
+def json_nations(spark, d):
+    path = scratch(spark, "json")
+    pair = F.struct("n_name", F.array(F.col("n_nationkey").cast("double"), F.col("n_regionkey") + 0.5))
+    table(spark, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value")).write.text(path)
+    return readers.json_dict(spark, path).select("key", F.col("value")[0].alias("a"), F.col("value")[1].alias("b"))
+
+
+@query
+def npy_nations(spark, d):
+    import numpy as np
+
+    raw, path = io.BytesIO(), scratch(spark, "npy") + ".npy"
+    rows = table(spark, d, "nation").orderBy("n_nationkey").select(F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double"))
+    np.save(raw, rows.toPandas().to_numpy())
+    writers.put(spark, path, raw.getvalue())
+    return readers.npy(spark, path).select(F.col("index")[0].alias("row"), F.col("index")[1].alias("col"), "value")
+
+
+@query
+def geotiff_pixels(spark, d):
+    path = scratch(spark, "geotiff")
+    gaps = grid(spark, d).withColumn("value", F.when(F.col("col") != 5, F.col("value")))
+    writers.geotiff(gaps, path, x0=100.0, y0=50.0, dx=2.0, dy=4.0, tile=48)
+    back = readers.geotiff(spark, path)
+    return back.select(F.floor((50.0 - F.col("y")) / 4.0).cast("int").alias("row"), F.floor((F.col("x") - 100.0) / 2.0).cast("int").alias("col"), F.round("value", 6).alias("value"))
+
+
+@query
+def json_report(spark, d):
+    path = scratch(spark, "report")
+    writers.report(kpi_scalars(spark, d), path)
+    return spark.read.json(path)
+
+
+@query
+def tensor_sink(spark, d):
+    path = scratch(spark, "tensor")
+    writers.tensor(tensor_permuted(spark, d), path)
+    return spark.read.parquet(path)
+
+
+@query
+def wkt_streets(spark, d):
+    path = scratch(spark, "wkt")
+    ends = places(spark, d, "supplier", "s_suppkey").select("s_suppkey", F.floor("x").cast("double").alias("x"), F.floor("y").cast("double").alias("y"))
+    lines = ends.select("s_suppkey", F.array(F.struct("x", "y"), F.struct((F.col("x") + 1).alias("x"), F.col("y"))).alias("geom"), F.array("s_suppkey").alias("parts"))
+    writers.wkt(lines, path)
+    return spark.read.parquet(path)
+
+
+@query
+def saved_probe(spark, d):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    path, fitted = scratch(spark, "model"), splits.fit_probe(vectors(spark, d), "embedding", "y")
+    writers.model(fitted, path)
+    one = splits.predict_probe(fitted, vectors(spark, d), "embedding").select("vec_id", "y_prob")
+    two = splits.predict_probe(LogisticRegressionModel.load(path), vectors(spark, d), "embedding").select("vec_id", "y_prob")
+    return metrics.reproduced(one, two, "vec_id", "y_prob")
+
+
+@query
+def layer_probes(spark, d):
+    k = F.col("page_id")
+    status = F.when(k % 7 == 0, F.lit(404)).when(k % 11 == 0, F.lit(None)).otherwise(F.lit(200))
+    rows = table(spark, d, "pages").select(k.alias("layer"), status.cast("int").alias("status"), F.length("html").alias("n_bytes"))
+    return readers.probe_verdicts(rows, least_bytes=1500)
+
+
+@query
+def optional_input(spark, d):
+    """The second of three places has the table; an absent one is an empty table."""
+    read = lambda path: spark.read.parquet(path)
+    first = readers.optional(spark, [f"{d}/none.parquet", f"{d}/region.parquet", f"{d}/nation.parquet"], read, "r_regionkey int, r_name string")
+    return first.unionByName(readers.optional(spark, [f"{d}/none.parquet"], read, "r_regionkey int, r_name string"))
+
+
+@query
+def looked_up_names(spark, d):
+    """Names by a lookup that fails in two ways; a failed one is unverified, not absent."""
+
+    def fetch(names):
+        for name in names:
+            if name[0] in "AM":
+                raise (OSError if name[0] == "A" else ValueError)(name)
+        return {n: n.lower() for n in names if len(n) > 5}
+
+    return readers.fetched(table(spark, d, "nation").select(F.col("n_name").alias("name")), fetch, batch=1)
+
+
+@query
+def drawn_geometry(spark, d):
+    """Lines as they are drawn, or straight between their ends where they are not."""
+    rows = bent_streets(spark, d)
+    k, first, last = F.col("c_custkey"), F.element_at("geom", 1), F.element_at("geom", -1)
+    none = F.array().cast(spatial.POINTS)
+    drawn = F.when(k % 4 == 1, F.lit(None)).when(k % 4 == 2, none).when(k % 4 == 3, F.slice("geom", 1, 1)).otherwise(F.col("geom"))
+    whole = spatial.coalesced_geometry(F.when(k % 4 == 0, F.col("geom")), first, last)
+    return rows.select("c_custkey", spatial.valid_geometry(drawn).alias("status"), F.round(spatial.line_length(whole), 3).alias("length_m"))
+
+
+@query
+def complete_regions(spark, d):
+    return checks.require_all(table(spark, d, "region"), "r_name", ["ASIA", "EUROPE", "AFRICA"])
+
+
+@query
+def mapped_labels(spark, d):
+    label = scalar.mapped_label("event_type", {"error": 1, "purchase": 1, "click": 0, "signup": 0}, ["view"])
+    return table(spark, d, "events").select("event_id", label.alias("label")).where("label IS NOT NULL")
+
+
+@query
+def flooded_neighbours(spark, d):
+    flooded = heights(spark, d).where("elevation > 55").select("node")
+    return graph.flooded_neighbours(graph.adjacency(contacts(spark, d), "a", "b"), flooded)
+
+
+@query
+def control_and_target(spark, d):
+    cells = grid(spark, d)
+    target = raster.over_threshold(cells, 0.1)
+    return raster.sampled_means(cells, target.withColumn("mask", ~F.col("mask")), target, 1.0, 42)
+
+
+@query
+def homography_report(spark, d):
+    """A projection fitted on nine control points, judged on all places."""
+    spots = places(spark, d, "supplier", "s_suppkey").select("s_suppkey", "x", "y")
+    u, v = spatial.apply_homography([1.1, 0.2, 5.0, -0.1, 0.9, 7.0, 0.0005, 0.0002], F.col("x"), F.col("y"))
+    pairs = spots.withColumns({"u": u, "v": v})
+    control = pairs.orderBy(F.pmod(F.col("s_suppkey") * 7, F.lit(101)), "s_suppkey").limit(9).select("x", "y", "u", "v")
+    return spatial.homography_errors(spatial.fit_homography([tuple(r) for r in control.collect()]), pairs)
+
+
+@query
+def pooled_vectors(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    rows = table(spark, d, "embeddings").select("vec_id", F.array(v, F.reverse(v)).alias("vs"), F.array(F.lit(1.0), F.col("label").cast("double")).alias("ws"))
+    pooled = rows.select("vec_id", text.weighted_mean_pool(F.col("vs"), F.col("ws")).alias("p"))
+    return pooled.select("vec_id", F.posexplode("p").alias("col", "value")).select("vec_id", "col", F.round("value", 6).alias("value"))
+
+
+@query
+def first_events(spark, d):
+    return spatial.first_per(table(spark, d, "events"), "user_id", F.col("ts"), F.col("event_id")).select("user_id", "ts", "event_id", "event_type")
+
+
+@query
+def end_to_end(spark, d):
+    """Toxic texts as the truth, a word as the classifier, names as places."""
+    found = text.exact_mentions(corpus(spark, d), gazetteer(spark, d)).groupBy("text_id").agg(F.collect_set("name").alias("found"))
+    rows = corpus(spark, d).join(table(spark, d, "labels"), F.col("text_id") == F.col("doc_id")).join(found, "text_id", "left")
+    marked = rows.select("toxic", F.expr("int(contains(text, 'the'))").alias("label"), F.coalesce("found", F.array().cast("array<string>")).alias("matches"))
+    return text.end_to_end(marked, "toxic", "label", "matches")
+
+
+@query
+def run_report(spark, d):
+    found = text.exact_mentions(corpus(spark, d), gazetteer(spark, d)).groupBy("text_id").agg(F.collect_set("name").alias("found"))
+    rows = corpus(spark, d).join(found, "text_id", "left")
+    return text.run_report(text.located_signals(rows, F.expr("int(contains(text, 'the'))"), F.coalesce("found", F.array().cast("array<string>"))))
+
+
+@query
+def labelled_passages(spark, d):
+    known = text.with_passage_ids(table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id"), "text").select("passage_id", F.col("quality").alias("label"))
+    return text.labelled_corpus(table(spark, d, "documents").select("doc_id", "text"), known, "text").select("doc_id", "passage_id", "label")
+
+
+@query
+def tensor_report(spark, d):
+    long = timeseries.running_total(totals(spark, d)).select(F.col("phase_id").alias("t"), "rainfall_t", "cumulative_rainfall_t")
+    tensor = users(spark, d).select(F.col("user_id").alias("pos")).crossJoin(F.broadcast(long))
+    tensor = tensor.withColumn("rainfall_t", F.when(F.col("pos") % 5 != 0, F.col("rainfall_t")))
+    index = contacts(spark, d).select(F.col("a").alias("src_pos"), F.col("b").alias("dst_pos"))
+    return checks.tensor_report(tensor, index, 1000, 4, ["rainfall_t", "cumulative_rainfall_t"])
+
+
+@query
+def accepted_labels(spark, d):
+    rows = checks.accepted_labels(users(spark, d), fused(spark, d), "user_id", "phase_id", "flood_label", 4)
+    return rows.groupBy("phase_id").agg(F.sum("flood_label").alias("n_flooded"), F.count("*").alias("n"))
+
+
+@query
+def added_metric(spark, d):
+    rows = ward_rows(spark, d)
+    sizes = rows.where("split <> 'train'").groupBy("split").agg(F.count("*").alias("value"))
+    return metrics.added_metric(metrics.class_balance(rows, "split", y="y"), sizes, "n_rows", "split")
+
+
+@query
+def key_differences(spark, d):
+    a = table(spark, d, "lineitem").where("l_quantity > 5").select(F.col("l_orderkey").alias("k"))
+    b = table(spark, d, "orders").where("o_orderkey % 50 <> 7").select(F.col("o_orderkey").alias("k"))
+    return graph.key_differences(a, b, "k").select("side", "n", F.array_join("examples", ",").alias("examples"))
+
+
+@query
+def attribute_text(spark, d):
+    rows = table(spark, d, "part").withColumn("tags", F.array("p_brand", "p_type"))
+    return scalar.attributes(rows, ["p_partkey"], ["p_name", "p_size", "tags", "absent"])
+
+
+@query
+def spaced_points(spark, d):
+    found = spatial.spaced_points(bent_streets(spark, d), "c_custkey", step=1.5, most=9)
+    return found.select("c_custkey", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query
+def bent_in_extent(spark, d):
+    boxes = spark.createDataFrame(BOXES, "x0 double, y0 double, x1 double, y1 double")
+    return spatial.lines_meeting_boxes(bent_streets(spark, d), boxes, "c_custkey", 5.0)
+
+
+@query
+def bent_in_wards(spark, d):
+    return spatial.lines_meeting_polygons(bent_streets(spark, d), wards(spark).where("ward_no >= 3"), "c_custkey", 10.0)
+
+
+@query
+def nearest_drain(spark, d):
+    """The nearest of the suppliers' lines to each street, both with their bends."""
+    spots = places(spark, d, "supplier", "s_suppkey")
+    line = F.array(F.struct("x", "y"), F.struct((F.col("x") + 2).alias("x"), (F.col("y") + 1).alias("y")), F.struct((F.col("x") + 3).alias("x"), (F.col("y") - 2).alias("y")))
+    found = spatial.nearest_lines(bent_streets(spark, d), spots.select("s_suppkey", line.alias("geom")), "c_custkey", "s_suppkey", 5.0)
+    return found.select("c_custkey", F.round("distance", 6).alias("distance"))
+
+
+@query
+def clipped_wards(spark, d):
+    inside = spatial.clipped_polygons(wards(spark), [(20.0, 10.0), (80.0, 10.0), (80.0, 60.0), (20.0, 60.0)])
+    return inside.select("ward_no", F.round(spatial.ring_area(F.col("ring")), 6).alias("area"))
+
+
+@query
+def metric_lengths(spark, d):
+    spots = places(spark, d, "supplier", "s_suppkey").select("s_suppkey", (79 + F.col("x") / 50).alias("x"), (12 + F.col("y") / 50).alias("y"))
+    line = F.array(F.struct("x", "y"), F.struct((F.col("x") + 0.01).alias("x"), (F.col("y") + 0.02).alias("y")))
+    return spatial.metric_lengths(spots.select("s_suppkey", line.alias("geom")), "s_suppkey").withColumn("length_m", F.round("length_m", 2))
+
+
+@query
+def region_outlines(spark, d):
+    """The area that the outlines of each region enclose, holes taken off."""
+    rings = raster.region_outlines(raster.mask_regions(changes(spark, d)))
+    n = F.size("ring")
+    term = F.transform(F.sequence(F.lit(1), n), lambda i: spatial._shoelace(F.element_at("ring", i), F.element_at("ring", F.when(i == n, F.lit(1)).otherwise(i + 1))))
+    signed = F.aggregate(term, F.lit(0.0), lambda s, c: s + c) / 2
+    return rings.select("region", signed.alias("a")).groupBy("region").agg(F.round(F.sum("a"), 6).alias("area"))
+
+
+@query
+def chosen_model(spark, d):
+    rows = table(spark, d, "embeddings").select("embedding", (F.col("label") < 5).cast("int").alias("y"), (F.col("vec_id") % 12).alias("ward"))
+    train, test = rows.where("ward < 9"), rows.where("ward >= 9")
+    return splits.select_and_test(train, test, splits.group_folds(train, "ward", 3), "ward", "embedding", "y", [0.01, 0.1], THRESHOLDS)

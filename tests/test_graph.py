@@ -114,6 +114,9 @@ def test_fingerprint_ignores_order(spark):
     a = spark.createDataFrame([("b",), ("a",), ("c",)], "k string")
     assert tuple(graph.fingerprint(a, "k").first()) == (3, hashlib.sha256(b"a|b|c").hexdigest())
     assert graph.fingerprint(a.orderBy("k"), "k").first() == graph.fingerprint(a, "k").first()
+    many = spark.range(30_000).selectExpr("concat(repeat('a', int(id % 3)), id) AS k")
+    want = hashlib.sha256("|".join(sorted("a" * (i % 3) + str(i) for i in range(30_000))).encode()).hexdigest()
+    assert tuple(graph.fingerprint(many.unionByName(many), "k").first()) == (30_000, want)
     b = spark.createDataFrame([("b",), ("x",)], "k string")
     assert tuple(graph.key_consistency(a, b, "k").first()) == (2, 1, 1)
 

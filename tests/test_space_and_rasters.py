@@ -128,11 +128,15 @@ def test_lines_and_boxes(spark):
 def test_lengths_points_and_sampling(spark):
     table = spark.createDataFrame([([(0.0, 0.0), (3.0, 4.0), (3.0, 10.0)],), ([(1.0, 1.0)],), ([],)], f"g {spatial.POINTS}")
     assert [r[0] for r in table.select(spatial.line_length(F.col("g"))).collect()] == [11.0, 0.0, 0.0]
-    line = spark.createDataFrame([([(0.0, 0.0), (30.0, 0.0)],)], f"g {spatial.POINTS}")
-    points = line.select(spatial.spaced_points(F.col("g"), F.lit(30.0))).first()[0]
-    assert [p.x for p in points] == [0.0, 10.0, 20.0, 30.0]
-    long = line.select(spatial.spaced_points(F.col("g"), F.lit(1e6))).first()[0]
-    assert len(long) == 50
+    lines = [(1, [(0.0, 0.0), (30.0, 0.0)]), (2, [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0)]), (3, [(5.0, 5.0)]), (4, [(0.0, 0.0), (1e6, 0.0)]), (5, []), (6, None)]
+    found: dict = {}
+    line = spark.createDataFrame(lines, f"id int, geom {spatial.POINTS}")
+    for r in spatial.spaced_points(line, "id").orderBy("id", "k").collect():
+        found.setdefault(("id", r.id), []).append((r.x, r.y))
+    assert found["id", 1] == [(0.0, 0.0), (10.0, 0.0), (20.0, 0.0), (30.0, 0.0)]
+    assert found["id", 2] == [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0)]  # on the line, not across it
+    assert found["id", 3] == [(5.0, 5.0)] * 2 and len(found["id", 4]) == 50
+    assert ("id", 5) not in found and ("id", 6) not in found
     grid = pixels(spark, [[1.0, 2.0], [3.0, None]])
     spots = spark.createDataFrame([(0.5, 1.5), (1.5, 1.5), (0.5, 0.5), (1.5, 0.5), (9.0, 9.0)], "x double, y double")
     got = {(r.x, r.y): r.value for r in spatial.sample_raster(spots, grid, 0.0, 2.0, 1.0, 1.0).collect()}
@@ -172,3 +176,43 @@ def test_homography_and_tables(spark):
     shapes = spark.createDataFrame([(None,), ([],), ([(1.0, 2.0)],), ([(1.0, 2.0), (3.5, 4.0)],)], f"g {spatial.POINTS}")
     assert [r[0] for r in shapes.select(spatial.valid_geometry(F.col("g"))).collect()] == ["missing", "empty", "short", "ok"]
     assert shapes.select(spatial.wkt_line(F.col("g"))).collect()[3][0] == "LINESTRING (1.0 2.0, 3.5 4.0)"
+
+
+def test_bends_count(spark):
+    bent = spark.createDataFrame([(1, [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0)]), (2, [(20.0, 20.0)])], f"k int, geom {spatial.POINTS}")
+    boxes = spark.createDataFrame([(-1.0, 9.0, 1.0, 11.0), (4.0, 4.0, 6.0, 6.0)], "x0 double, y0 double, x1 double, y1 double")
+    assert [r.k for r in spatial.lines_meeting_boxes(bent, boxes, "k", 3.0).collect()] == [1]
+    assert spatial.lines_meeting_boxes(bent, boxes.where("x0 = 4"), "k", 3.0).collect() == []
+    rings = spark.createDataFrame([([(-1.0, 9.0), (1.0, 9.0), (1.0, 11.0), (-1.0, 11.0)],), ([(19.0, 19.0), (21.0, 19.0), (20.0, 22.0)],)], f"ring {spatial.POINTS}")
+    assert sorted(r.k for r in spatial.lines_meeting_polygons(bent, rings, "k", 3.0).collect()) == [1, 2]
+    sites = spark.createDataFrame([(7, [(3.0, 0.0), (3.0, 7.0), (50.0, 7.0)]), (8, [(500.0, 500.0), (501.0, 500.0)])], f"s int, geom {spatial.POINTS}")
+    got = {r.k: (r.s, r.distance) for r in spatial.nearest_lines(bent, sites, "k", "s", 1.0).collect()}
+    assert got == {1: (7, 3.0), 2: (7, 13.0)}
+    assert spatial.nearest_lines(bent, sites.limit(0), "k", "s", 1.0).collect() == []
+
+
+def test_parts_meet_and_distances(spark):
+    pairs = [((0, 0, 4, 4), (0, 4, 4, 0), 0.0), ((0, 0, 4, 0), (2, 0, 6, 0), 0.0), ((0, 0, 4, 0), (5, 0, 6, 0), 1.0), ((0, 0, 0, 0), (3, 4, 3, 4), 5.0), ((0, 0, 4, 0), (1, 2, 3, 2), 2.0), ((0, 0, 2, 2), (2, 2, 5, 1), 0.0)]
+    table = spark.createDataFrame([tuple(map(float, a + b)) for a, b, _ in pairs], "a double, b double, c double, d double, e double, f double, g double, h double")
+    assert [r[0] for r in table.select(spatial.segment_distance(*[F.col(c) for c in "abcdefgh"])).collect()] == [w for *_, w in pairs]
+
+
+def test_outlines_turn_round_holes(spark):
+    grid = [[1, 1, 1, 0], [1, 0, 1, 0], [1, 1, 1, 0], [0, 0, 0, 1]]
+    mask = raster.over_threshold(pixels(spark, grid), 0.5)
+    rings = raster.region_outlines(raster.mask_regions(mask)).collect()
+    corners = sorted(len(r.ring) for r in rings)
+    assert len({r.region for r in rings}) == 1
+    area = sum(sum(a.x * b.y - b.x * a.y for a, b in zip(r.ring, r.ring[1:] + r.ring[:1])) / 2 for r in rings)
+    assert area == 9 and corners[0] == 4
+
+
+def test_quantiles_against_numpy(spark):
+    from skein.operators import ranks
+
+    rng = np.random.default_rng(3)
+    values = {g: np.round(rng.normal(size=n), 1) for g, n in (("a", 1), ("b", 50), ("c", 333))}
+    rows = [(g, float(v)) for g, own in values.items() for v in own] + [("b", None), ("d", None)]
+    got = {(r.g, r.p): r.value for r in ranks.quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "g", "v", [0.0, 0.1, 0.5, 1.0]).collect()}
+    assert set(got) == {(g, p) for g in values for p in (0.0, 0.1, 0.5, 1.0)}
+    assert all(abs(got[g, p] - np.quantile(values[g], p)) < 1e-9 for g, p in got)

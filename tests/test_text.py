@@ -114,8 +114,10 @@ def test_passages_and_labels(spark):
 
 
 def test_fields(spark):
-    table = spark.createDataFrame([(None,), ("",), ("one",), ("['a', 'b c']",), ('["x"]',), ("[unquoted]",)], "f string")
-    assert [r[0] for r in table.select(scalar.multi_values("f")).collect()] == [[], [], ["one"], ["a", "b c"], ["x"], ["[unquoted]"]]
+    table = spark.createDataFrame([(None,), ("",), ("one",), ("['a', 'b c']",), ('["x"]',), ("[unquoted]",), ("""["St Mary's Road", 'Mount Road', 'it\\'s']""",), ("[]",)], "f string")
+    assert [r[0] for r in table.select(scalar.multi_values("f")).collect()] == [[], [], ["one"], ["a", "b c"], ["x"], ["[unquoted]"], ["St Mary's Road", "Mount Road", "it's"], []]
+    table = spark.createDataFrame([("x", 3, ["a"], {"k": 1})], "s string, n int, a array<string>, m map<string,int>")
+    assert tuple(scalar.attributes(table, ["n"], ["s", "n", "a", "m", "none"]).first()) == (3, "x", "3", '["a"]', '{"k":1}', None)
     kind = "array<struct<place:string,score:double>>"
     table = spark.createDataFrame([('[{"place": "x", "score": 1.5}]',), ("broken",), (None,), ("[]",)], "j string")
     assert [len(r[0]) for r in table.select(scalar.parsed_matches("j", kind)).collect()] == [1, 0, 0, 0]
@@ -130,6 +132,8 @@ def test_recall_and_precision(spark):
     marked = text.recall_of_known(table, "known", "found")
     r = marked.first()
     assert (r.recovered, r.missed, r.absorbed, r.extra) == (["t nagar"], ["guindy"], ["adyar"], ["adyar river", "extra"])
+    other = spark.createDataFrame([(["anna", "nagar", "ann"], ["Anna-Nagar"])], "known array<string>, found array<string>")
+    assert text.recall_of_known(other, "known", "found").first().absorbed == ["anna", "nagar"]  # words end at hyphens too
     report = text.recall_report(marked).first()
     assert (report.recall, report.recall_without_absorbed) == (0.3333, 0.5)
     matches = spark.createDataFrame([("Road", "X"), ("lake", "Y"), ("lake", "Z")], "span string, name string")
