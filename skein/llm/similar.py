@@ -43,7 +43,7 @@ from skein.llm.token_counts import texts
 from skein.operators.components import connected_components
 from skein.runtime import materialize, rows_with, shuffle_partitions
 
-KEYS, DEALT, CROWD, WORDS = 6, 9, 4096, 4
+KEYS, DEALT, CROWD, WORDS = 6, 9, 2048, 4
 #: Reference fingerprints of a key.
 PIVOTS = 8
 #: Shingle hashes that a group's texts have together before the group is dealt in parts.
