@@ -4,20 +4,23 @@ A window is ``n`` consecutive words of one document; a word goes if a window tha
 also starts earlier in the corpus. Repeats are found by suffix automata of reference shards.
 The corpus is its own reference, of no bounded size, so its shards are not broadcast: each
 shard, the passages around one anchor, meets its documents' passages by a shuffle, and they
-stream through the shard's automaton in corpus order, each adding itself after it is matched.
-What matches ``n`` words or more of what came before is removed. Against a reference of bounded
-size, ``reference_spans`` broadcasts the automata to all documents.
+stream through the shard's automaton in corpus order, each adding itself as it is matched. A
+state knows where its words ended for the first time, so a window is removed if that was
+elsewhere. Only passages equal to an earlier one of the shard need no automaton. Against a
+reference of bounded size, ``reference_spans`` broadcasts the automata to all documents.
 
 A window's anchor is the least hash of the 8-word runs inside it, so equal windows share it and
 neighbouring windows mostly do. The steps:
 
-1. Anchors that occur twice set a bit of a map of ``MAP_BITS`` bits, which is broadcast; the
-   map has that size whatever the input, and a bit set by chance only costs work.
-2. Tasks cut windows with such anchors from documents, some million words at a time, settle
-   what repeats inside those themselves, and send the first occurrences: a passage that a third
-   of all documents hold costs one row per task, not one per document.
-3. Shards match what they get. A shard of over ``CROWD`` passages is matched by sorting window
-   hashes instead, which needs no state per word.
+1. Anchors are counted. Two maps of ``MAP_BITS`` bits, broadcast and of that size whatever the
+   input, mark those that repeat and those with over ``CROWD`` places; a bit set by chance only
+   costs work.
+2. Tasks cut windows with repeated anchors from documents, some million words at a time, let
+   them through automata of their own shards, and send what occurred there first: a passage
+   that a third of all documents hold costs one row per task, not one per document. Windows
+   with a crowded anchor stand alone, in the shard of their own ``n`` words: no shard's
+   automaton holds more than the surroundings of ``CROWD`` places.
+3. Shards match what they get, row by row in order; rows are not held.
 4. Removed intervals and texts meet by document.
 
 Words compare by 40 bits of their hash next to 64 bits of the anchor.
@@ -38,9 +41,9 @@ from skein.llm.automaton import SuffixAutomaton, spans
 from skein.llm.token_counts import texts
 from skein.runtime import shuffle_partitions
 
-#: Words of an anchor's run; words a task sorts at a time; rows a reducer solves at a time; passages an automaton takes.
-RUN, CHUNK, SLAB, CROWD = 8, 1_500_000, 40_000, 512
-#: Bits of the map of repeated anchors, and slices that it is made in.
+#: Words of an anchor's run; words of a task's own shards; places of an anchor beyond which its windows are dealt on their own.
+RUN, CHUNK, CROWD = 8, 1_500_000, 2048
+#: Bits of each map of anchors, and slices that they are made in.
 MAP_BITS, SLICES = 1 << 27, 256
 ODD = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
 #: Bytes of a word's hash that travel.
@@ -122,6 +125,24 @@ class _Chunk:
         for name in ("at", "number", "doc", "start", "anchors"):
             setattr(self, name, getattr(self, name)[chosen])
 
+    def passages(self, n: int, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shard, first window and number of windows of each passage: neighbouring windows of one anchor, or one window of a crowded one."""
+        with np.errstate(over="ignore"):
+            own = _mixed(_runs(self.words, n)[self.at]) ^ _mixed(self.anchors)
+        key = np.where(crowded, own, self.anchors)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (self.number[1:] != self.number[:-1]) | (self.at[1:] != self.at[:-1] + 1) | crowded[1:]
+        head = np.flatnonzero(new)
+        return key[head], head, np.diff(np.append(head, len(key)))
+
+    def periodic(self, n: int, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which passages hold their anchor at two places: the others hold no window twice."""
+        long = size + n - RUN
+        ends = np.cumsum(long)
+        place = np.repeat(self.at[head] - (ends - long), long) + np.arange(ends[-1])
+        same = self.runs[place] == np.repeat(self.anchors[head], long)
+        return (size > 1) & (np.add.reduceat(same, ends - long, dtype=np.int64) > 1)
+
 
 def _documents(n: int, batches):
     """Chunks of documents of at least ``n`` words, with their ids and word hashes."""
@@ -141,56 +162,64 @@ def _documents(n: int, batches):
 
 
 def _anchors(n: int, batches):
-    """Each chunk's distinct anchors, and whether one occurs in two places of it."""
+    """Each chunk's distinct anchors, and how many places of it each has."""
     for chunk in _documents(n, batches):
         found, counts = np.unique(chunk.anchor_runs(n), return_counts=True)
         # sorted by anchor, so rows of a slice follow each other
         part = (_bit_of(found) // (MAP_BITS // SLICES)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(found.view(np.int64)), pa.array(counts > 1)], ["slice", "anchor", "twice"])
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int32))], ["slice", "anchor", "places"])
 
 
 def _slice(batches):
-    """The bits of each slice whose anchors repeat."""
+    """The bits of each slice whose anchors repeat, and those whose anchors are crowded."""
     size = MAP_BITS // SLICES
 
-    def out(part, anchors, twice):
+    def out(part, anchors, places):
         order = np.argsort(anchors, kind="stable")
-        anchors, twice = anchors[order], twice[order]
-        again = twice.copy()
-        again[1:] |= anchors[1:] == anchors[:-1]
-        bits = np.zeros(size, bool)
-        bits[_bit_of(anchors[again]) - part * size] = True
-        packed = zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["slice", "bits"])
-
-    now, held, flags = None, [], []
+        anchors, places = anchors[order], places[order].astype(np.int64)
+        heads = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
+        total, bit = np.add.reduceat(places, heads), _bit_of(anchors[heads]) - part * size
+        packed = []
+        for least in (1, CROWD):
+            bits = np.zeros(size, bool)
+            bits[bit[total > least]] = True
+            packed.append(zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([p], pa.binary()) for p in packed]], ["slice", "repeated", "crowded"])
+
+    now, held, counts = None, [], []
     for batch in batches:
         parts = batch.column("slice").to_numpy()
         anchors = batch.column("anchor").to_numpy().view(np.uint64)
-        twice = batch.column("twice").to_numpy(zero_copy_only=False)
+        places = batch.column("places").to_numpy()
         heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])).tolist() if len(parts) else []
         for a, b in zip(heads, [*heads[1:], len(parts)], strict=True):
             if parts[a] != now:
                 if now is not None:
-                    yield out(now, np.concatenate(held), np.concatenate(flags))
-                now, held, flags = int(parts[a]), [], []
+                    yield out(now, np.concatenate(held), np.concatenate(counts))
+                now, held, counts = int(parts[a]), [], []
             held.append(anchors[a:b])
-            flags.append(twice[a:b])
+            counts.append(places[a:b])
     if now is not None:
-        yield out(now, np.concatenate(held), np.concatenate(flags))
+        yield out(now, np.concatenate(held), np.concatenate(counts))
 
 
-def _repeated_anchors(raw: DataFrame, n: int, parts: int) -> np.ndarray:
-    """The map of repeated anchors, ``MAP_BITS / 8`` bytes on the driver whatever the input."""
-    found = raw.mapInArrow(partial(_anchors, n), "slice int, anchor long, twice boolean")
-    slices = found.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_slice, "slice int, bits binary")
-    out = np.zeros(MAP_BITS // 8, np.uint8)
+def _maps(raw: DataFrame, n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The maps of repeated and of crowded anchors, ``MAP_BITS / 8`` bytes each on the driver whatever the input."""
+    found = raw.mapInArrow(partial(_anchors, n), "slice int, anchor long, places int")
+    slices = found.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_slice, "slice int, repeated binary, crowded binary")
+    out = np.zeros(MAP_BITS // 8, np.uint8), np.zeros(MAP_BITS // 8, np.uint8)
     size = MAP_BITS // SLICES // 8
-    for part, bits in slices.toLocalIterator():
-        out[part * size : (part + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(bits)), np.uint8)
+    for part, *packed in slices.toLocalIterator():
+        for bits, own in zip(out, packed, strict=True):
+            bits[part * size : (part + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(own)), np.uint8)
     return out
 
 
+def _marked(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    bit = _bit_of(anchors)
+    return (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 ROWS = "anchor long, doc_id long, start int, n int, words binary"
 
 
@@ -201,155 +230,148 @@ def _rows(anchor, doc, start, n, words):
     )
 
 
-def _windows(n: int, repeated, batches):
-    """First occurrences in each chunk as passages; later ones, which are settled, as rows without words."""
+class _Shard:
+    """Passages of one anchor, in the order of their places.
+
+    The first is held as it is; the automaton is made when another one comes that is not equal
+    to it. ``by_automaton`` and ``by_equality`` count the windows that each found.
+    """
+
+    def __init__(self, n: int):
+        self.n, self.seen, self.automaton = n, {}, None
+        self.by_automaton = self.by_equality = 0
+
+    def repeats(self, doc: int, start: int, passage: bytes, periodic: bool = False) -> list[int] | range | tuple:
+        """The windows of the passage, by their place in it, that start earlier in the shard; a ``periodic`` one may repeat itself."""
+        before = self.seen.get(passage)
+        if before is not None:
+            # a repeated row of one document starts no earlier than itself
+            out = range(len(passage) // WIDTH - self.n + 1) if before != (doc, start) else ()
+            self.by_equality += len(out)
+            return out
+        if self.seen and self.automaton is None:
+            self.automaton = SuffixAutomaton()
+            ((first, place),) = self.seen.items()
+            self.automaton.repeats(_word_hashes(first), self.n, *place)
+        self.seen[passage] = doc, start
+        if self.automaton is None:
+            if not periodic:
+                return ()
+            self.automaton = SuffixAutomaton()
+        out = self.automaton.repeats(_word_hashes(passage), self.n, doc, start)
+        self.by_automaton += len(out)
+        return out
+
+
+def _word_hashes(passage: bytes) -> list[int]:
+    raw = np.frombuffer(passage, "u1").reshape(-1, WIDTH)
+    wide = np.zeros((len(raw), 8), "u1")
+    wide[:, :WIDTH] = raw
+    return wide.view("<u8").ravel().tolist()
+
+
+def _runs_of(places) -> list[tuple[int, int]]:
+    """First value and length of each run of consecutive values."""
+    out: list[list[int]] = []
+    for x in places:
+        if out and out[-1][0] + out[-1][1] == x:
+            out[-1][1] += 1
+        else:
+            out.append([x, 1])
+    return [tuple(run) for run in out]
+
+
+def _windows(n: int, maps, batches):
+    """Of each chunk, what occurs there first, as passages; and what does not, which is settled, as rows without words."""
+    repeated, crowded = maps.value
     for chunk in _documents(n, batches):
-        bit = _bit_of(chunk.anchors)
-        chunk.keep(np.flatnonzero(repeated.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1))
+        chunk.keep(np.flatnonzero(_marked(repeated, chunk.anchors)))
         if not len(chunk.at):
             continue
-        with np.errstate(over="ignore"):
-            key = _mixed(_runs(chunk.words, n)[chunk.at]) ^ _mixed(chunk.anchors)
-        doc, start = chunk.doc, chunk.start
-        order = np.argsort(key, kind="stable")
+        key, head, size = chunk.passages(n, _marked(crowded, chunk.anchors))
+        order = np.argsort(key, kind="stable")  # documents ascend in a chunk, so places ascend in a shard
         ordered = key[order]
         new = np.append(True, ordered[1:] != ordered[:-1])
-        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        later = np.zeros(len(key), bool)
-        # a window that ties with the first one, in a repeated row of one document, does not start later
-        later[order] = (doc[order] != doc[first]) | (start[order] != start[first])
-        gone = np.flatnonzero(later)
-        if len(gone):
-            a, size = _intervals(chunk.at[gone], chunk.number[gone])
-            at = gone[a]
-            yield _rows(key[at].view(np.int64), doc[at], start[at], size, pa.nulls(len(at), pa.binary()))
-        stay = np.sort(order[new])
-        anchors = chunk.anchors[stay]
-        group = np.cumsum(np.append(True, (anchors[1:] != anchors[:-1]) | (chunk.number[stay][1:] != chunk.number[stay][:-1])))
-        a, size = _intervals(chunk.at[stay], group)
-        head = stay[a]
-        for k in range(0, len(head), 20_000):
-            yield _passages(n, chunk, head[k : k + 20_000], size[k : k + 20_000])
-
-
-def _passages(n: int, chunk: _Chunk, head: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        shard = np.cumsum(new) - 1
+        # a passage alone in its shard is sent as it is, unless it may repeat itself
+        periodic = chunk.periodic(n, head, size)[order]
+        alone = (np.bincount(shard)[shard] == 1) & ~periodic
+        rows = order[~alone]
+        gone, fresh = [], []
+        raw = np.ascontiguousarray(chunk.words.astype("<u8").view("u1").reshape(-1, 8)[:, :WIDTH]).tobytes()
+        at, docs, starts = chunk.at[head[rows]].tolist(), chunk.doc[head[rows]].tolist(), chunk.start[head[rows]].tolist()
+        now, own = None, None
+        columns = (shard[~alone].tolist(), docs, starts, head[rows].tolist(), size[rows].tolist(), at, periodic[~alone].tolist())
+        for k, doc, start, h, m, a, twice in zip(*columns, strict=True):
+            if k != now:
+                now, own = k, _Shard(n)
+            found = own.repeats(doc, start, raw[a * WIDTH : (a + m + n - 1) * WIDTH], twice)
+            if len(found) == m:
+                gone.append((h, m))
+            elif not found:
+                fresh.append((h, m))
+            else:
+                left = set(found)
+                gone += [(h + x, long) for x, long in _runs_of(found)]
+                fresh += [(h + x, long) for x, long in _runs_of([x for x in range(m) if x not in left])]
+        if gone:
+            at, long = (np.array(c) for c in zip(*gone, strict=True))
+            with np.errstate(over="ignore"):
+                anywhere = _mixed((chunk.doc[at] + at).view(np.uint64))  # settled rows need no shard
+            yield _rows(anywhere.view(np.int64), chunk.doc[at], chunk.start[at], long, pa.nulls(len(at), pa.binary()))
+        alone = order[alone]
+        sent = np.concatenate([head[alone], np.array([h for h, _ in fresh], np.int64)])
+        long = np.concatenate([size[alone], np.array([m for _, m in fresh], np.int64)])
+        # parts of a passage stay in its shard
+        shard_of = key[np.searchsorted(head, sent, side="right") - 1] if len(sent) else key[:0]
+        for k in range(0, len(sent), 20_000):
+            part = slice(k, k + 20_000)
+            yield _passages(n, chunk, shard_of[part], sent[part], long[part])
+
+
+def _passages(n: int, chunk: _Chunk, key: np.ndarray, head: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     long = size + n - 1
     ends = np.cumsum(long)
     place = np.repeat(chunk.at[head] - (ends - long), long) + np.arange(ends[-1])
     raw = np.ascontiguousarray(chunk.words[place].astype("<u8").view("u1").reshape(-1, 8)[:, :WIDTH])
     offsets = (np.append(0, ends) * WIDTH).astype("<i4")
     blob = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-    return _rows(chunk.anchors[head].view(np.int64), chunk.doc[head], chunk.start[head], size, blob)
+    return _rows(key.view(np.int64), chunk.doc[head], chunk.start[head], size, blob)
 
 
 REMOVED = "doc_id long, start int, n int"
 
 
-def _word_hashes(passages: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(passages), "u1").reshape(-1, WIDTH)
-    wide = np.zeros((len(raw), 8), "u1")
-    wide[:, :WIDTH] = raw
-    return wide.view("<u8").ravel()
-
-
-def _match(n: int, docs: list, starts: list, passages: list[bytes], out: list) -> None:
-    """Windows of each passage of a shard that occur in the passages before it, by the shard's automaton."""
-    first = passages[0]
-    if passages.count(first) == len(passages):  # all alike: the first is whole in all others
-        for k in range(1, len(passages)):
-            if (docs[k], starts[k]) != (docs[0], starts[0]):
-                out.append((docs[k], starts[k], len(first) // WIDTH - n + 1))
-        return
-    automaton, added = SuffixAutomaton(), set()
-    for k, passage in enumerate(passages):
-        size = len(passage) // WIDTH - n + 1
-        tie = k and (docs[k], starts[k]) == (docs[k - 1], starts[k - 1])
-        if tie and passage == passages[k - 1]:
-            continue  # a repeated row of one document: no earlier than the row before it
-        if passage in added:
-            out.append((docs[k], starts[k], size))
-            continue
-        words = _word_hashes([passage]).tolist()
-        if added:
-            out.extend((docs[k], starts[k] + a, b - a - n + 1) for a, b in spans(automaton.statistics(words), n))
-        if k + 1 < len(passages):
-            automaton.add(words)
-            added.add(passage)
-
-
-def _match_crowd(n: int, docs: np.ndarray, starts: np.ndarray, passages: list[bytes], out: list) -> None:
-    """The same by sorting window hashes."""
-    sizes = np.array([len(p) // WIDTH for p in passages])
-    ends = np.cumsum(sizes)
-    row = np.repeat(np.arange(len(passages)), sizes)
-    words = _mixed(_word_hashes(passages))
-    at = np.flatnonzero(np.arange(len(words)) + n <= ends[row])
-    row = row[at]
-    place = starts[row] + at - (ends - sizes)[row]
-    with np.errstate(over="ignore"):
-        key = _mixed(_runs(words, n)[at])
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    fresh = np.append(True, ordered[1:] != ordered[:-1])
-    first = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    later = np.zeros(len(key), bool)
-    later[order] = (docs[row[order]] != docs[row[first]]) | (place[order] != place[first])
-    gone = np.flatnonzero(later)
-    if len(gone):
-        a, length = _intervals(place[gone], row[gone])
-        out.extend(zip(docs[row[gone[a]]].tolist(), place[gone[a]].tolist(), length.tolist(), strict=True))
-
-
-def _solve(n: int, table: pa.Table) -> list:
-    """Intervals of windows that another passage of the same shard has earlier."""
-    anchor, doc, start = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "start"))
-    new = np.append(True, anchor[1:] != anchor[:-1])
-    group = np.cumsum(new) - 1
-    rows = np.flatnonzero(np.bincount(group)[group] > 1)
-    out: list = []
-    if not len(rows):
-        return out
-    rows = rows[np.lexsort((start[rows], doc[rows], group[rows]))]
-    passages = table.column("words").take(pa.array(rows)).to_pylist()
-    group, doc, start = group[rows], doc[rows], start[rows]
-    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist()
-    for a, b in zip(heads, [*heads[1:], len(rows)], strict=True):
-        if b - a > CROWD:
-            _match_crowd(n, doc[a:b], start[a:b], passages[a:b], out)
-        else:
-            _match(n, doc[a:b].tolist(), start[a:b].tolist(), passages[a:b], out)
-    return out
-
-
 def _removed(n: int, batches):
-    def out(doc, start, size):
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["doc_id", "start", "n"])
-
-    held, n_held = [], 0
-
-    def solve(final: bool):
-        nonlocal held, n_held
-        table = pa.Table.from_batches(held).combine_chunks()
-        anchor = table.column("anchor").to_numpy()
-        cut = len(anchor) if final else int(np.searchsorted(anchor, anchor[-1]))  # the last shard may go on
-        found = _solve(n, table.slice(0, cut)) if cut else []
-        rest = table.slice(cut)
-        held, n_held = rest.to_batches(), rest.num_rows
-        if found:
-            yield out(*zip(*found, strict=True))
-
-    for batch in batches:
-        settled = batch.filter(batch.column("words").is_null())
+    """Intervals of windows that start earlier in their shard; rows come by shard, document and start, and none is held but by a shard's automaton."""
+    now, shard = None, None
+    for whole in batches:
+        words = whole.column("words")
+        settled = whole.filter(words.is_null())
         if settled.num_rows:
-            yield out(*[settled.column(c) for c in ("doc_id", "start", "n")])
-        batch = batch.filter(batch.column("words").is_valid())
-        if batch.num_rows:
-            held.append(batch)
-            n_held += batch.num_rows
-            if n_held >= SLAB:
-                yield from solve(False)
-    if held:
-        yield from solve(True)
+            yield pa.RecordBatch.from_arrays([settled.column(c) for c in ("doc_id", "start", "n")], ["doc_id", "start", "n"])
+        batch = whole.filter(words.is_valid())
+        if not batch.num_rows:
+            continue
+        anchor = batch.column("anchor").to_numpy()
+        heads = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        sizes = np.diff(np.append(heads, len(anchor)))
+        # shards of one row have nothing to match; the first and last may go on in other batches
+        wanted = sizes > 1
+        wanted[0] = wanted[-1] = True
+        rows = np.flatnonzero(np.repeat(wanted, sizes))
+        columns = [batch.column(c).to_numpy()[rows].tolist() for c in ("anchor", "doc_id", "start")]
+        passages = batch.column("words").take(pa.array(rows)).to_numpy(zero_copy_only=False).tolist()
+        out: list[tuple] = []
+        for key, doc, start, passage in zip(*columns, passages, strict=True):
+            if key != now:
+                now, shard = key, _Shard(n)
+            found = shard.repeats(doc, start, passage)
+            if found:
+                out += [(doc, start + a, m) for a, m in ([(0, len(found))] if isinstance(found, range) else _runs_of(found))]
+        if out:
+            doc, start, size = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["doc_id", "start", "n"])
 
 
 def _packed(batches):
@@ -413,20 +435,23 @@ def removed_windows(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     raw = texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    repeated = spark.sparkContext.broadcast(_repeated_anchors(raw, n, parts))
-    sent = raw.mapInArrow(partial(_windows, n, repeated), ROWS)
-    return sent.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(partial(_removed, n), REMOVED)
+    maps = spark.sparkContext.broadcast(_maps(raw, n, parts))
+    sent = raw.mapInArrow(partial(_windows, n, maps), ROWS)
+    dealt = sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "start")
+    return dealt.mapInArrow(partial(_removed, n), REMOVED)
 
 
-#: Words of a reference that one automaton holds, and of all its shards together.
-SHARD_WORDS, REFERENCE_WORDS = 100_000, 2_000_000
+#: Words of a reference that one automaton holds, and automata that documents stream through at a time.
+SHARD_WORDS, AT_ONCE = 100_000, 20
 
 
-def _statistics(n: int, automaton, batches):
+def _statistics(n: int, automata, batches):
     for batch in batches:
         out = []
         for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-            out.extend((doc, a, b - a) for a, b in spans(automaton.value.statistics(raw.split()), n))
+            words = raw.split()
+            for automaton in automata:
+                out.extend((doc, a, b - a) for a, b in spans(automaton.value.statistics(words), n))
         if out:
             doc, start, size = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["doc_id", "start", "n"])
@@ -436,31 +461,33 @@ def reference_spans(docs: DataFrame, reference: DataFrame, n: int = 20, doc_id:
     """``(doc_id, start, n)``: maximal spans of words of each document whose windows of ``n`` words occur in ``reference (text)``.
 
     The reference is cut into shards of ``SHARD_WORDS`` words, each text with the ``n - 1``
-    words before the cut; their automata are broadcast and every document streams through each.
-    References of over ``REFERENCE_WORDS`` words raise: they are no bounded broadcast. Spans
-    of several shards may overlap.
+    words before the cut; their automata are broadcast, ``AT_ONCE`` at a time, and every
+    document streams through each. A reference of any size is matched; documents are read once
+    for every ``AT_ONCE`` shards of it. Spans of several shards may overlap.
     """
     spark = docs.sparkSession
-    words = F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"))
-    if (reference.agg(F.sum(words)).first()[0] or 0) > REFERENCE_WORDS:
-        raise ValueError(f"a reference of over {REFERENCE_WORDS} words")
-    shards, size = [[]], 0
+    raw = texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    out, held = None, []
+
+    def streamed(out):
+        found = raw.mapInArrow(partial(_statistics, n, list(held)), REMOVED)
+        held.clear()
+        return found if out is None else out.unionByName(found)
+
+    shard, size = [], 0
     for (body,) in reference.select(F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
         own = body.encode().split()
         for a in range(0, max(len(own), 1), SHARD_WORDS):
             piece = own[max(0, a - n + 1) : a + SHARD_WORDS]
-            if size + len(piece) > SHARD_WORDS and shards[-1]:
-                shards.append([])
-                size = 0
-            shards[-1].append(piece)
+            if size + len(piece) > SHARD_WORDS and shard:
+                held.append(spark.sparkContext.broadcast(SuffixAutomaton(shard)))
+                shard, size = [], 0
+                if len(held) == AT_ONCE:
+                    out = streamed(out)
+            shard.append(piece)
             size += len(piece)
-    raw = texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    out = None
-    for shard in shards:
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton(shard))
-        found = raw.mapInArrow(partial(_statistics, n, automaton), REMOVED)
-        out = found if out is None else out.unionByName(found)
-    return out
+    held.append(spark.sparkContext.broadcast(SuffixAutomaton(shard)))
+    return streamed(out)
 
 
 def substring_dedup(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,7 +66,7 @@ def corpus(seed):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, chunk, crowd in ((1, 300, 512), (2, 1_500_000, 512), (3, 200, 3)):
+    for seed, chunk, crowd in ((1, 300, 2048), (2, 1_500_000, 2048), (3, 200, 3), (4, 1_500_000, 2)):
         docs = corpus(seed)
         want = brute(docs, 20)
         for name, value in (("CHUNK", chunk), ("CROWD", crowd)):
@@ -76,24 +77,98 @@ def test_against_brute_force(spark, monkeypatch):
         assert got == want
 
 
-def test_shards_match_as_sorting_does():
-    rng = random.Random(5)
-    words = [rng.randrange(1, 1 << 40) for _ in range(12)]
-    passages, docs, starts = [], [], []
-    for d in range(30):
-        own = [rng.choice(words) for _ in range(rng.randrange(10, 40))]
-        passages.append(np.array(own, "<u8").view("u1").reshape(-1, 8)[:, : substring_dedup.WIDTH].tobytes())
-        docs.append(d)
-        starts.append(0)
-    a, b = [], []
-    substring_dedup._match(10, docs, starts, passages, a)
-    substring_dedup._match_crowd(10, np.array(docs), np.array(starts), passages, b)
-
-    def windows(found):
-        return {(d, s + k) for d, s, size in found for k in range(size)}
-
-    # sorting also finds repeats inside one passage, which tasks settle before
-    assert windows(a) <= windows(b)
+def hashed(words):
+    return np.array(words, "<u8").view("u1").reshape(-1, 8)[:, : substring_dedup.WIDTH].tobytes()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.integers(1, 3), min_size=4, max_size=18)), max_size=8))
+def test_a_shard_finds_what_starts_earlier(passages):
+    n, seen, want, starts = 4, {}, [], {}
+    rows = []
+    for doc, words in sorted(passages, key=lambda p: p[0]):
+        start = starts.get(doc, 0)
+        starts[doc] = start + len(words)
+        rows.append((doc, start, words))
+    shard = substring_dedup._Shard(n)
+    for doc, start, words in rows:
+        for k in range(len(words) - n + 1):
+            if seen.setdefault(tuple(words[k : k + n]), (doc, start + k)) != (doc, start + k):
+                want.append((doc, start + k))
+    got = [(d, s + k) for d, s, words in rows for k in shard.repeats(d, s, hashed(words), True)]
+    assert got == want
+    assert shard.by_automaton + shard.by_equality == len(want)
+
+
+def test_repeated_rows_of_a_document_are_no_earlier():
+    shard, words = substring_dedup._Shard(3), [1, 2, 3, 4, 5]
+    assert list(shard.repeats(7, 0, hashed(words))) == []
+    assert list(shard.repeats(7, 0, hashed(words))) == []
+    assert list(shard.repeats(7, 0, hashed([9, 2, 3, 4]))) == []  # the same place of another row of the document
+    assert list(shard.repeats(7, 3, hashed([1, 2, 3]))) == [0]
+
+
+class Maps:
+    def __init__(self, *value):
+        self.value = value
+
+
+def settled(docs, crowd):
+    """What the tasks and the shards settle of a corpus in one chunk, with the counts of how."""
+    import pyarrow as pa
+
+    full, none = np.full(substring_dedup.MAP_BITS // 8, 255, np.uint8), np.zeros(substring_dedup.MAP_BITS // 8, np.uint8)
+    shards = []
+    plain = substring_dedup._Shard
+
+    class Counted(plain):
+        def __init__(self, n):
+            super().__init__(n)
+            shards.append(self)
+
+    substring_dedup._Shard = Counted
+    try:
+        rows = [(d, " ".join(w).encode()) for d, w in docs.items()]
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.binary())], ["doc_id", "raw"])
+        sent = pa.Table.from_batches(substring_dedup._windows(20, Maps(full, full if crowd else none), iter([batch])))
+        sent = sent.sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+        found = [tuple(r.values()) for out in substring_dedup._removed(20, iter(sent.to_batches(max_chunksize=37))) for r in out.to_pylist()]
+    finally:
+        substring_dedup._Shard = plain
+    return {(d, s + k) for d, s, m in found for k in range(m)}, sum(s.by_automaton for s in shards), sum(s.by_equality for s in shards), sent
+
+
+def test_windows_are_removed_by_automata():
+    docs = corpus(6)
+    seen, want = {}, set()
+    for d in sorted(docs):
+        for s in range(len(docs[d]) - 19):
+            key = tuple(docs[d][s : s + 20])
+            if seen.setdefault(key, (d, s)) != (d, s):
+                want.add((d, s))
+    found, by_automaton, by_equality, _ = settled(docs, False)
+    assert found == want
+    assert by_automaton > 0.2 * len(want)
+    assert by_automaton + by_equality == len(want)
+    assert settled(docs, True)[0] == want
+
+
+def run_hash(words):
+    own = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
+    with np.errstate(over="ignore"):
+        return int(substring_dedup._mixed(substring_dedup._runs(own, len(words)))[0])
+
+
+def test_a_crowded_anchor_is_dealt_by_window():
+    rng = random.Random(2)
+    # eight words whose run has a small hash, so that it is the anchor of the windows around it
+    hot = min(([f"h{rng.random()}" for _ in range(8)] for _ in range(2000)), key=run_hash)
+    docs = {d: [f"r{rng.random()}" for _ in range(25)] + hot + [f"r{rng.random()}" for _ in range(25)] for d in range(300)}
+    _, _, _, calm = settled(docs, False)
+    _, _, _, dealt = settled(docs, True)
+    largest = lambda t: max(np.unique(t.column("anchor").to_numpy(), return_counts=True)[1])
+    assert largest(calm) > 30  # the windows around the hot run share it
+    assert largest(dealt) == 1
 
 
 def test_edge_cases(spark):
@@ -117,3 +192,15 @@ def test_bounded_reference(spark):
     reference = spark.createDataFrame([(" ".join(f"w{i}" for i in range(40)),), (None,)], "text string")
     docs = spark.createDataFrame([(1, "a " + " ".join(f"w{i}" for i in range(5, 30)) + " b"), (2, "w1 w2"), (3, None)], "doc_id long, text string")
     assert [tuple(r) for r in substring_dedup.reference_spans(docs, reference, 20).collect()] == [(1, 1, 25)]
+
+
+def test_a_reference_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 50)
+    monkeypatch.setattr(substring_dedup, "AT_ONCE", 2)
+    words = [f"w{i}" for i in range(400)]
+    reference = spark.createDataFrame([(" ".join(words),)], "text string")
+    docs = spark.createDataFrame([(1, " ".join(words[30:140])), (2, " ".join(words[::2]))], "doc_id long, text string")
+    found = substring_dedup.reference_spans(docs, reference, 20).collect()
+    assert {r.doc_id for r in found} == {1}
+    covered = {k for r in found for k in range(r.start, r.start + r.n)}
+    assert covered == set(range(110))
