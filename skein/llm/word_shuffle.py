@@ -8,6 +8,9 @@ A word that a third of all texts hold is requested once per chunk, so no bucket
 copies of a word. Positions travel as compressed numbers, never as rows, and cross one shuffle
 only: texts are cut twice, once for the words and once for the positions. Both cuts name the
 list of words they number by a checksum, so an input that changes between them raises.
+
+Decoding joins ids with the token-byte table, a column of bytes with offsets by id: the ids of
+a slab of texts are rows of a gather, which writes all their bytes at once.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from skein.runtime import shuffle_partitions
 
 #: A chunk is closed after so many bytes of text or distinct words; texts of a chunk travel in rows of about ROW words.
 CHUNK_BYTES, CHUNK_WORDS, ROW = 48 << 20, 800_000, 1 << 20
-#: What leaves a task at a time.
-OUT_BYTES = 8 << 20
+#: Bytes of ids that leave a task at a time.
+OUT_BYTES = 4 << 20
 WORDS, TEXTS = 0, 1
 
 
@@ -46,14 +49,30 @@ def bpe(ranks_path: str, pattern: str):
 
 
 @cache
-def token_bytes(ranks_path: str) -> list[bytes]:
-    """The token-byte table, indexed by id."""
+def token_bytes(ranks_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: all tokens' bytes one after another, and by id where each starts and how long it is."""
     with open(ranks_path, "rb") as f:
-        pairs = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, f)]
-    out = [b""] * (max(i for i, _ in pairs) + 1)
-    for i, raw in pairs:
-        out[i] = raw
-    return out
+        pairs = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    tokens = [pairs.get(i, b"") for i in range(max(pairs) + 1)]
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def decoded(texts: list[bytes], table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """The bytes that the ids of each text stand for: a join of all ids with the table."""
+    raw, starts, sizes = table
+    ids = np.frombuffer(b"".join(texts), "<u4")
+    parts, ends, before = [], [np.zeros(1, np.int64)], 0
+    for a in range(0, len(ids), ROW):
+        own = ids[a : a + ROW]
+        long = sizes[own]
+        to = np.cumsum(long)
+        parts.append(raw[np.repeat(starts[own] - (to - long), long) + np.arange(to[-1])])
+        ends.append(before + to)
+        before += int(to[-1])
+    out = np.concatenate(parts).tobytes() if parts else b""
+    cuts = np.concatenate(ends)[np.cumsum([len(t) // 4 for t in texts], dtype=np.int64)].tolist()
+    return [out[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 def words_of(raw: bytes, pattern) -> list[bytes]:
@@ -158,15 +177,14 @@ def _encode(ranks_path: str, pattern: str, id_type, batches):
 
 def _assemble(ranks_path: str | None, id_type, batches):
     chunk_now, mark_now, table, missing = None, None, [], 0
-    docs, out, decoded, size = [], [], [], 0
+    docs, out, size = [], [], 0
     names = ["doc_id", "ids", *(["decoded"] if ranks_path else [])]
-    token = token_bytes(ranks_path) if ranks_path else None
 
     def flush():
-        nonlocal docs, out, decoded, size
-        arrays = [pa.array(docs, id_type), pa.array(out, pa.binary()), *([pa.array(decoded, pa.binary())] if ranks_path else [])]
-        yield pa.RecordBatch.from_arrays(arrays, names)
-        docs, out, decoded, size = [], [], [], 0
+        nonlocal docs, out, size
+        both = [out, *([decoded(out, token_bytes(ranks_path))] if ranks_path else [])]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, id_type), *[pa.array(c, pa.binary()) for c in both]], names)
+        docs, out, size = [], [], 0
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("kind", "chunk", "ids", "payload")]
@@ -191,8 +209,6 @@ def _assemble(ranks_path: str | None, id_type, batches):
                 a += n
                 docs.append(doc)
                 out.append(own)
-                if ranks_path:
-                    decoded.append(_bytes_of(own, token))
                 size += len(own)
                 if size >= OUT_BYTES:
                     yield from flush()
@@ -200,10 +216,6 @@ def _assemble(ranks_path: str | None, id_type, batches):
         yield from flush()
 
 
-def _bytes_of(ids: bytes, token: list[bytes]) -> bytes:
-    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
 def bpe_encode(
     docs: DataFrame, ranks_path: str, pattern: str, decode: bool = False, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -232,11 +244,12 @@ def bpe_encode(
 
 
 def _decode(ranks_path: str, batches):
-    token = token_bytes(ranks_path)
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            out = [None if r is None else _bytes_of(r, token) for r in part.column("ids").to_pylist()]
+            ids = part.column("ids").to_pylist()
+            found = decoded([r or b"" for r in ids], token_bytes(ranks_path))
+            out = [None if r is None else d for r, d in zip(ids, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 
 
@@ -51,3 +53,24 @@ def test_run_and_empty(spark, sf):
     for _, stage in pipeline.STAGES:
         now = pipeline.materialize(stage(spark, now, sf))
     assert now.count() == 0
+
+
+def test_stages_with_odd_rows_and_names(spark, sf):
+    docs, one, two, three = planted(spark, sf)
+    long = "word of a text " * 30_000
+    more = [(None, one.text, one.lang, None, 1), (None, None, None, None, None), (two.doc_id, two.text, two.lang, "s", 1), (two.doc_id, "", two.lang, "s", 1), (20_000, long, "en", "s", 1), (20_001, three.text, None, None, None)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    clash = ["__own", "__id", "__hash", "row", "own0", "half", "node", "kind", "start", "others", "raw", "bin"]
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(clash)])
+    now = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        now = pipeline.materialize(stage(spark, now, sf))
+        assert now.columns == docs.columns and dict(now.dtypes) == dict(docs.dtypes)
+        rows = now.collect()
+        assert all(r[c] == k for r in rows for k, c in enumerate(clash))
+        # a row without text goes, though a good document has its id
+        assert not [r for r in rows if not r.text]
+        if name != "quality classifier":  # of a text that rows of several ids hold, one id stays
+            assert {r.doc_id for r in rows if r.text == one.text} <= {one.doc_id}
+        assert two.doc_id in {r.doc_id for r in rows}
+    assert pipeline.STAGES[-1][1](spark, now, sf).count() >= now.count()

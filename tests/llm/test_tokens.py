@@ -146,6 +146,43 @@ def test_word_shuffle_round_trip(docs):
     assert sorted(bytes(r.decoded) for r in again) == sorted((t or "").encode() for _, t, *_ in ROWS)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(max_size=30), max_size=5), st.sampled_from([1, 3, 1 << 20]))
+def test_decoding_joins_the_token_table(texts, row):
+    encoding, whole = word_shuffle.bpe(RANKS, public_tokenizers.PATTERN), word_shuffle.ROW
+    raws = [t.encode("utf-8", "ignore") for t in texts]
+    ids = [np.array(encoding.encode_ordinary(r.decode()), "<u4").tobytes() for r in raws]
+    word_shuffle.ROW = row
+    try:
+        assert word_shuffle.decoded(ids, word_shuffle.token_bytes(RANKS)) == raws
+    finally:
+        word_shuffle.ROW = whole
+
+
+def test_packing_of_ties_and_one_very_long_text(spark):
+    rows = [(i, "word word") for i in range(200)] + [(500, "word " * 50_000), (501, "x" * 100_000)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORD, 2048).collect()
+    sizes, ends = {}, {}
+    for r in found:
+        sizes.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for text_id, text in rows:
+        n = len(ids_of(WORD, text)) + 1
+        assert sorted(sizes[text_id]) == [(k, a, min(2048, n - a)) for k, a in enumerate(range(0, n, 2048))]
+    for own in ends.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + m == b for (a, m), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) <= 2048
+    assert len(ends) <= -(-sum(r.length for r in found) // 2048) + 1
+
+
+def test_clashing_names_and_ids_that_are_no_numbers(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "x y", 1, "f")], "doc_id string, text string, n_ids int, file string")
+    with pytest.raises(Exception, match="long|int|number|convert"):
+        token_files.write_token_files(docs, f"file://{tmp_path}/s", BYTE)
+    token_files.write_token_files(docs.selectExpr("1L AS doc_id", "text", "n_ids", "file", "text AS raw"), f"file://{tmp_path}/n", BYTE)
+    assert [r.n_tokens for r in token_files.read_token_files(spark, f"file://{tmp_path}/n").collect()] == [3]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "\xa0", "　", "\t", "a", "é1", "don't", "!?", "\x85", "<|endoftext|>", "x"]), max_size=10).map("".join))
 def test_words_encode_as_the_text(text):
