@@ -1,7 +1,12 @@
 """The corpus pipeline: documents to packed sequences.
 
 Each stage is a function of ``(spark, docs, sf_dir)``; what it returns is written as Parquet
-and read again as the next one's ``docs``. All but the last return the columns of documents.
+and read again as the next one's ``docs``. All but the last return the columns of documents,
+and more columns that ``docs`` may have, whatever their names. An empty table passes through.
+
+Rows are told apart by id and text: one that repeats an id, or has none, is judged by its own
+text in the first three stages; the fourth takes rows of one id for one document and leaves
+rows without an id as they are, since they have no place in the order of the corpus.
 """
 
 from __future__ import annotations
@@ -28,12 +33,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are similar in five-word shingles the one with the smallest id stays."""
+    """Of documents that are similar in five-word shingles the one with the smallest id stays: SimHash pivots choose, exact similarity decides."""
     return similar.near_dedup(docs, k=5, similarity=0.8)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that started earlier go; texts without such passages stay as they are, texts of nothing else go."""
+    """Passages that started earlier go; texts without such passages stay as they are, texts of nothing else go. Rows without an id stay whole."""
     others = tuple(c for c in docs.columns if c != "doc_id")
     found = substring_dedup.substring_dedup(docs, 20, carry=others)
     text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("others.text"))
