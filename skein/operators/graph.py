@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.components import connected_components
 from skein.operators.ranks import numbered
-from skein.runtime import materialize
+from skein.runtime import drop_materialized, materialize
 
 
 def nodes_of(segments: DataFrame) -> DataFrame:
@@ -144,10 +144,13 @@ def strong_components(edges: DataFrame, src: str = "u", dst: str = "v", max_roun
         roots = colours.where("node = colour")
         found = _reach(roots, inside, colours, max_rounds)
         done = found if done is None else materialize(done.unionByName(found), "scc")
+        old = left, e, inside
         left = materialize(left.join(found, "node", "left_anti"), "scc")
         e = materialize(
             e.join(left.withColumnRenamed("node", "s"), "s", "left_semi").join(left.withColumnRenamed("node", "d"), "d", "left_semi"), "scc"
         )
+        for table in old:
+            drop_materialized(table)
     else:
         raise RuntimeError("strong components did not settle")
     return done if done is not None else left.withColumn("component", F.col("node"))
@@ -155,12 +158,13 @@ def strong_components(edges: DataFrame, src: str = "u", dst: str = "v", max_roun
 
 def _spread(colours: DataFrame, e: DataFrame, s: str, d: str, max_rounds: int) -> DataFrame:
     """Each node's largest reaching name, along the edges."""
-    colours = materialize(colours, "scc")
+    held = colours = materialize(colours, "scc")
     for _ in range(max_rounds):
         sent = e.join(colours.withColumnRenamed("node", s), s).groupBy(F.col(d).alias("node")).agg(F.max("colour").alias("sent"))
         new = colours.join(sent, "node", "left").select("node", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("moved"))
         new = materialize(new, "scc")
-        colours = new.drop("moved")
+        drop_materialized(held)
+        held, colours = new, new.drop("moved")
         if new.where("moved").isEmpty():
             return colours
     raise RuntimeError("colours did not settle")
@@ -175,7 +179,8 @@ def _reach(roots: DataFrame, inside: DataFrame, colours: DataFrame, max_rounds:
         front = materialize(before.join(found, "node", "left_anti"), "scc")
         if front.isEmpty():
             return found
-        found = materialize(found.unionByName(front), "scc")
+        held, found = found, materialize(found.unionByName(front), "scc")
+        drop_materialized(held)
     raise RuntimeError("components did not settle")
 
 

@@ -157,3 +157,33 @@ def test_signals_and_pooling(spark):
     assert [r.deliverable for r in got] == [True, False, False]
     vectors = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1.0, 1.0, 0.0]), ([[1.0, 1.0]], [0.0])], "v array<array<double>>, w array<double>")
     assert [r[0] for r in vectors.select(text.weighted_mean_pool("v", "w")).collect()] == [[2.0, 3.0], None]
+
+
+def test_best_matches_against_all_pairs(spark):
+    import random
+
+    from skein.functions.similarity import indel_ratio
+
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 16))).strip() or "a" for _ in range(60)})
+    spans = set()
+    for name in names:
+        for _ in range(8):
+            own = list(name)
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(own) + 1)
+                if rng.random() < 0.5:
+                    own.insert(at, rng.choice("abcde"))
+                elif own:
+                    own.pop(min(at, len(own) - 1))
+            spans.add("".join(own))
+    want = {}
+    for span in spans - {""}:
+        scores = [(-indel_ratio(span, name), place, name) for place, name in enumerate(names)]
+        if -min(scores)[0] >= 85.0:
+            want[span] = (min(scores)[2], -min(scores)[0])
+    table = spark.createDataFrame([(n, n, k) for k, n in enumerate(names)], "name string, key string, place int")
+    found = text.best_matches(spark.createDataFrame([(x,) for x in spans], "span string"), table)
+    got = {r.key: (r.name, r.score) for r in found.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(want) > 50
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
