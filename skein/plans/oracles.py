@@ -232,8 +232,10 @@ WHERE lower(phrase) NOT IN (SELECT lower(name) FROM gaz WHERE name <> '') GROUP
 SQL["covered_phrases"] = f"""WITH {PHRASES}, {GAZETTEER}
 SELECT count(*) AS n_covered FROM phrase WHERE lower(phrase) IN (SELECT lower(name) FROM gaz WHERE name <> '')"""
 MENTIONS = r"""
-found AS (SELECT DISTINCT doc_id AS text_id, name FROM documents JOIN (SELECT DISTINCT name FROM gaz WHERE name <> '') g
-          ON regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || lower(name) || '($|[^\p{L}\p{N}_])'))"""
+low AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents),
+maybe AS MATERIALIZED (SELECT doc_id, t, name FROM low JOIN (SELECT DISTINCT name FROM gaz WHERE name <> '') g ON contains(t, lower(name))),
+found AS (SELECT DISTINCT doc_id AS text_id, name FROM maybe
+          WHERE regexp_matches(t, '(^|[^\p{L}\p{N}_])' || lower(name) || '($|[^\p{L}\p{N}_])'))"""
 SQL["exact_mentions"] = f"WITH {GAZETTEER}, {MENTIONS} SELECT * FROM found"
 SQL["mentions_by_place"] = f"""WITH {GAZETTEER}, {MENTIONS}
 SELECT name, string_agg(DISTINCT source, '; ' ORDER BY source) AS joined, count(DISTINCT source) AS n FROM found JOIN documents ON doc_id = text_id GROUP BY 1"""
