@@ -171,3 +171,23 @@ def test_labels_are_joined_beyond_the_broadcast_bound(spark, monkeypatch):
     want = {r.doc_id: r.perplexity for r in q.quality(docs, labels).collect()}
     monkeypatch.setattr(q, "BROADCAST_LABELS", 1)
     assert {r.doc_id: r.perplexity for r in q.quality(docs, labels).collect()} == want
+
+
+def test_chunks_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(q, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(q, "ROW_BYTES", 500)
+    rng = random.Random(1)
+    rows = [("word " * rng.randrange(1, 60)).encode() for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 400, pa.int64()), pa.array([k % 3 % 2 for k in range(400)], pa.int32()), pa.array(rows, pa.binary()), pa.array(range(400))], ["part", "half", "raw", "row"])
+    sizes, held = Counter(), []
+    for half, chunk, slab, _ in q._chunks(iter([batch]), True):
+        assert chunk >> 24 == 7
+        sizes[half, chunk] += sum(len(r) for r, _ in slab)
+        held += [k for _, k in slab]
+    assert sorted(held) == list(range(400))
+    longest = max(map(len, rows))
+    assert len(sizes) > 10 and max(sizes.values()) < 3000 + 500 + longest
+    # the questions are asked by the same chunks
+    assert {(h, c) for h, c, _, _ in q._chunks(iter([batch]), False)} == set(sizes)

@@ -200,3 +200,18 @@ def test_changed_input_raises():
     rows = word_shuffle._rows([word_shuffle.TEXTS], [1], [0], [[1]], [one], pa.int64())
     with pytest.raises(RuntimeError, match="changed"):
         list(word_shuffle._assemble(None, pa.int64(), iter([rows])))
+
+
+def test_chunks_of_words_are_bounded(monkeypatch):
+    import pyarrow as pa
+    import regex
+
+    monkeypatch.setattr(word_shuffle, "CHUNK_BYTES", 2000)
+    rows = [f"word{k} and more of it ".encode() * (1 + k % 9) for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * 200, pa.int64()), pa.array(range(200)), pa.array(rows, pa.binary())], ["part", "doc_id", "raw"])
+    found = list(word_shuffle._chunks(iter([batch]), regex.compile(public_tokenizers.PATTERN), True))
+    assert [d for _, _, ids, _ in found for d in ids] == list(range(200))
+    assert [c for c, *_ in found] == [(3 << 24) + k for k in range(len(found))]
+    for _, _, ids, _ in found:
+        assert sum(len(rows[d]) + 1 for d in ids) < 2000 + max(map(len, rows)) + 1
+    assert len(found) > 5
