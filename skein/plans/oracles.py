@@ -485,7 +485,7 @@ SQL["saved_probe"] = "SELECT count(*) AS n_shared, CAST(0 AS BIGINT) AS n_differ
 SQL["layer_probes"] = """
 WITH p AS (SELECT page_id AS layer, CASE WHEN page_id % 7 = 0 THEN 404 WHEN page_id % 11 = 0 THEN NULL ELSE 200 END AS status, CAST(length(html) AS INT) AS n_bytes FROM pages)
 SELECT *, CASE WHEN status IS NULL OR status <> 200 THEN 'dead' WHEN n_bytes < 1500 THEN 'suspect_blank' ELSE 'ok' END AS verdict FROM p"""
-SQL["optional_input"] = "SELECT r_regionkey, r_name FROM region"
+SQL["fallback_input"] = "SELECT r_regionkey, r_name FROM region"
 SQL["looked_up_names"] = """
 SELECT n_name AS name, CASE WHEN n_name[1] IN ('A', 'M') THEN 'unverified' WHEN length(n_name) > 5 THEN 'resolved' ELSE 'no_match' END AS status,
        CASE WHEN n_name[1] NOT IN ('A', 'M') AND length(n_name) > 5 THEN lower(n_name) END AS value FROM nation"""

@@ -940,7 +940,7 @@ def layer_probes(spark, d):
 
 
 @query
-def optional_input(spark, d):
+def fallback_input(spark, d):
     """The second of three places has the table; an absent one is an empty table."""
     read = lambda path: spark.read.parquet(path)
     first = readers.optional(spark, [f"{d}/none.parquet", f"{d}/region.parquet", f"{d}/nation.parquet"], read, "r_regionkey int, r_name string")
