@@ -17,7 +17,9 @@ length. A chunk holds documents of one half and ``CHUNK_BYTES`` of text, or one
 
 A document is rejected if its perplexity is above its language's threshold, a quantile of the
 trusted documents of that language: the lower end of a confidence interval around ``QUANTILE``,
-which few documents widen, so that a handful of mislabelled ones do not set it.
+which few documents widen, so that a handful of mislabelled ones do not set it. Nor shall a
+handful of good ones: a threshold is at least the language's median times the same quantile of
+all trusted documents' perplexities over their own languages' medians.
 """
 
 from __future__ import annotations
@@ -430,8 +432,8 @@ def quantile_of(n: int, share: float) -> float:
     return max(math.ceil((share - ERRORS * math.sqrt(share * (1 - share) / n)) * STEPS), 1) / STEPS
 
 
-def thresholds(calibrating: DataFrame, share: float = QUANTILE) -> DataFrame:
-    """``(lang, threshold)`` of ``calibrating (lang, perplexity)``: the value at ``quantile_of`` the language's rows.
+def upper(calibrating: DataFrame, share: float = QUANTILE) -> DataFrame:
+    """``(lang, upper, middle)`` of ``calibrating (lang, perplexity)``: the values at ``quantile_of`` the language's rows and in their middle.
 
     One partial aggregate holds the values at all quantiles that a size can ask for.
     """
@@ -439,7 +441,19 @@ def thresholds(calibrating: DataFrame, share: float = QUANTILE) -> DataFrame:
     at = F.ceil((share - ERRORS * F.sqrt(F.lit(share * (1 - share)) / F.count("*"))) * STEPS).cast("int")
     own = F.percentile_approx("perplexity", [k / STEPS for k in range(least, most + 1)], 100_000)
     place = F.greatest(F.least(at, F.lit(most)) - least + 1, F.lit(1))
-    return calibrating.groupBy("lang").agg(F.element_at(own, place).alias("threshold"))
+    return calibrating.groupBy("lang").agg(F.element_at(own, place).alias("upper"), F.percentile_approx("perplexity", 0.5, 100_000).alias("middle"))
+
+
+def thresholds(calibrating: DataFrame, share: float = QUANTILE) -> DataFrame:
+    """``(lang, threshold)`` of ``calibrating (lang, perplexity)``, and a row whose ``lang`` is null and ``any`` true for all others."""
+    own = materialize(upper(calibrating, share).select(F.col("lang").alias("of"), "upper", "middle"), "thresholds")
+    if own.count() <= BROADCAST_LABELS:  # one language may hold most rows
+        own = F.broadcast(own)
+    relative = calibrating.join(own, F.col("lang").eqNullSafe(F.col("of"))).select(F.lit("").alias("lang"), (F.col("perplexity") / F.col("middle")).alias("perplexity"))
+    spread = upper(relative, share).select(F.col("upper").alias("spread"))
+    by_language = own.join(F.broadcast(spread), F.lit(True)).select(F.col("of").alias("lang"), F.greatest("upper", F.col("middle") * F.col("spread")).alias("threshold"), F.lit(False).alias("any"))
+    pooled = upper(calibrating.withColumn("lang", F.lit("")), share)
+    return by_language.unionByName(pooled.select(F.lit(None).cast("string").alias("lang"), F.col("upper").alias("threshold"), F.lit(True).alias("any")))
 
 
 def quality(
@@ -463,10 +477,11 @@ def quality(
     fitting = texts(own).join(good, F.col("doc_id") == F.col("labelled"), "left_semi")
     scored = materialize(perplexities(own, fitting, carry=("lang",)), "perplexities", compact=True)
     calibrating = scored.where("perplexity IS NOT NULL").join(good, F.col("doc_id") == F.col("labelled"), "left_semi").select("lang", "perplexity")
-    by_language = materialize(thresholds(calibrating, share).select(F.col("lang").alias("of_lang"), F.col("threshold").alias("own")), "thresholds")
-    if by_language.count() <= BROADCAST_LABELS:  # one language may hold most rows
+    found = materialize(thresholds(calibrating, share), "thresholds")
+    by_language = found.where("NOT any").select(F.col("lang").alias("of_lang"), F.col("threshold").alias("own"))
+    if by_language.count() <= BROADCAST_LABELS:
         by_language = F.broadcast(by_language)
-    pooled = thresholds(calibrating.withColumn("lang", F.lit("")), share).select(F.col("threshold").alias("pooled"))
+    pooled = found.where("any").select(F.col("threshold").alias("pooled"))
     known = scored.join(by_language, F.col("lang").eqNullSafe(F.col("of_lang")), "left").join(F.broadcast(pooled), F.lit(True), "left")
     known = known.withColumn("threshold", F.coalesce("own", "pooled"))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))

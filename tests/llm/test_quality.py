@@ -77,9 +77,12 @@ def brute_quality(spark, rows, labels):
         return values[max(math.ceil(q.quantile_of(len(values), q.QUANTILE) * len(values)) - 1, 0)]
 
     pooled = cut([x for own in by.values() for x in own]) if by else None
+    middle = {lang: sorted(own)[math.ceil(len(own) / 2) - 1] for lang, own in by.items()}
+    spread = cut([x / middle[lang] for lang, own in by.items() for x in own]) if by else None
     out = {}
     for key, x in found.items():
-        at = cut(by[key[2]]) if by[key[2]] else pooled
+        own = by.get(key[2])
+        at = max(cut(own), middle[key[2]] * spread) if own else pooled
         out[key] = (x, at, x is not None and (at is None or x <= at + 1e-6))
     return out
 
