@@ -16,7 +16,8 @@ def planted(spark, sf):
     rows = [
         (10_001, one.text.replace(" ", "  ", 1), one.lang, "s", 1),
         (10_002, " ".join(near), one.lang, "s", 1),
-        (10_003, three.text + "\n" + passage, three.lang, "s", 1),
+        # words of its own order, so that it is no near copy of the text they are from, and a passage of another
+        (10_003, " ".join(reversed(three.text.split())) + "\n" + passage, three.lang, "s", 1),
         (10_004, None, "en", None, None),
         (10_005, "", None, "s", 0),
     ]
