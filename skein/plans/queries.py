@@ -1111,7 +1111,7 @@ def clipped_wards(spark, d):
 def metric_lengths(spark, d):
     spots = places(spark, d, "supplier", "s_suppkey").select("s_suppkey", (79 + F.col("x") / 50).alias("x"), (12 + F.col("y") / 50).alias("y"))
     line = F.array(F.struct("x", "y"), F.struct((F.col("x") + 0.01).alias("x"), (F.col("y") + 0.02).alias("y")))
-    return spatial.metric_lengths(spots.select("s_suppkey", line.alias("geom")), "s_suppkey").withColumn("length_m", F.round("length_m", 2))
+    return spatial.metric_lengths(spots.select("s_suppkey", line.alias("geom")), "s_suppkey", digits=2)
 
 
 @query

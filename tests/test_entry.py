@@ -46,6 +46,15 @@ def test_equals_sql(spark, sf, tables, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
+def test_lengths_are_rounded_once(spark):
+    # four lengths of these tables lie just below half a centimetre: rounded to millimetres first they would go up
+    larger, db = "/root/testdata/sf0.01", duckdb.connect()
+    for name in ("customer", "supplier"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{larger}/{name}.parquet'")
+    want = db.execute(ORACLES["metric_lengths"]).fetchall()
+    assert sorted(map(tuple, QUERIES["metric_lengths"](spark, larger).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
