@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -187,3 +188,45 @@ def test_best_matches_against_all_pairs(spark):
     got = {r.key: (r.name, r.score) for r in found.collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(want) > 50
     assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_spans_leave_in_small_batches():
+    import pandas as pd
+
+    rows = pd.DataFrame({"text_id": range(300), "text": ["one two three four five " * 20] * 300})
+    sizes = [len(batch) for batch in text._spans(iter([rows]), 4)]
+    assert sum(sizes) == 300 * (100 + 99 + 98 + 97) and max(sizes) <= text.SPAN_ROWS
+
+
+def test_near_names_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from skein.functions.similarity import indel_ratio
+
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(90)).strip()
+    known = ["kelvin", "istan", "anna nagar", "anna nagas", "naga", "t'nagar", "é été", "x" * 30, long]
+    near = text.NearNames(known, 85.0)
+    runs = ["Kelvi", "İstan", "istanb", "Anna Nagar", "ANNA NAGAT", "É été", "È été", "x" * 26, "x" * 22, long[:30] + long[34:], long[:40], "q", "nagar"]
+    for _ in range(300):
+        own = list(rng.choice(known))
+        for _ in range(rng.randrange(5)):
+            own.insert(rng.randrange(len(own) + 1), rng.choice("an é"))
+            own.pop(rng.randrange(len(own)))
+        runs.append("".join(own))
+    whole = "".join(runs)
+    ends = np.cumsum([len(r) for r in runs])
+    got = {run: (i, score) for run, i, score in near.best(whole, text.codes_of(whole), np.append(0, ends[:-1]), ends)}
+    want = {}
+    for run, own in enumerate(runs):
+        score, i = min((-indel_ratio(own.lower(), key), i) for i, key in enumerate(known))
+        if -score >= 85.0:
+            want[run] = i, -score
+    assert got == want and 100 < len(want) < len(runs)
+    # names beyond one pass are found by others, and the first in order wins over all of them
+    table = [(1, "Water at Velacherry, the Adyar river"), (2, "abcdefghij"), (3, None)]
+    places = names(spark).union(spark.createDataFrame([("abcdefghix", 97), ("abcdefghiy", 93)], "name string, place int"))
+    once = sorted(text.geoparse(spark.createDataFrame(table, "text_id int, text string"), places).collect())
+    monkeypatch.setattr(text, "NAMES_AT_ONCE", 1)
+    assert sorted(text.geoparse(spark.createDataFrame(table, "text_id int, text string"), places).collect()) == once
+    assert [m.name for m in once[1].matches] == ["abcdefghiy"]
