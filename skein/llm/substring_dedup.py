@@ -28,6 +28,8 @@ Words compare by 40 bits of their hash next to 64 bits of the anchor.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from functools import partial
 
 import numpy as np
@@ -205,7 +207,7 @@ def _slice(batches):
 
 def _maps(raw: DataFrame, n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The maps of repeated and of crowded anchors, ``MAP_BITS / 8`` bytes each on the driver whatever the input."""
-    found = raw.mapInArrow(partial(_anchors, n), "slice int, anchor long, places int")
+    found = raw.mapInArrow(lambda batches: _trimmed(_anchors(n, batches)), "slice int, anchor long, places int")
     slices = found.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_slice, "slice int, repeated binary, crowded binary")
     out = np.zeros(MAP_BITS // 8, np.uint8), np.zeros(MAP_BITS // 8, np.uint8)
     size = MAP_BITS // SLICES // 8
@@ -281,6 +283,14 @@ def _runs_of(places) -> list[tuple[int, int]]:
     return [tuple(run) for run in out]
 
 
+def _trimmed(rows):
+    """``rows``, after which the worker gives freed memory back: it is kept for later stages, which need far less."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _windows(n: int, maps, batches):
     """Of each chunk, what occurs there first, as passages; and what does not, which is settled, as rows without words."""
     repeated, crowded = maps.value
@@ -436,9 +446,9 @@ def removed_windows(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text:
     parts = shuffle_partitions(spark)
     raw = texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     maps = spark.sparkContext.broadcast(_maps(raw, n, parts))
-    sent = raw.mapInArrow(partial(_windows, n, maps), ROWS)
+    sent = raw.mapInArrow(lambda batches: _trimmed(_windows(n, maps, batches)), ROWS)
     dealt = sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    return dealt.mapInArrow(partial(_removed, n), REMOVED)
+    return dealt.mapInArrow(lambda batches: _trimmed(_removed(n, batches)), REMOVED)
 
 
 #: Words of a reference that one automaton holds, and automata that documents stream through at a time.
@@ -517,5 +527,7 @@ def substring_dedup(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text:
     both = gone.unionByName(raw.mapInArrow(_packed, mixed))
     dealt = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind")
     out = f"doc_id long, n_words long, n_removed long, kept binary, others {kind_of_others.simpleString()}"
-    found = dealt.mapInArrow(partial(_kept, n), out)
+    # a task writes the rows of several parts, one after the other: each file that an executor opens costs a helper process
+    files = min(parts, max(2 * docs.sparkSession.sparkContext.defaultParallelism, parts // 4))
+    found = dealt.mapInArrow(partial(_kept, n), out).coalesce(files)
     return found if carry else found.drop("others")

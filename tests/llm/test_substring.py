@@ -204,3 +204,32 @@ def test_a_reference_of_many_shards(spark, monkeypatch):
     assert {r.doc_id for r in found} == {1}
     covered = {k for r in found for k in range(r.start, r.start + r.n)}
     assert covered == set(range(110))
+
+
+def test_few_files_and_freed_memory(spark):
+    import subprocess
+    import sys
+
+    docs = spark.createDataFrame([(k, f"w{k} " * 30) for k in range(200)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = substring_dedup.substring_dedup(docs, 20)
+        assert found.rdd.getNumPartitions() == 16 and found.count() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # what a stage freed in small pieces does not stay with the worker
+    code = """
+import psutil
+from skein.llm.substring_dedup import _trimmed
+def rows():
+    held = [bytes(5000) for _ in range(40_000)]
+    kept = held[-1]
+    yield kept
+    del held
+    yield kept
+for kept in _trimmed(rows()):
+    pass
+assert psutil.Process().memory_info().rss < 180e6, psutil.Process().memory_info().rss
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
